@@ -45,8 +45,12 @@ _STATE = "doc_id long, row_key long, source_at int, size long, source_size long,
 
 
 def _round_group(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pair the group's fractional documents until at most one is left."""
-    rows = rows.sort_values(["u", "doc_id", "size"], kind="stable", ignore_index=True)
+    """Pair the group's fractional documents until at most one is left.
+
+    Larger documents meet first: those of like size settle each other, so the
+    one left in the end is small, and with it what the source is off its target.
+    """
+    rows = rows.sort_values(["size", "u", "doc_id"], ascending=[False, True, True], kind="stable", ignore_index=True)
     p, size, u = rows["p"].tolist(), rows["size"].tolist(), rows["u"].tolist()
     i = None
     for j in range(len(p)):

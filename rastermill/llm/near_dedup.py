@@ -74,11 +74,12 @@ def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(h: np.ndarray, first: np.ndarray, p: NearDedup) -> np.ndarray:
-    """MinHash rows (uint32) of each set; set i is h[first[i] : first[i + 1]], none of them empty."""
+    """MinHash rows of each set, the low 16 bits of each minimum; set i is h[first[i] : first[i + 1]], none of them empty."""
     a, b = _permutations(p.size)
-    out = np.empty((len(first), p.size), dtype=np.uint32)
+    out = np.empty((len(first), p.size), dtype=np.uint16)
     for k in range(p.size):
-        out[:, k] = np.minimum.reduceat((h * a[k] + b[k]) >> np.uint64(32), first)
+        least = np.minimum.reduceat((h * a[k] + b[k]) >> np.uint64(24), first)
+        out[:, k] = (mix64(least) & np.uint64(0xFFFF)).astype(np.uint16)
     return out
 
 
@@ -108,7 +109,7 @@ def _matrix(column: pa.Array, dtype, width: int) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], dtype=np.uint8)[off[0] : off[-1]].view(dtype).reshape(-1, width)
 
 
-_FEATURES = "node long, n_shingles long, set_key binary, sig binary, bands array<long>"
+_FEATURES = "node long, n_shingles long, set_key binary, sig binary"
 
 
 def _features(p: NearDedup):
@@ -121,7 +122,7 @@ def _features(p: NearDedup):
                 full = np.flatnonzero(n)
                 first = np.concatenate([[0], np.cumsum(n[full])[:-1]]).astype(np.int64) if len(full) else np.zeros(0, np.int64)
                 key = np.zeros((len(full), 2), dtype=np.uint64)
-                sig = np.zeros((len(full), p.size), dtype=np.uint32)
+                sig = np.zeros((len(full), p.size), dtype=np.uint16)
                 if len(full):
                     key[:, 0] = np.add.reduceat(mix64(h + np.uint64(7)), first)
                     key[:, 1] = np.add.reduceat(mix64(h ^ np.uint64(0x5DEECE66D)), first)
@@ -129,8 +130,18 @@ def _features(p: NearDedup):
                 where = np.full(j - i, -1)
                 where[full] = np.arange(len(full))
                 take = pa.array(where, mask=where < 0)
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * p.bands), pa.array(_band_keys(sig, p).ravel()))
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n, pa.int64()), _binary_rows(key).take(take), _binary_rows(sig).take(take), bands.take(take)], names=["node", "n_shingles", "set_key", "sig", "bands"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n, pa.int64()), _binary_rows(key).take(take), _binary_rows(sig).take(take)], names=["node", "n_shingles", "set_key", "sig"])
+
+    return run
+
+
+def _bands(p: NearDedup):
+    """A row (node, nth, band) for each band of each signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = _band_keys(_matrix(batch.column(1), np.uint16, p.size), p)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), p.bands)), pa.array(np.tile(np.arange(p.bands, dtype=np.int32), len(keys))), pa.array(keys.ravel())], names=["node", "nth", "band"])
 
     return run
 
@@ -140,7 +151,7 @@ def _prune(p: NearDedup):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = _matrix(batch.column("sig_a"), np.uint32, p.size), _matrix(batch.column("sig_b"), np.uint32, p.size)
+            x, y = _matrix(batch.column("sig_a"), np.uint16, p.size), _matrix(batch.column("sig_b"), np.uint16, p.size)
             left, agree = np.arange(len(x)), np.zeros(len(x), np.int64)
             for at in range(0, p.size, p.batch):
                 agree = agree + (x[left, at : at + p.batch] == y[left, at : at + p.batch]).sum(1)
@@ -151,9 +162,27 @@ def _prune(p: NearDedup):
     return run
 
 
-def _sets(p: NearDedup):
+#: Bits of the filter that tells which texts to make sets of; 8 MB at any input size.
+_FILTER_BITS = 1 << 26
+
+
+def _filter_of(nodes: DataFrame) -> np.ndarray:
+    """A one-probe Bloom filter of node ids, as 64-bit words."""
+    places = nodes.select(F.pmod(F.xxhash64("node"), F.lit(_FILTER_BITS)).alias("place"))
+    words = places.groupBy(F.expr("cast(place div 64 as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("bits")).toArrow()
+    out = np.zeros(_FILTER_BITS // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def _hit(words: np.ndarray, place: np.ndarray) -> pa.Array:
+    return pa.array((words[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+
+def _sets(p: NearDedup, bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(_hit(bits.value, batch.column(2).to_numpy()))
             for i, j, data, off in chunks(batch.column(1)):
                 h, text = shingles(split_words(data, off, SPACED, True), p.words)
                 edge = np.searchsorted(text, np.arange(j - i + 1)) * 8
@@ -191,6 +220,68 @@ def _verify(p: NearDedup):
     return run
 
 
+def _by_task(group):
+    """Runs `group` on the rows of each task; rows come ordered by task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        task = None
+        for batch in batches:
+            keys = batch.column("task").to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else []
+            for at, end in zip(edges[:-1], edges[1:], strict=True):
+                if held and keys[at] != task:
+                    if (out := group(pa.Table.from_batches(held))) is not None:
+                        yield from out.to_batches()
+                    held = []
+                task = keys[at]
+                held.append(batch.slice(at, end - at))
+        if held and (out := group(pa.Table.from_batches(held))) is not None:
+            yield from out.to_batches()
+
+    return run
+
+
+def _block_survivors(rows: pa.Table, p: NearDedup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of different components that survive pruning, with the signature rows they agree on.
+
+    A pair counts in the first band that it shares.
+    """
+    comp, side, size = (rows.column(c).to_numpy() for c in ("component", "side", "n_shingles"))
+    sig = _matrix(rows.column("sig"), np.uint16, p.size)
+    bands = _band_keys(sig, p)
+    here, one = int(rows.column("nth")[0].as_py()), bool(rows.column("same")[0].as_py())
+    left = np.flatnonzero(side == 0)
+    right = left if one else np.flatnonzero(side == 1)
+    found = []
+    for i in left:
+        other = right[right > i] if one else right
+        other = other[(comp[other] != comp[i]) & (100 * np.minimum(size[other], size[i]) >= p.percent * np.maximum(size[other], size[i]))]
+        agree = np.zeros(len(other), np.int64)
+        for at in range(0, p.size, p.batch):
+            if not len(other):
+                break
+            agree = agree + (sig[other, at : at + p.batch] == sig[i, at : at + p.batch]).sum(1)
+            stay = agree >= least_agreement(min(at + p.batch, p.size), p.percent, p.miss)
+            other, agree = other[stay], agree[stay]
+        if len(other):
+            stay = ~(bands[other, :here] == bands[i, :here]).any(1)
+            found.append((np.full(stay.sum(), i), other[stay], agree[stay]))
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _with_survivors(p: NearDedup):
+    """Of each block pair, the members that have a survivor there."""
+
+    def group(rows: pa.Table) -> pa.Table | None:
+        x, y, _ = _block_survivors(rows, p)
+        return rows.take(np.unique(np.concatenate([x, y]))) if len(x) else None
+
+    return _by_task(group)
+
+
 def _compare_blocks(p: NearDedup):
     """Links between different components within each block pair of a bucket.
 
@@ -200,31 +291,11 @@ def _compare_blocks(p: NearDedup):
     """
 
     def group(rows: pa.Table) -> pa.Table | None:
-        node, comp, side = (rows.column(c).to_numpy() for c in ("node", "component", "side"))
-        sig, bands = _matrix(rows.column("sig"), np.uint32, p.size), np.stack(rows.column("bands").to_numpy())
-        members = rows.column("members").combine_chunks()
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in members]
-        here, one = int(rows.column("nth")[0].as_py()), bool(rows.column("same")[0].as_py())
-        left = np.flatnonzero(side == 0)
-        right = left if one else np.flatnonzero(side == 1)
-        size = np.array([len(x) for x in sets])
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for i in left:
-            other = right[right > i] if one else right
-            other = other[(comp[other] != comp[i]) & (100 * np.minimum(size[other], size[i]) >= p.percent * np.maximum(size[other], size[i]))]
-            agree = np.zeros(len(other), np.int64)
-            for at in range(0, p.size, p.batch):
-                if not len(other):
-                    break
-                agree = agree + (sig[other, at : at + p.batch] == sig[i, at : at + p.batch]).sum(1)
-                stay = agree >= least_agreement(min(at + p.batch, p.size), p.percent, p.miss)
-                other, agree = other[stay], agree[stay]
-            if len(other):  # a pair is compared in the first band that it shares
-                stay = ~(bands[other, :here] == bands[i, :here]).any(1)
-                found.append((np.full(stay.sum(), i), other[stay], agree[stay]))
-        if not found:
+        x, y, agree = _block_survivors(rows, p)
+        if not len(x):
             return None
-        x, y, agree = (np.concatenate(c) for c in zip(*found, strict=True))
+        node, comp, size = (rows.column(c).to_numpy() for c in ("node", "component", "n_shingles"))
+        sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in rows.column("members").combine_chunks()]
         parent = {c: c for c in np.unique(comp).tolist()}
 
         def root(c: int) -> int:
@@ -245,28 +316,17 @@ def _compare_blocks(p: NearDedup):
                     b.append(node[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        task = None
-        for batch in batches:
-            keys = batch.column("task").to_numpy()
-            edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else []
-            for at, end in zip(edges[:-1], edges[1:], strict=True):
-                if held and keys[at] != task:
-                    if (out := group(pa.Table.from_batches(held))) is not None:
-                        yield from out.to_batches()
-                    held = []
-                task = keys[at]
-                held.append(batch.slice(at, end - at))
-        if held and (out := group(pa.Table.from_batches(held))) is not None:
-            yield from out.to_batches()
-
-    return run
+    return _by_task(group)
 
 
 def _set_table(texts: DataFrame, nodes: DataFrame, p: NearDedup, scratch: Scratch, name: str) -> DataFrame:
-    """Rows (node, members): the shingle sets of the given nodes, made again from their texts; saved."""
-    return scratch.save(texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(_sets(p), "node long, members binary"), name)
+    """Rows (node, members): shingle sets of at least the given nodes, made again from their texts; saved.
+
+    A small filter picks the texts where they are read, so that they are never shuffled.
+    """
+    bits = texts.sparkSession.sparkContext.broadcast(_filter_of(nodes))
+    place = F.pmod(F.xxhash64("node"), F.lit(_FILTER_BITS)).alias("place")
+    return scratch.save(texts.where("node is not null").select("node", "text", place).mapInArrow(_sets(p, bits), "node long, members binary"), name)
 
 
 def _star_links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, p: NearDedup, scratch: Scratch) -> DataFrame:
@@ -294,23 +354,24 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), scratch: Scratc
     every = scratch.save(texts.mapInArrow(_features(p), _FEATURES), "features")
     classes = every.where("n_shingles > 0 and node is not null").groupBy("set_key").agg(F.min("node").alias("class_id"))
     first = every.where("n_shingles > 0").join(classes.withColumnRenamed("class_id", "node"), ["set_key", "node"], "left_semi").dropDuplicates(["set_key"])
-    reps = scratch.save(first.select("node", "n_shingles", "sig", "bands"), "classes")
-    banded = reps.select("node", F.posexplode("bands").alias("nth", "band"))
-    buckets = scratch.save(banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"), "buckets")
-    star = banded.select("node", "band").join(buckets.select("band", "least"), "band").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    reps = scratch.save(first.select("node", "n_shingles", "sig"), "classes")
+    banded = reps.select("node", "sig").mapInArrow(_bands(p), "node long, nth int, band long")
+    buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
+    members = scratch.save(banded.join(buckets, "band").where("node <> least"), "members")
+    star = members.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     edges = _star_links(star, reps, texts, p, scratch).select(F.col("a").alias("u"), F.col("b").alias("v"))
     component = scratch.save(connected_components(edges, scratch, "star-steps"), "star-components")
-    apart = _apart_links(reps, buckets, component, texts, p, scratch)
+    apart = _apart_links(reps, members, component, texts, p, scratch)
     if not apart.isEmpty():
         joined = connected_components(apart, scratch, "apart-steps").withColumnRenamed("component", "whole")
         component = component.unionByName(apart.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(component, "node", "left_anti").select("node", F.col("node").alias("component")))
         component = scratch.save(component.join(joined, component.component == joined.node, "left").select(component.node, F.coalesce("whole", "component").alias("component")), "components")
-    members = component.select(F.col("node").alias("class_id"), "component")
+    joined_to = component.select(F.col("node").alias("class_id"), "component")
     whole = F.coalesce("component", "class_id", "node")
     return (
         every.select("node", "n_shingles", "set_key")
         .join(classes, "set_key", "left")
-        .join(members, "class_id", "left")
+        .join(joined_to, "class_id", "left")
         .select(
             F.col("node").alias("doc_id"),
             "n_shingles",
@@ -321,23 +382,26 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), scratch: Scratc
     )
 
 
-def _apart_links(reps: DataFrame, buckets: DataFrame, component: DataFrame, texts: DataFrame, p: NearDedup, scratch: Scratch) -> DataFrame:
+def _apart_links(reps: DataFrame, members: DataFrame, component: DataFrame, texts: DataFrame, p: NearDedup, scratch: Scratch) -> DataFrame:
     """Links (u, v) between components, from buckets that still hold several; saved.
 
     A bucket's least member has met all the others, so it stays out.  A bucket's
     rows are dealt to pairs of blocks, whose size is bounded in members and bytes.
     """
-    members = reps.select("node", "n_shingles", F.posexplode("bands").alias("nth", "band")).join(buckets.where("n > 2").select("band", "least"), "band").where("node <> least")
-    members = members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    members = members.where("n > 2").select("band", "nth", "node").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    members = members.join(reps.select("node", "n_shingles"), "node")
     mixed = members.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), (8 * F.sum("n_shingles")).alias("bytes")).where("lo < hi")
     blocks = F.greatest(F.ceil(F.col("size") / p.block), F.ceil(F.col("bytes") / p.block_bytes)).cast("int")
     rows = members.join(mixed.select("band", blocks.alias("blocks")), "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = F.expr("transform(sequence(0, blocks - 1), j -> named_struct('lo', least(block, j), 'hi', greatest(block, j), 'side', if(block <= j, 0, 1), 'same', block = j))")
-    rows = scratch.save(rows.select("band", "nth", "node", "component", F.explode(pairs).alias("t")).select(F.xxhash64("band", "t.lo", "t.hi").alias("task"), "nth", "node", "component", F.col("t.side").alias("side"), F.col("t.same").alias("same")), "apart-rows")
-    sets = _set_table(texts, rows.select("node").distinct(), p, scratch, "apart-sets")
-    rows = rows.join(reps.select("node", "sig", "bands").join(sets, "node"), "node")
+    rows = rows.select("band", "nth", "node", "n_shingles", "component", F.explode(pairs).alias("t"))
+    rows = rows.select(F.xxhash64("band", "t.lo", "t.hi").alias("task"), "nth", "node", "n_shingles", "component", F.col("t.side").alias("side"), F.col("t.same").alias("same"))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("task", "nth", "node", "component", "side", "same", "sig", "bands", "members").repartition(n, "task").sortWithinPartitions("task")
+    dealt = rows.join(reps.select("node", "sig"), "node").repartition(n, "task").sortWithinPartitions("task")
+    schema = "node long, task long, nth int, n_shingles long, component long, side int, same boolean, sig binary"
+    rows = scratch.save(dealt.select("node", "task", "nth", "n_shingles", "component", "side", "same", "sig").mapInArrow(_with_survivors(p), schema), "apart-survivors")
+    sets = _set_table(texts, rows.select("node").distinct(), p, scratch, "apart-sets")
+    dealt = rows.join(sets, "node").repartition(n, "task").sortWithinPartitions("task")
     found = scratch.save(dealt.mapInArrow(_compare_blocks(p), "a long, b long"), "apart-links")
     own = component.withColumnRenamed("component", "c")
     u = found.join(own.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a", "left").join(own.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b", "left")
