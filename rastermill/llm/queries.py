@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from .decontamination import op8_suffix_arrays
 from .html_text import op2_text_tag_ratio
 from .license_scan import op9_license_automaton
@@ -28,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_arrays": op8_suffix_arrays,
     "op9_license_automaton": op9_license_automaton,
     "op10_sampled_splitters": op10_sampled_splitters,
+    "pipeline": corpus_pipeline.run,
 }
 
 #: Queries without SQL are tested against brute force in tests/llm.
