@@ -40,7 +40,7 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as Parquet and return a reader of it, so that lost executors cost no recomputation."""
-        path = f"{self.path}/{name}"
+        path = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"  # a name may come again
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -73,3 +73,37 @@ def augment(pixels: DataFrame, images: DataFrame, seed: int = 1) -> DataFrame:
     row = F.when(F.col("way") == 1, c).when(F.col("way") == 2, h - r).when(F.col("way") == 3, w - c).when(F.col("way") == 4, h - r).otherwise(r)
     col = F.when(F.col("way") == 1, h - r).when(F.col("way") == 2, w - c).when(F.col("way") == 3, r).when(F.col("way") == 5, w - c).otherwise(c)
     return sized.select("image_id", "way", row.alias("r"), col.alias("c"), "v")
+
+
+def hold_out(rows: DataFrame, key: str, share: float | int, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The rows less a random share (or number) of them, and those; rows are dealt by hash of their key."""
+    nth = F.row_number().over(Window.orderBy(draw(key, seed=seed), key))
+    n = share if isinstance(share, int) else int(rows.count() * share)
+    ranked = rows.select(key).withColumn("_nth", nth).where(F.col("_nth") <= n).select(key)
+    return rows.join(ranked, key, "left_anti"), rows.join(ranked, key, "left_semi")
+
+
+def pick(rows: DataFrame, key: str, n: int = 1, seed: int = 1) -> DataFrame:
+    """n rows at random; reruns agree."""
+    return rows.orderBy(draw(key, seed=seed), key).limit(n)
+
+
+def with_replacement(rows: DataFrame, times: float, seed: int = 1) -> DataFrame:
+    """About `times` as many rows, each drawn with replacement."""
+    return rows.sample(withReplacement=True, fraction=times, seed=seed)
+
+
+def nth_in_order(rows: DataFrame, key: str, first: int = 1, last: int | None = None) -> DataFrame:
+    """Rows whose place in order of key, from 1, is first to last: to start again at one, or take just one."""
+    ranked = rows.withColumn("_nth", F.row_number().over(Window.orderBy(key)))
+    kept = ranked.where(F.col("_nth") >= first if last is None else F.col("_nth").between(first, last))
+    return kept.drop("_nth")
+
+
+def first_existing(names: DataFrame, key: str, *choices: DataFrame) -> DataFrame:
+    """Each name with `path` from the first of choices (key, path) that has it; the name itself if none has."""
+    out = names
+    for k, c in enumerate(choices):
+        out = out.join(c.select(key, F.col("path").alias(f"_path{k}")), key, "left")
+    found = F.coalesce(*[F.col(f"_path{k}") for k in range(len(choices))], F.col(key).cast("string"))
+    return out.withColumn("path", found).drop(*[f"_path{k}" for k in range(len(choices))])

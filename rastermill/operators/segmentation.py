@@ -15,18 +15,20 @@ from .graph import connected_components
 KEY = nb.KEY
 
 
-def components(mask: DataFrame, neighbours: int = 8, scratch: Scratch | None = None) -> DataFrame:
+def components(mask: DataFrame, neighbours: int = 8, scratch: Scratch | None = None, level: str | None = None) -> DataFrame:
     """Rows (image_id, r, c, segment): segment is its least pixel in row order, as "r-c".
 
-    neighbours is 4 or 8.  Pixels are nodes and adjacent ones edges of one
-    graph over all images, so a large image is no one task's work.
+    neighbours is 4 or 8.  With level, only neighbours of equal level belong
+    together.  Pixels are nodes and adjacent ones edges of one graph over all
+    images, so a large image is no one task's work.
     """
     scratch = scratch or Scratch(mask.sparkSession, "components")
-    mask = mask.select(KEY, "r", "c").distinct()
+    same = [level] if level else []
+    mask = mask.select(KEY, "r", "c", *same).distinct()
     forward = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if neighbours == 8 else [])
-    moved = mask.select(KEY, "r", "c", F.explode(nb._offsets(forward)).alias("o")).select(KEY, F.col("r").alias("r0"), F.col("c").alias("c0"), (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"))
+    moved = mask.select("*", F.explode(nb._offsets(forward)).alias("o")).select(KEY, *same, F.col("r").alias("r0"), F.col("c").alias("c0"), (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"))
     node = lambda r, c: F.struct(F.col(KEY), F.col(r).alias("r"), F.col(c).alias("c"))
-    edges = moved.join(mask, [KEY, "r", "c"]).select(node("r0", "c0").alias("u"), node("r", "c").alias("v"))
+    edges = moved.join(mask, [KEY, "r", "c", *same]).select(node("r0", "c0").alias("u"), node("r", "c").alias("v"))
     found = connected_components(edges, scratch, "pixels")
     labelled = mask.withColumn("node", node("r", "c")).join(found, "node", "left").withColumn("root", F.coalesce("component", "node"))
     return labelled.select(KEY, "r", "c", F.concat_ws("-", F.col("root.r").cast("string"), F.col("root.c").cast("string")).alias("segment"))
