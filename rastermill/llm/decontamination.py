@@ -22,7 +22,7 @@ from .words import ALNUM, chunks, split_words, text_bytes
 
 #: Bytes of text in one suffix array, and of benchmark text searched at once.
 SHARD_BYTES = 1 << 21
-BLOCK_BYTES = 1 << 25
+BLOCK_BYTES = 1 << 22
 
 
 class SuffixArray:
@@ -188,14 +188,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, i
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.struct("*").alias("row")] if keep else []),
         F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<first:long,words:long>>").alias("spans"), F.array().cast("array<string>").alias("items"),
     )
-    blocks = list(_blocks(benchmark, item_col, item_text_col))
+    blocks = _blocks(benchmark, item_col, item_text_col)
     names = [f for f in state.schema.fields if f.name not in ("n_words", "spans", "items")]
-    for k, (ids, texts) in enumerate(blocks):
-        last = k == len(blocks) - 1
-        block = sc.broadcast((ids, query_windows(ids, texts, width)))
+    block = next(blocks)
+    while block is not None:  # the driver holds one block, and the next to know which is last
+        (ids, texts), block = block, next(blocks, None)
+        last = block is None
+        windows = sc.broadcast((ids, query_windows(ids, texts, width)))
         kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in names if not (last and f.name == "text")]
         schema = ", ".join([*kept, "n_words long", "spans array<struct<first:long,words:long>>", "items array<string>", *(["items_sha256 string"] if last else [])])
-        state = state.mapInArrow(_search(block, width, last), schema)
+        state = state.mapInArrow(_search(windows, width, last), schema)
     return state
 
 

@@ -14,6 +14,7 @@ from .license_scan import op9_license_automaton
 from .lm_scoring import op6_bloom_language_model
 from .mixing import op3_pivotal_mixing
 from .near_dedup import op1_near_duplicates
+from .oracle import CONTAMINATION, NEAR_DUPLICATES
 from .quality_classifier import op4_fourier_ridge
 from .quality_rules import op7_perplexity_rules
 from .sharding import op10_sampled_splitters
@@ -33,5 +34,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-#: Queries without SQL are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+#: The others draw at random, train, tokenize or parse; tests/llm hold them against brute force.
+ORACLE_SQL: dict[str, str] = {"op1_near_duplicates": NEAR_DUPLICATES, "op8_suffix_arrays": CONTAMINATION}

@@ -7,10 +7,12 @@ import zlib
 from collections import Counter
 from html import unescape
 
+import duckdb
 import numpy as np
 import pytest
 
 import __spark_entry__
+from rastermill.llm import queries as llm_queries
 from rastermill.llm.license_scan import PHRASES
 from tests.llm.brute import SPACED, contamination, counts, crc, lower, phrases, targets
 
@@ -134,3 +136,15 @@ def test_op10_places(spark, sf_dir, documents):
     assert set(total) == set(range(16)) and all(abs(x - mean) <= largest for x in total.values())
     for shard in total:
         assert sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))
+
+
+@pytest.mark.parametrize("name", sorted(set(__spark_entry__.oracle_sql()) & set(llm_queries.ORACLE_SQL)))
+def test_matches_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+    want = con.sql(llm_queries.ORACLE_SQL[name])
+    columns = sorted(want.columns)
+    got = __spark_entry__.queries()[name](spark, sf_dir)
+    assert sorted(got.columns) == columns
+    assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == sorted(want.project(", ".join(columns)).fetchall())
