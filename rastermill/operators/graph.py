@@ -14,6 +14,12 @@ def _toward_minimum(both: DataFrame) -> DataFrame:
     return both.join(least, "u")
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Rows (node, component): the smallest node reachable from each node that has an edge.
 
@@ -22,8 +28,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
     is written, so that no lineage builds up.
     """
     edges = scratch.save(edges.where("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct(), f"{name}-0")
-    before, turn = None, 0
-    while True:
+    turn = 0
+    while not _are_stars(edges):
         # large star: neighbours above u go to u's least neighbour
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         large = _toward_minimum(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -32,9 +38,5 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         turn += 1
         edges = scratch.save(small, f"{name}-{turn}")
-        now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if now == before:
-            break
-        before = now
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").unionByName(roots)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.store import Scratch
@@ -19,18 +19,21 @@ def components(mask: DataFrame, neighbours: int = 8, scratch: Scratch | None = N
     """Rows (image_id, r, c, segment): segment is its least pixel in row order, as "r-c".
 
     neighbours is 4 or 8.  With level, only neighbours of equal level belong
-    together.  Pixels are nodes and adjacent ones edges of one graph over all
-    images, so a large image is no one task's work.
+    together.  Runs of pixels along rows are nodes and those that touch in the
+    next row edges of one graph over all images, so a large image is no one
+    task's work.
     """
     scratch = scratch or Scratch(mask.sparkSession, "components")
     same = [level] if level else []
     mask = mask.select(KEY, "r", "c", *same).distinct()
-    forward = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if neighbours == 8 else [])
-    moved = mask.select("*", F.explode(nb._offsets(forward)).alias("o")).select(KEY, *same, F.col("r").alias("r0"), F.col("c").alias("c0"), (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"))
+    along = Window.partitionBy(KEY, "r", *same)
+    mask = mask.withColumn("island", F.col("c") - F.row_number().over(along.orderBy("c")))
+    mask = scratch.save(mask.withColumn("start", F.min("c").over(Window.partitionBy(KEY, "r", *same, "island"))).drop("island"), "runs")
     node = lambda r, c: F.struct(F.col(KEY), F.col(r).alias("r"), F.col(c).alias("c"))
-    edges = moved.join(mask, [KEY, "r", "c", *same]).select(node("r0", "c0").alias("u"), node("r", "c").alias("v"))
-    found = connected_components(edges, scratch, "pixels")
-    labelled = mask.withColumn("node", node("r", "c")).join(found, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    moved = mask.select(KEY, *same, F.col("r").alias("r0"), F.col("start").alias("start0"), (F.col("r") + 1).alias("r"), F.explode(F.array(*[F.col("c") + d for d in ((-1, 0, 1) if neighbours == 8 else (0,))])).alias("c"))
+    edges = moved.join(mask, [KEY, "r", "c", *same]).select(node("r0", "start0").alias("u"), node("r", "start").alias("v"))
+    found = connected_components(edges, scratch, "runs")
+    labelled = mask.withColumn("node", node("r", "start")).join(found, "node", "left").withColumn("root", F.coalesce("component", "node"))
     return labelled.select(KEY, "r", "c", F.concat_ws("-", F.col("root.r").cast("string"), F.col("root.c").cast("string")).alias("segment"))
 
 
