@@ -40,7 +40,7 @@ class SuffixArray:
         self.seq[np.arange(len(hashes)) + ends] = rank + 1
         order, known = np.argsort(self.seq, kind="stable"), 1
         level = self.seq
-        while known < depth:  # prefix doubling: rank by 2 * known words from ranks by known words
+        while known < min(depth, len(self.seq)):  # prefix doubling: rank by 2 * known words from ranks by known words
             key = level * (len(self.seq) + 1)
             key[: len(key) - known] += level[known:]
             order = np.argsort(key, kind="stable")

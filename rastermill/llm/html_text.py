@@ -72,6 +72,8 @@ class _Lines(HTMLParser):
                 self._close("dt", frozenset({"dl"})), self._close("dd", frozenset({"dl"}))
         if tag in VOID or tag not in BLOCKS and tag not in UNSEEN and tag not in BOILERPLATE:
             return
+        if tag in BOILERPLATE:
+            self._flush()  # what stands before it isn't part of it
         above = self.stack[-1] if self.stack else ("", 0, False, False)
         inside = any(t in HOLDERS for t, *_ in self.stack)
         unseen = above[3] or tag in UNSEEN
@@ -102,19 +104,13 @@ class _Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        if tag in BLOCKS:
+        if tag in BLOCKS or tag in BOILERPLATE:
             self._flush()
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
-                if tag not in BLOCKS:
-                    self._flush_unless_inline(k)
                 del self.stack[k:]
                 return
 
-    def _flush_unless_inline(self, k: int) -> None:
-        if self.stack[k][2]:
-            self._flush()
-
     def handle_data(self, data: str) -> None:
         if self.stack and self.stack[-1][3]:
             return
