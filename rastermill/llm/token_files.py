@@ -15,6 +15,7 @@ so any run of ids is read with one seek and unpacked in numpy.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import re
@@ -123,52 +124,125 @@ class TokenReader:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
 
-_SPACE = re.compile(r"[ \t\n\r\f\v]+")
-#: What str.split() takes for white space besides the characters above.
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+#: How a tokenizer must clean and cut texts for `PieceEncoder` to cut them itself.
+CLEANED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+_SPACE = re.compile("[ \t\n\v\f\r]+")
+#: Characters outside Latin, and the one of them whose lower case is two characters.
+_ODD = re.compile("[^\0-\x7f¡-ſ]|İ")
+#: CUT as it is for Latin; what comes most is tried first.
+_PIECES = re.compile("[a-zªµºÀ-ÖØ-öø-ſ]+|'(?:s|t|re|ve|m|ll|d)|[0-9²³¹¼-¾]|[^ \t\n\v\f\r0-9a-zª²³µ¹º¼-¾À-ÖØ-öø-ſ]+")
 
-class WordEncoder:
-    """Encodes texts word by word, keeping the ids of words seen before.
 
-    For tokenizers that split at white space and drop it, as word_bpe_49k does,
-    the ids of a text are its words' ids in order.
+class _Places(dict):
+    """Numbers texts in the order they come; `fresh` lists those new since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, text: str) -> int:
+        self[text] = n = len(self)
+        self.fresh.append(text)
+        return n
+
+
+class PieceEncoder:
+    """Encodes texts as the tokenizers library does, each different piece of text once.
+
+    For a tokenizer that cuts texts as CUT says, Latin text is cut here and the
+    library encodes pieces it hasn't seen, many in a row, told apart by tokens
+    that end a piece; words with other characters or special tokens go to the
+    library as they are.  Other tokenizers get whole texts.
     """
 
-    MOST_WORDS = 250_000
+    #: A worker forgets all pieces beyond these bounds, about 100 MB.
+    MOST_KNOWN, MOST_CHARACTERS = 600_000, 16_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+        with open(path, encoding="utf-8") as f:
+            config = json.load(f)
+        cutters = (config.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        ending = config["model"].get("end_of_word_suffix")
+        self.cuts = bool(ending) and (config.get("normalizer") or {}).get("normalizers") == CLEANED and cutters[0].get("pattern") == {"Regex": CUT} and len(cutters) == 2 and config.get("post_processor") is None
+        self.special = [t["content"] for t in config.get("added_tokens") or []]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if self.cuts:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(ending)]] = True
+            # for pieces that are clean and cut already
+            self.of_pieces = Tokenizer.from_str(json.dumps(config | {"normalizer": None, "pre_tokenizer": config["pre_tokenizer"] | {"pretokenizers": [{"type": "WhitespaceSplit"}, cutters[1]]}}))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.places, self.characters = _Places(), 0
+        self.known, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _library(self, tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        n = np.array([len(x) for x in found], np.int64)
+        return np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(n.sum())), n
+
+    def _plain(self, text: str) -> bool:
+        return (text.isascii() or not _ODD.search(text)) and not any(s in text for s in self.special)
+
+    def _pieces(self, text: str) -> list[str]:
+        """The text's pieces; a word for the library has a blank before it."""
+        if self._plain(text):
+            return _PIECES.findall(text.lower())
+        out: list[str] = []
+        for word in _SPACE.split(text):
+            if self._plain(word):
+                out += _PIECES.findall(word.lower())
+            else:
+                out.append(" " + word)
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        plain, odd = [p for p in new if p[0] != " "], [p[1:] for p in new if p[0] == " "]
+        ids, _ = self._library(self.of_pieces, [" ".join(plain[k : k + 2000]) for k in range(0, len(plain), 2000)])
+        ends = np.diff(np.concatenate([[-1], np.flatnonzero(self.ends[ids])]))
+        if len(ends) != len(plain) or ends.sum() != len(ids):  # a piece that the library cuts again
+            ids, ends = self._library(self.tokenizer, plain)
+        odd_ids, odd_n = self._library(self.tokenizer, odd)
+        is_odd, n = np.array([p[0] == " " for p in new]), np.empty(len(new), np.int64)
+        n[is_odd], n[~is_odd] = odd_n, ends
+        own, mine = np.empty(int(n.sum()), np.uint32), np.repeat(is_odd, n)
+        own[mine], own[~mine] = odd_ids, ids
+        self.known = np.concatenate([self.known, own])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(n)])
+        self.characters += sum(map(len, new))
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text with end_id after it, and the texts' lengths."""
-        words = [(_SPACE.split(t) if _ODD_SPACE.search(t) else t.split()) for t in texts]
-        new = list({w for ws in words for w in ws if w not in self.known})
-        if len(self.known) + len(new) > self.MOST_WORDS:
-            self.known = {}
-            new = list({w for ws in words for w in ws})
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[w] = e.ids
-        known, out, lengths = self.known, [], np.empty(len(texts), np.int64)
-        total = 0
-        for k, ws in enumerate(words):
-            for w in ws:
-                out += known[w]
-            out.append(end_id)
-            lengths[k] = len(out) - total
-            total = len(out)
-        return np.array(out, np.uint32), lengths
+        if self.cuts:
+            if len(self.places) > self.MOST_KNOWN or self.characters > self.MOST_CHARACTERS:
+                self._forget()
+            pieces = [self._pieces(t) for t in texts]
+            count = np.array([len(p) for p in pieces], np.int64)
+            at = np.fromiter(map(self.places.__getitem__, itertools.chain.from_iterable(pieces)), np.int64, int(count.sum()))
+            if self.places.fresh:
+                self._learn(self.places.fresh)
+                self.places.fresh = []
+            n = self.first[at + 1] - self.first[at]
+            total = np.concatenate([[0], np.cumsum(n)])
+            ids = self.known[np.arange(total[-1]) + np.repeat(self.first[at] - total[:-1], n)]
+            lengths = np.diff(total[np.concatenate([[0], np.cumsum(count)])])
+        else:
+            ids, lengths = self._library(self.tokenizer, texts)
+        out = np.full(len(ids) + len(texts), end_id, np.uint32)
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), lengths)] = ids
+        return out, lengths + 1
 
 
 @functools.cache
-def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def _encoder(path: str) -> PieceEncoder:
+    return PieceEncoder(path)
 
 
 def _write_files(folder: str, tokenizer_path: str, bits: int, end_id: int):

@@ -79,7 +79,7 @@ def test_packing_round_trips_and_random_access(bits):
     writer = token_files.TokenWriter(sink, bits, block=64)
     writer.add([5, 6, 9], np.array([500, 0, 503]), ids)
     writer.close()
-    reader = token_files.TokenReader(pa.PythonFile(io.BytesIO(sink.getvalue())))
+    reader = token_files.TokenReader(pa.BufferReader(sink.getvalue()))
     assert (reader.document(0) == ids[:500]).all() and len(reader.document(1)) == 0 and (reader.document(2) == ids[500:]).all()
     assert (reader.ids(100, 777) == ids[100:777]).all() and reader.doc_ids.tolist() == [5, 6, 9]
 
@@ -89,8 +89,9 @@ def test_encoder_agrees_with_whole_texts():
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    texts = [t or "" for _, t, *_ in ODD] + ["<|endoftext|> it's I'LL x\x1cy a\u0085b ÅÅ Σας İ ǅ 12345 <|startoftext|>z", "é ́x ' s's"]
-    ids, lengths = token_files.WordEncoder(path).encode(texts, 2)
+    texts = [t or "" for _, t, *_ in ODD] + ["<|endoftext|> it's I'LL x\x1cy a\u0085b ÅÅ Σας İ ǅ 12345 <|startoftext|>z", "é ́x ' s's", "Ça coûte 3½ €, µm² ªº ÷×¿! don't'll 'sun ''re É'S ŒUVRE ſ", "日本's 12 ½", "\xa0nbsp\u2028x"]
+    texts += ["".join(map(chr, range(1, 0x250))), " ".join(f"a{chr(c)}B{chr(c)}{chr(c)}" for c in range(33, 0x250))]
+    ids, lengths = token_files.PieceEncoder(path).encode(texts, 2)
     want = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids + [2] for t in texts]
     assert lengths.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
 
