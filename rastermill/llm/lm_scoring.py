@@ -272,7 +272,7 @@ def score_documents(docs: DataFrame, held_out, p: Filter = Filter(), scratch: Sc
     scratch = scratch or Scratch(spark, "lm")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(11, max(4, (int(size) >> 22).bit_length()))  # segments of a few MB of text, 2048 at most
+    bits = min(16, max(4, (int(size) >> 22).bit_length()))  # segments of a few MB of text, 65536 at most
     shift, segments = 64 - bits, 1 << bits
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = rows.where("not held_out").select("text").mapInArrow(_count(shift), _PACKED)
