@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .statistics import standardize
+
 Matrix = list[list[Column]]
 
 
@@ -59,12 +61,28 @@ def bounding_rectangles(points: DataFrame, key: str) -> DataFrame:
     return points.groupBy(key).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
 
 
-def transform_images(pixels: DataFrame, images: DataFrame, out: tuple[int, int] = (128, 128), anisotropy: float = 2.15) -> DataFrame:
+def random_affine(key: str = "image_id", seed: int = 1, out: tuple[int, int] = (128, 128), degrees: float = 5.0, zoom: float = 0.9, shift: float = 0.05) -> Matrix:
+    """A small random map for each key: turned and sheared by up to `degrees`, zoomed down to `zoom`, shifted by up to a share of the output; drawn by hash, so reruns agree."""
+
+    def uniform(k: int, low: float, high: float) -> Column:
+        return F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(k)), F.lit(1 << 30)) / float(1 << 30) * (high - low) + low
+
+    return build_transform(uniform(0, -degrees, degrees), uniform(1, -degrees, degrees), uniform(2, zoom, 1.0), uniform(3, zoom, 1.0), *[uniform(4 + k, -shift * n, shift * n) for k, n in enumerate(out)])
+
+
+def centered_images(pixels: DataFrame, images: DataFrame, out: tuple[int, int] = (128, 128), anisotropy: float = 2.15, seed: int | None = None) -> DataFrame:
+    """Images centred on a grid of size out and standardised; with a seed, moved at random first."""
+    moved = transform_images(pixels, images, out, anisotropy, None if seed is None else random_affine(seed=seed, out=out))
+    return standardize(moved, ["image_id"])
+
+
+def transform_images(pixels: DataFrame, images: DataFrame, out: tuple[int, int] = (128, 128), anisotropy: float = 2.15, affine: Matrix | None = None) -> DataFrame:
     """Rows (image_id, r, c, v) of images centred on a grid of size out, by bilinear interpolation; outside is the image's mean.
 
-    Each output pixel names its four neighbours, which meet the source by equality.
+    affine is a map of the output's places before they are centred.  Each
+    output pixel names its four neighbours, which meet the source by equality.
     """
-    sized = images.withColumns({"_m": F.array(*[F.array(*row) for row in center_transform(F.col("height"), F.col("width"), out, anisotropy)])})
+    sized = images.withColumns({"_m": F.array(*[F.array(*row) for row in center_transform(F.col("height"), F.col("width"), out, anisotropy, affine)])})
     grid = sized.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(out[0] - 1)))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(out[1] - 1))))
     at = lambda k: F.col("_m")[k][0] * F.col("r") + F.col("_m")[k][1] * F.col("c") + F.col("_m")[k][2]
     grid = grid.withColumns({"sy": at(0), "sx": at(1)}).withColumns({"y0": F.floor("sy").cast("int"), "x0": F.floor("sx").cast("int")})

@@ -50,7 +50,7 @@ def ultimate_erosion(mask: DataFrame, images: DataFrame, dilation: int = 3, scra
     return nb.dilate(last_eroded(mask, images, scratch), images, dilation)
 
 
-def adaptive_ultimate_erosion(mask: DataFrame, images: DataFrame, dilations: tuple[int, int, int] = (3, 3, 3), larger: int = 600, largest: int = 1000, scratch: Scratch | None = None) -> DataFrame:
+def adaptive_ultimate_erosion(mask: DataFrame, images: DataFrame, dilations: tuple[int, int, int] = (4, 5, 7), larger: int = 600, largest: int = 1000, scratch: Scratch | None = None) -> DataFrame:
     """Markers grown by the size of the segment they are in.
 
     dilations are those of segments above both bounds, of at most `larger`

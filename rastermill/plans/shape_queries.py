@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.store import Scratch, read_table
-from ..operators import contrast, features, learning, markers, sampling, scaling, segmentation, shapes, splitting
+from ..operators import affine, contrast, features, learning, markers, sampling, scaling, segmentation, shapes, splitting
 from ..operators import neighbourhood as nb
 from . import pipelines
 from . import views as v
@@ -110,6 +110,11 @@ def hog_descriptor(spark, sf_dir):
     return features.hog_descriptor(*_images(spark, sf_dir)).withColumn("value", F.round("value", 6))
 
 
+def centered_at_random(spark, sf_dir):
+    px = v.px8(spark, sf_dir).where("image_id < 100")
+    return affine.centered_images(px, v.dims(px), (6, 6), 1.0, seed=7).withColumn("v", F.round("v", 6))
+
+
 def nearest_center(spark, sf_dir):
     px = v.px8(spark, sf_dir)
     near = v.above(px, 0.9).select("image_id", F.col("r").alias("r2"), F.col("c").alias("c2"))
@@ -218,6 +223,7 @@ QUERIES = {
     "pyramid_boxes": (pyramid_boxes, None),
     "hog_descriptor": (hog_descriptor, _HOG),
     "nearest_center": (nearest_center, f"WITH {v.PX8}, {v.above_sql('m', 0.9, 'px8')} SELECT p.image_id, p.r, p.c, CAST(min(abs(p.r - m.r) + abs(p.c - m.c)) AS INT) AS d FROM px8 p JOIN m USING (image_id) GROUP BY 1, 2, 3"),
+    "centered_at_random": (centered_at_random, None),
     "hold_out": (hold_out, "SELECT doc_id, quality FROM (SELECT *, row_number() OVER (ORDER BY md5(doc_id || '-1'), doc_id) AS nth, count(*) OVER () AS n FROM labels) WHERE nth <= CAST(floor(n * 0.1) AS INT)"),
     "nth_images": (nth_images, "SELECT doc_id, lang FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS nth FROM documents) WHERE nth BETWEEN 11 AND 20"),
     "first_existing": (first_existing, "SELECT d.doc_id AS id, coalesce('train/' || l.doc_id, 'test/' || p.page_id, CAST(d.doc_id AS VARCHAR)) AS path FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN pages p ON p.page_id = d.doc_id"),

@@ -206,6 +206,14 @@ def test_degenerate_boxes_become_the_image(spark):
     assert tuple(row) == (0, 0, 50, 60)
 
 
+def test_centred_images_are_standardised_and_moved_by_hash(spark):
+    px = spark.createDataFrame([(k, r, c, float((k + 3 * r + c * c) % 11)) for k in (1, 2) for r in range(9) for c in range(9)], "image_id long, r int, c int, v double")
+    images = spark.createDataFrame([(k, 9, 9) for k in (1, 2)], "image_id long, height int, width int")
+    still, moved, again = (affine.centered_images(px, images, (8, 8), 1.0, seed).orderBy("image_id", "r", "c").collect() for seed in (None, 3, 3))
+    assert len(still) == len(moved) == 128 and moved == again and moved != still
+    assert sum(r.v for r in still) == pytest.approx(0, abs=1e-6)
+
+
 def test_empty_tables(spark):
     mask, images = mask_of(spark, "..")
     mask = mask.limit(0)
