@@ -115,6 +115,15 @@ def test_rules(spark, docs):
     assert sorted((str(r.doc_id), r.n_words) for r in rows) == sorted((str(d.doc_id), brute.counts(d.text)[0]) for d in docs.collect())
 
 
+def test_copies_of_one_text_do_not_close_a_band(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'").dropDuplicates(["text"]).select("doc_id", "text", "lang").localCheckpoint()
+    clean = {r.doc_id for r in quality_rules.quality_rules(docs).where("kept").select("doc_id").collect()}
+    one = docs.where(F.col("doc_id") == min(clean))
+    copies = one.crossJoin(spark.range(docs.count() * 3 // 2)).select((F.col("id") + 10_000_000).alias("doc_id"), "text", "lang")  # 60 % of the language
+    kept = {r.doc_id for r in quality_rules.quality_rules(docs.unionByName(copies)).where("kept").select("doc_id").collect()}
+    assert len(clean - kept) <= 0.1 * len(clean) and sum(i >= 10_000_000 for i in kept) == copies.count()
+
+
 def test_kneser_ney_sums_to_one(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(50)
     grams = docs.select("text", "lang").mapInArrow(quality_rules._counts(3, {"en": 0}), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
