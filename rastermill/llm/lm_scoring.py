@@ -2,9 +2,10 @@
 
 Spark counts all training unigrams and bigrams.  Each n-gram enters a Bloom
 filter once for every level of its count on a log scale, so its quantised count
-is the number of levels that repeated probes find.  The filter, whose size has
-a fixed bound, is broadcast; probabilities are Dirichlet-smoothed bigrams over
-add-one unigrams.  Exact unigram scores come beside it: the most frequent words
+is the number of levels that repeated probes find.  The filter grows with the
+counts, at fixed bits for each entry; as much of it as a bound allows is
+broadcast at once, and larger ones are probed in several passes over the texts.
+Probabilities are Dirichlet-smoothed bigrams over add-one unigrams.  Exact unigram scores come beside it: the most frequent words
 are broadcast, in bounded number, and the rest meet their counts in a shuffle.
 
 N-grams travel as 64-bit hashes in packed arrays, one row for each segment of
@@ -33,7 +34,7 @@ HELD = 2_000_000
 
 @dataclass(frozen=True)
 class Filter:
-    """Parameters of the filter and of smoothing."""
+    """Parameters of the filter and of smoothing; most_bytes is what of the filter is broadcast at once."""
 
     bits_per_entry: int = 8
     probes: int = 5
@@ -114,14 +115,13 @@ def _bit_places(keys: np.ndarray, level: int, n_bits: np.ndarray, probes: int) -
 _MERGED = "kind int, segment int, keys binary, counts binary, total long, n long, histogram array<long>, bits long, filter binary"
 
 
-def _merge(p: Filter, segments: int):
+def _merge(p: Filter):
     """Sums each segment's counts and builds its part of the filter; words keep their counts beside it."""
-    most_bits = p.most_bytes * 8 // (2 * segments)
 
     def finish(kind: int, segment: int, parts: list) -> pa.RecordBatch:
         keys, n = _sum_by(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
         level = _levels(n)
-        bits = int(min(max(64, p.bits_per_entry * int(level.sum())), most_bits))
+        bits = max(64, p.bits_per_entry * int(level.sum()))
         on = np.zeros(-(-bits // 8) * 8, np.uint8)
         for j in range(1, int(level.max()) + 1):
             for place in _bit_places(keys[level >= j], j, _U(bits), p.probes):
@@ -154,9 +154,30 @@ def _merge(p: Filter, segments: int):
     return run
 
 
+Range = tuple[int, int]
+
+
+def _blocks(size: np.ndarray, most: int) -> list[Range]:
+    """Runs of segments of at most so many bytes together, or of one larger segment: first, one after the last."""
+    out, first, total = [], 0, 0
+    for k, x in enumerate(size.tolist()):
+        if k > first and total + x > most:
+            out.append((first, k))
+            first, total = k, 0
+        total += x
+    return [*out, (first, len(size))]
+
+
+def _passes(size: np.ndarray, segments: int, most: int) -> list[tuple[Range, Range, Range]]:
+    """Segments of word, of the word before and of bigram that each pass takes, `most` bytes together; every combination once."""
+    whole = int(size[:segments].sum()) <= most // 2
+    words, bigrams = _blocks(size[:segments], most // 2 if whole else most // 4), _blocks(size[segments:], most // 2)
+    return [(a, b, c) for a in words for b in words for c in bigrams]
+
+
 @dataclass
 class CountFilter:
-    """The whole filter: segments of words, then of bigrams, one after another."""
+    """A pass's part of the filter: segments of words, then of bigrams, one after another; absent ones have no bits."""
 
     probes: int
     shift: int
@@ -164,6 +185,17 @@ class CountFilter:
     bits: np.ndarray
     first: np.ndarray
     data: np.ndarray
+    word: Range
+    before: Range
+    bigram: Range
+
+    def takes(self, word: np.ndarray, before: np.ndarray, bigram: np.ndarray) -> np.ndarray:
+        """Which bigrams are this pass's to score."""
+        own = np.ones(len(bigram), bool)
+        for keys, (first, end) in ((word, self.word), (before, self.before), (bigram, self.bigram)):
+            segment = (keys >> _U(self.shift)).astype(np.int64)
+            own &= (segment >= first) & (segment < end)
+        return own
 
     def counts(self, keys: np.ndarray, kind: int) -> np.ndarray:
         """Quantised counts: the middle of the highest level found by probing level after level."""
@@ -187,9 +219,11 @@ _SCORED = "row_id long, doc_id long, held_out boolean, n_tokens long, known long
 
 
 def _score(filter_, frequent, total: int, distinct: int, prior: float):
+    """A pass over the texts; without `frequent`, of (row_id, score) only."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f: CountFilter = filter_.value
-        words, counts = frequent.value
+        words, counts = frequent.value if frequent else (None, None)
         for batch in batches:
             for i, j, data, off in chunks(batch.column("text")):
                 n = j - i
@@ -202,7 +236,11 @@ def _score(filter_, frequent, total: int, distinct: int, prior: float):
                 c_b = f.counts(b, 1)
                 h = np.maximum(c_u[context[b_first]], c_b)
                 log_b = np.log10((c_b + prior * p_u[u_at[b_first]]) / (h + prior))
+                log_b = np.where(f.takes(u[u_at[b_first]], u[context[b_first]], b), log_b, 0.0)
                 score = np.bincount(text, log_b[b_at], n)
+                if frequent is None:
+                    yield pa.RecordBatch.from_arrays([batch.column("row_id").slice(i, n), pa.array(score)], names=["row_id", "score"])
+                    continue
                 at = np.minimum(np.searchsorted(words, u), max(len(words) - 1, 0))
                 often = words[at] == u if len(words) else np.zeros(len(u), bool)
                 log_u = np.where(often, np.log10(np.where(often, counts[at], 0) + 1.0), 0.0) if len(words) else np.zeros(len(u))
@@ -276,21 +314,34 @@ def score_documents(docs: DataFrame, held_out, p: Filter = Filter(), scratch: Sc
     shift, segments = 64 - bits, 1 << bits
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = rows.where("not held_out").select("text").mapInArrow(_count(shift), _PACKED)
-    merged = scratch.save(packed.repartition(n, "kind", "segment").sortWithinPartitions("kind", "segment").mapInArrow(_merge(p, segments), _MERGED), "counts")
-    table = merged.select("kind", "segment", "total", "n", "histogram", "bits", "filter").toArrow()  # the filter's bounded size, and a row for each segment
-    at = table.column("kind").to_numpy() * segments + table.column("segment").to_numpy()
-    all_bits, first = np.zeros(2 * segments, np.uint64), np.zeros(2 * segments, np.int64)
-    blobs = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("filter")]
-    all_bits[at] = table.column("bits").to_numpy().astype(np.uint64)
-    first[at] = np.cumsum([0, *map(len, blobs)])[:-1]
-    data = np.concatenate([*blobs, np.zeros(1, np.uint8)])
-    filter_ = spark.sparkContext.broadcast(CountFilter(p.probes, shift, segments, all_bits, first, data))
+    merged = scratch.save(packed.repartition(n, "kind", "segment").sortWithinPartitions("kind", "segment").mapInArrow(_merge(p), _MERGED), "counts")
+    table = merged.select("kind", "segment", "total", "n", "histogram", "bits").toArrow()  # a row for each segment
+    size = np.zeros(2 * segments, np.int64)
+    size[table.column("kind").to_numpy() * segments + table.column("segment").to_numpy()] = -(-table.column("bits").to_numpy() // 8)
+    passes = _passes(size, segments, p.most_bytes)
+
+    def part(word: Range, before: Range, bigram: Range):
+        def own(kind: int, *ranges: Range):
+            found = F.lit(False)
+            for a, b in ranges:
+                found |= (F.col("segment") >= a) & (F.col("segment") < b)
+            return (F.col("kind") == kind) & found
+
+        held = merged.where(own(0, word, before) | own(1, bigram)).select("kind", "segment", "bits", "filter").toArrow()  # p.most_bytes
+        at = held.column("kind").to_numpy() * segments + held.column("segment").to_numpy()
+        bits, first = np.zeros(2 * segments, np.uint64), np.zeros(2 * segments, np.int64)
+        blobs = [np.frombuffer(x.as_buffer(), np.uint8) for x in held.column("filter")]
+        bits[at] = held.column("bits").to_numpy().astype(np.uint64)
+        first[at] = np.cumsum([0, *map(len, blobs)])[:-1]
+        data = np.concatenate([*blobs, np.zeros(1, np.uint8)])
+        return spark.sparkContext.broadcast(CountFilter(p.probes, shift, segments, bits, first, data, word, before, bigram))
+
     words = table.filter(pc.equal(table.column("kind"), 0))
     total, distinct = sum(words.column("total").to_pylist()), sum(words.column("n").to_pylist())
     # the lowest level from which on there are few enough words to broadcast
     above = np.cumsum(np.sum([np.zeros(65, np.int64), *map(np.array, words.column("histogram").to_pylist())], axis=0)[::-1])[::-1]
     least = 1 << max(int(np.flatnonzero(above <= p.most_frequent)[0]) - 1, 0)
-    del table, words, blobs, data
+    del table, words
 
     def frequent_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,8 +355,20 @@ def score_documents(docs: DataFrame, held_out, p: Filter = Filter(), scratch: Sc
     keys = often.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     frequent = spark.sparkContext.broadcast((keys[order], often.column("n").to_numpy()[order]))
-    scored = rows.withColumn("row_id", F.monotonically_increasing_id()).mapInArrow(_score(filter_, frequent, total, distinct, p.prior), _SCORED)
-    scored = scratch.save(scored, "scored")
+    numbered = rows.withColumn("row_id", F.monotonically_increasing_id())
+    if len(passes) > 1:  # all passes must see the same numbers
+        numbered = scratch.save(numbered, "numbered")
+    scored, others = None, None
+    for k, ranges in enumerate(passes):
+        filter_ = part(*ranges)
+        if k == 0:
+            scored = scratch.save(numbered.mapInArrow(_score(filter_, frequent, total, distinct, p.prior), _SCORED), "scored")
+        else:
+            one = scratch.save(numbered.select("row_id", "text").mapInArrow(_score(filter_, None, total, distinct, p.prior), "row_id long, score double"), f"scored-{k}")
+            others = one if others is None else others.unionByName(one)
+        filter_.destroy()
+    if others is not None:
+        scored = scored.join(others.groupBy("row_id").agg(F.sum("score").alias("others")), "row_id").withColumn("score", F.col("score") + F.col("others")).drop("others")
     rare = scored.select("row_id", "rare", "times").where(F.length("rare") > 0).mapInArrow(_deal_rare(shift), "segment int, side int, keys binary, counts binary, row_ids binary")
     both = merged.where("kind = 0").select("segment", F.lit(0).alias("side"), "keys", "counts", F.lit(None).cast("binary").alias("row_ids")).unionByName(rare)
     found = both.repartition(n, "segment").sortWithinPartitions("segment", "side").mapInArrow(_look_up, "row_id long, more_logs double, more_known long")

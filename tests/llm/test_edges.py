@@ -110,6 +110,23 @@ def test_lm_exact_counts_need_no_frequent_words(spark, sf_dir):
     assert [(r.n_known, round(r.base_score, 6)) for r in some] == [(r.n_known, round(r.base_score, 6)) for r in most]
 
 
+def test_lm_in_passes_is_the_same(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 40")
+    held = F.col("doc_id") % 5 == 0
+    whole = lm_scoring.score_documents(docs, held).orderBy("doc_id").collect()
+    for most in (16_000, 6_000):
+        parts = lm_scoring.score_documents(docs, held, lm_scoring.Filter(most_bytes=most)).orderBy("doc_id").collect()
+        assert [r.score for r in parts] == pytest.approx([r.score for r in whole], rel=1e-9)
+        assert [(r.doc_id, r.n_known, round(r.base_score, 6)) for r in parts] == [(r.doc_id, r.n_known, round(r.base_score, 6)) for r in whole]
+
+
+def test_passes_take_every_combination_once():
+    size = np.array([3, 4, 5, 0, 9, 1, 1, 1])
+    assert lm_scoring._blocks(size[:4], 7) == [(0, 2), (2, 4)] and lm_scoring._blocks(size[4:], 7) == [(0, 1), (1, 4)]
+    assert len(lm_scoring._passes(size, 4, 1000)) == 1 and len(lm_scoring._passes(size, 4, 24)) == 1
+    assert len(set(lm_scoring._passes(size, 4, 16))) == 4 * 4 * 2  # an empty segment after a full block starts its own
+
+
 def test_rules(spark, docs):
     rows = quality_rules.quality_rules(docs).collect()
     assert sorted((str(r.doc_id), r.n_words) for r in rows) == sorted((str(d.doc_id), brute.counts(d.text)[0]) for d in docs.collect())
