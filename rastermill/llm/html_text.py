@@ -2,10 +2,10 @@
 
 The standard library's parser streams its events into lines, one for each
 block of text, with the tags seen on it.  A line's ratio of text to tags is
-smoothed with a Gaussian along the page, lines above a threshold form clusters,
-and the strongest cluster marks the content region.  The region is widened to
-the element that holds the cluster, so that short lines of the article stay,
-and lines inside menus, headers, footers, adverts and the like are left out.
+smoothed with a Gaussian along the page, and lines above a threshold mark the
+content region, however many clusters they form.  The region is widened to the
+elements that hold them, so that short lines of the article stay, and lines
+inside menus, headers, footers, adverts and the like are left out.
 """
 
 from __future__ import annotations
@@ -142,27 +142,27 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
         return ""
     smooth = smoothed_ratios(lines, sigma)
     # the threshold is the spread of the ratios, as far as some line passes it
-    high = (smooth >= min(float(np.std(smooth)), float(smooth[usable].max()))) & np.array(usable)
-    held = [k for k in range(len(lines)) if high[k] and any(t in HOLDERS for t, _ in lines[k][3])]
-    if not held and any(u and any(t in HOLDERS for t, _ in line[3]) for u, line in zip(usable, lines, strict=True)):
-        high = np.array([u and any(t in HOLDERS for t, _ in line[3]) for u, line in zip(usable, lines, strict=True)])
-    edge = np.diff(np.concatenate([[0], high.astype(np.int8), [0]]))
-    clusters = list(zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True))
-
-    def weight(cluster: tuple[int, int]) -> tuple[bool, int]:
-        rows = range(*cluster)
-        return any(t in HOLDERS for k in rows for t, _ in lines[k][3]), sum(len(lines[k][0]) for k in rows)
-
-    best = max(clusters, key=weight)
-    path = _shared_path([lines[k][3] for k in range(*best)])
+    threshold = min(float(np.std(smooth)), float(smooth[usable].max()))
+    # a line beside boilerplate is smoothed towards nothing, so its own ratio counts too
+    alone = np.array([len(line[0]) / max(1, line[1]) for line in lines])
+    high = (np.maximum(smooth, alone) >= threshold) & np.array(usable)
+    holder = [_holder(line[3]) if u else None for u, line in zip(usable, lines, strict=True)]
+    if any(holder):
+        # articles with a high line, or all if there is none, and what articles stand beside them
+        strong = {h for h, top in zip(holder, high, strict=True) if h and top} or {h for h in holder if h}
+        around = {h[:-1] for h in strong}
+        return "\n\n".join(line[0] for line, h in zip(lines, holder, strict=True) if h and h[:-1] in around)
+    path = _shared_path([line[3] for line, top in zip(lines, high, strict=True) if top])
     return "\n\n".join(line[0] for line, u in zip(lines, usable, strict=True) if u and line[3][: len(path)] == path)
 
 
+def _holder(path: tuple[tuple[str, int], ...]) -> tuple[tuple[str, int], ...] | None:
+    """The outermost article on the path."""
+    return next((path[: k + 1] for k, (tag, _) in enumerate(path) if tag in HOLDERS), None)
+
+
 def _shared_path(paths: list[tuple[tuple[str, int], ...]]) -> tuple[tuple[str, int], ...]:
-    """The element that holds a cluster: its outermost article, or else the innermost one around all its lines but single blocks."""
-    for k, (tag, _) in enumerate(paths[0]):
-        if tag in HOLDERS:
-            return paths[0][: k + 1]
+    """The innermost element around all lines but single blocks."""
     shared = paths[0]
     for p in paths[1:]:
         n = 0

@@ -203,3 +203,15 @@ def test_html_with_and_without_an_article(spark):
     assert rows[1] == rows[2] == rows[3] == TEXT
     assert rows[4] == rows[5] == rows[6] == "" and rows[8] == "plain"
     assert html_text.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
+
+
+def test_html_keeps_all_parts_of_an_article():
+    one, two, three = (f"Part {k} of the text is a paragraph as long as paragraphs in articles are, and says so." for k in ("one", "two", "three"))
+    advert = "<aside><p>Buy this now, it is a very good thing to have and it costs next to nothing.</p></aside>"
+    for body in (
+        f"<section><p>{one}</p></section>{advert}<section><p>{two}</p></section><section><p>{three}</p></section>",
+        f"<div>{one}</div>{advert}<div>{two}</div><div class=ad>{two}</div><div>{three}</div>",
+        f"<article><p>{one}</p></article>{advert}<article><p>{two}</p></article><article><p>{three}</p></article>",
+        f"<div><article><p>{one}</p></article><article><p>{two}</p><p>{three}</p></article></div>",
+    ):
+        assert html_text.main_text(PAGE % body) == "\n\n".join((one, two, three))
