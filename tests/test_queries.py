@@ -41,3 +41,9 @@ def test_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", ["bilinear_center", "centered_at_random"])
+def test_takes_all_images(spark, name):
+    images = {r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect()}
+    assert {r.image_id for r in QUERIES[name](spark, SF).select("image_id").distinct().collect()} == images
