@@ -48,8 +48,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no 10-word window of `benchmark` occurs."""
-    _scratch(spark, 2)
-    return remove_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+    return remove_contaminated(docs, read_table(spark, sf_dir, "benchmark"), scratch=_scratch(spark, 2))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

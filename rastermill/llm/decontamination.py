@@ -1,15 +1,17 @@
 """Benchmark decontamination with suffix arrays of the training text.
 
 Each task cuts its documents into shards, sorts a shard's word suffixes, and
-binary-searches every suffix of every benchmark text in it.  Matches of a whole
-window are hits, with their places; runs of them are the longest verbatim
-matches.  Documents with a hit can then be removed.
+binary-searches every suffix of every benchmark text in it, word after word
+until no training suffix goes on: that is the suffix's longest verbatim match,
+and the run of sorted suffixes it leaves are its places.  Matches of a window
+or more are kept with item, place and length, and documents with any can then
+be removed.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,19 +19,22 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import read_table
-from .words import ALNUM, chunks, split_words, text_bytes
+from .store import Scratch, read_table
+from .words import ALNUM, Words, chunks, mix64, split_words, text_bytes
 
-#: Bytes of text in one suffix array, and of benchmark text searched at once.
+#: Bytes of text in one suffix array, and of benchmark text that is broadcast at once.
 SHARD_BYTES = 1 << 21
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 26
+
+_U = np.uint64
 
 
 class SuffixArray:
-    """Suffixes of the word sequences of some texts, sorted to at least `depth` words.
+    """Suffixes of the word sequences of some texts, sorted as far as `depth` words, at most to where they differ.
 
     Words are ordered by their hashes' ranks; rank 0 ends each text, so no match
-    runs from one text into the next.
+    runs from one text into the next.  A query of up to `depth` words finds
+    exactly the places it would find in a fully sorted array.
     """
 
     def __init__(self, hashes: np.ndarray, offsets: np.ndarray, depth: int):
@@ -38,25 +43,45 @@ class SuffixArray:
         ends = np.repeat(np.arange(n_texts), np.diff(offsets))
         self.seq = np.zeros(len(hashes) + n_texts, np.int64)
         self.seq[np.arange(len(hashes)) + ends] = rank + 1
-        order, known = np.argsort(self.seq, kind="stable"), 1
-        level = self.seq
-        while known < min(depth, len(self.seq)):  # prefix doubling: rank by 2 * known words from ranks by known words
-            key = level * (len(self.seq) + 1)
-            key[: len(key) - known] += level[known:]
-            order = np.argsort(key, kind="stable")
-            new = np.zeros(len(key), np.int64)
-            new[1:] = np.diff(key[order]) != 0
-            level = np.empty(len(key), np.int64)
-            level[order] = np.cumsum(new)
+        n, known = len(self.seq), 1
+        self.order = np.argsort(self.seq, kind="stable")
+        value = self.seq[self.order]
+        level = np.empty(n, np.int64)  # a suffix's rank is the first place of those equal to it so far
+        level[self.order] = np.searchsorted(value, value)
+        open_ = np.flatnonzero(self._tied(level[self.order]))
+        while known < depth and len(open_):  # prefix doubling over the suffixes that still tie
+            at = self.order[open_]
+            after = np.where(at + known < n, level[np.minimum(at + known, n - 1)], -1)
+            by = np.lexsort((after, level[at]))
+            at, mine, after = at[by], level[at][by], after[by]
+            self.order[open_] = at
+            new = np.ones(len(at), bool)
+            new[1:] = (mine[1:] != mine[:-1]) | (after[1:] != after[:-1])
+            level[at] = open_[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+            open_ = open_[self._tied(level[at])]
             known *= 2
-        self.order = order
 
-    def ranges(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each row of word ranks, the run of sorted suffixes that begin with it, by binary search."""
-        lo, hi = np.zeros(len(query), np.int64), np.full(len(query), len(self.order), np.int64)
-        for d in range(query.shape[1]):
-            lo, hi = self._bound(lo, hi, d, query[:, d], False), self._bound(lo, hi, d, query[:, d], True)
-        return lo, hi
+    @staticmethod
+    def _tied(level: np.ndarray) -> np.ndarray:
+        same = np.zeros(len(level) + 1, bool)
+        same[1:-1] = level[1:] == level[:-1]
+        return same[1:] | same[:-1]
+
+    def longest(self, rank: np.ndarray, at: np.ndarray, left: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For query suffixes that begin at places `at` of rank: words of the longest match, the run of sorted suffixes that have it, and the run of those that match the first `need` words."""
+        lo, hi = np.zeros(len(at), np.int64), np.full(len(at), len(self.order), np.int64)
+        run_lo, run_hi, length = np.zeros_like(lo), np.zeros_like(lo), np.zeros_like(lo)
+        on, d = np.arange(len(at)), 0
+        while len(on):
+            word = rank[at[on] + d] + 1
+            a, b = self._bound(lo[on], hi[on], d, word, False), self._bound(lo[on], hi[on], d, word, True)
+            found = (a < b) & (word > 0)
+            on, d = on[found], d + 1
+            lo[on], hi[on], length[on] = a[found], b[found], d
+            whole = on[need[on] == d]
+            run_lo[whole], run_hi[whole] = lo[whole], hi[whole]
+            on = on[left[on] > d]
+        return length, lo, hi, run_lo, run_hi
 
     def _bound(self, lo: np.ndarray, hi: np.ndarray, d: int, word: np.ndarray, after: bool) -> np.ndarray:
         lo, hi = lo.copy(), hi.copy()
@@ -70,96 +95,125 @@ class SuffixArray:
         return lo
 
 
-def query_windows(item_ids: list[str], texts: list[str | None], width: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Distinct (window hashes, item index) by window length: runs of `width` words, or a shorter item whole."""
-    data, off = text_bytes(pa.array(texts, pa.string()))
-    words = split_words(data, off, ALNUM, True)
-    by_length: dict[int, list] = {}
-    for k in range(len(texts)):
-        h = words.hash[words.offsets[k] : words.offsets[k + 1]]
-        n = min(width, len(h))
-        if n:
-            view = np.lib.stride_tricks.sliding_window_view(h, n)
-            by_length.setdefault(n, []).append((view, np.full(len(view), k)))
-    return [(np.concatenate([a for a, _ in v]), np.concatenate([b for _, b in v])) for v in by_length.values()]
-
-
-def _search(block: Broadcast, width: int, last: bool):
-    """Adds to each row's hit places and items those of one block of benchmark texts."""
-
-    def matches(array: SuffixArray, windows: np.ndarray, item: np.ndarray, text_start: np.ndarray):
-        """(text, first word in the text, words, item) of each occurrence."""
-        rank = np.searchsorted(array.words, windows)
-        rank_in = np.minimum(rank, max(len(array.words) - 1, 0))
-        known = (array.words[rank_in] == windows).all(1) if len(array.words) else np.zeros(len(windows), bool)
-        query, item = rank[known] + 1, item[known]
-        lo, hi = array.ranges(query)
-        n = hi - lo
-        item = np.repeat(item, n)
-        at = array.order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] if len(n) else np.zeros(0, np.int64)
-        text = np.searchsorted(text_start, at, side="right") - 1
-        return text, at - text_start[text], item
+def _run_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n words from each place on, where n are left."""
+    out = np.zeros(max(len(hashes) - n + 1, 0), _U)
+    for k in range(n if len(out) else 0):
+        out = out * _U(0xFF51AFD7ED558CCD) + hashes[k : len(hashes) - n + 1 + k]
+    return mix64(out)
+
+
+@dataclass
+class Queries:
+    """Words of some benchmark texts one after another, and what each suffix needs: a window, or a shorter item whole."""
+
+    ids: list[str]
+    hashes: np.ndarray
+    first: np.ndarray  # first word of each item
+    item: np.ndarray  # item each word is in
+    left: np.ndarray  # words from here to the item's end
+    need: np.ndarray  # words that make a hit; 0 where too few are left
+    windows: dict[int, tuple[np.ndarray, np.ndarray]]  # by need: sorted hashes of the first `need` words, and the places they are from
+
+    @classmethod
+    def of(cls, ids: list[str], texts: list[str | None], width: int) -> Queries:
+        data, off = text_bytes(pa.array(texts, pa.string()))
+        words = split_words(data, off, ALNUM, True)
+        item = words.text_of()
+        left = words.offsets[item + 1] - np.arange(len(item))
+        need = np.minimum(width, words.counts[item])
+        need[left < need] = 0
+        windows = {}
+        for n in np.unique(need[need > 0]).tolist():
+            at = np.flatnonzero(need == n)
+            hashed = _run_hashes(words.hash, n)[at]
+            order = np.argsort(hashed, kind="stable")
+            windows[n] = hashed[order], at[order]
+        return cls(ids, words.hash, words.offsets[:-1], item, left, need, windows)
+
+    def present(self, words: Words) -> np.ndarray:
+        """Places of suffixes whose first `need` words stand in the texts, by hash."""
+        found = []
+        for n, (hashed, at) in self.windows.items():
+            own = np.unique(_run_hashes(words.hash, n))
+            found.append(at[_among(hashed, own)])
+        return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
+def _among(some: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which values of a sorted array are in another sorted one; the shorter one is searched for in the longer."""
+    if len(others) < len(some):
+        first, last = np.searchsorted(some, others), np.searchsorted(some, others, side="right")
+        mark = np.zeros(len(some) + 1, np.int64)
+        np.add.at(mark, first, 1)
+        np.subtract.at(mark, last, 1)
+        return np.cumsum(mark[:-1]) > 0
+    at = np.minimum(np.searchsorted(others, some), max(len(others) - 1, 0))
+    return others[at] == some if len(others) else np.zeros(len(some), bool)
+
+
+_FIELDS = ("text", "item", "item_first", "first", "words")
+
+
+def shard_matches(words: Words, q: Queries) -> np.ndarray:
+    """Rows of _FIELDS for every verbatim match of a window or more that can't go on to either side in its item and text."""
+    at = q.present(words)
+    if not len(at):
+        return np.zeros((0, len(_FIELDS)), np.int64)
+    array = SuffixArray(words.hash, words.offsets, int(q.left[at].max()))
+    place = np.minimum(np.searchsorted(array.words, q.hashes), len(array.words) - 1)
+    rank = np.where(array.words[place] == q.hashes, place, -2)
+    longest, lo, hi, run_lo, run_hi = array.longest(rank, at, q.left[at], q.need[at])
+    n = run_hi - run_lo
+    of = np.repeat(np.arange(len(at)), n)
+    nth = np.repeat(run_lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    suffix, here, item = at[of], array.order[nth], q.item[at[of]]
+    # a match begins where the words before differ, or where the item does
+    begins = (suffix == q.first[item]) | (array.seq[here - 1] != rank[suffix - 1] + 1) | (here == 0)
+    of, nth, suffix, here, item = (x[begins] for x in (of, nth, suffix, here, item))
+    top = (nth >= lo[of]) & (nth < hi[of])
+    length = np.where(top, longest[of], q.need[suffix])
+    on = np.flatnonzero(~top)
+    while len(on):  # places of the window that don't have the suffix's longest match
+        p, s = here[on] + length[on], suffix[on] + length[on]
+        more = (length[on] < q.left[suffix[on]]) & (array.seq[np.minimum(p, len(array.seq) - 1)] == rank[np.minimum(s, len(rank) - 1)] + 1) & (array.seq[np.minimum(p, len(array.seq) - 1)] > 0)
+        on = on[more]
+        length[on] += 1
+    text_start = words.offsets[:-1] + np.arange(len(words))
+    text = np.searchsorted(text_start, here, side="right") - 1
+    out = np.stack([text, item, suffix - q.first[item], here - text_start[text], length], 1)
+    return out[np.lexsort((out[:, 2], out[:, 1], out[:, 3], out[:, 0]))]
+
+
+_MATCH = "array<struct<item_id:string,item_first:long,first:long,words:long>>"
+_MATCHES = pa.list_(pa.struct([("item_id", pa.string()), ("item_first", pa.int64()), ("first", pa.int64()), ("words", pa.int64())]))
+
+
+def _search(block: Broadcast, only_found: bool):
+    """Adds n_words and matches to the rows, or gives row_id and matches of those with any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, queries = block.value
+        q: Queries = block.value
+        names = pa.array(q.ids, pa.string())
         for batch in batches:
-            held = {name: batch.column(name) for name in batch.schema.names}
-            for i, j, data, off in chunks(held["text"], SHARD_BYTES):
+            for i, j, data, off in chunks(batch.column("text"), SHARD_BYTES):
                 words = split_words(data, off, ALNUM, True)
-                n = j - i
-                text_start = words.offsets[:-1] + np.arange(n)
-                array = SuffixArray(words.hash, words.offsets, width)
-                places, items = [], []
-                for windows, item in queries:
-                    t, first, which = matches(array, windows, item, text_start)
-                    places.append(np.stack([t, first, np.full(len(t), windows.shape[1])], 1))
-                    items.append(np.stack([t, which], 1))
-                span = np.unique(np.concatenate(places), axis=0) if places else np.zeros((0, 3), np.int64)
-                item = np.unique(np.concatenate(items), axis=0) if items else np.zeros((0, 2), np.int64)
-                cut, item_cut = np.searchsorted(span[:, 0], np.arange(n + 1)), np.searchsorted(item[:, 0], np.arange(n + 1))
-                spans, names = [], []
-                for k in range(n):
-                    # spans stay as (first word, words) of merged runs, the longest verbatim matches
-                    new = _merge(span[cut[k] : cut[k + 1], 1:])
-                    old = held["spans"][i + k].as_py()
-                    spans.append(_merge(np.array([(s["first"], s["words"]) for s in old] + [tuple(x) for x in new.tolist()], np.int64).reshape(-1, 2)) if old else new)
-                    names.append(sorted({*(held["items"][i + k].as_py() or ()), *(ids[x] for x in item[item_cut[k] : item_cut[k + 1], 1])}))
-                yield _rows(held, i, n, words.counts, spans, names, last)
+                found = shard_matches(words, q)
+                edge = pa.array(np.searchsorted(found[:, 0], np.arange(j - i + 1)).astype(np.int32))
+                each = pa.StructArray.from_arrays([names.take(pa.array(found[:, 1])), *(pa.array(found[:, k]) for k in (2, 3, 4))], fields=list(_MATCHES.value_type))
+                matches = pa.ListArray.from_arrays(edge, each).cast(_MATCHES)
+                if only_found:
+                    some = pa.array(np.unique(found[:, 0]))
+                    yield pa.RecordBatch.from_arrays([batch.column("row_id").slice(i, j - i).take(some), matches.take(some)], names=["row_id", "matches"])
+                    continue
+                out = {c: batch.column(c).slice(i, j - i) for c in batch.schema.names if c != "text"}
+                yield pa.RecordBatch.from_pydict(out | {"n_words": pa.array(words.counts, pa.int64()), "matches": matches})
 
     return run
 
 
-def _merge(spans: np.ndarray) -> np.ndarray:
-    """Overlapping or touching (first, words) as longest runs."""
-    if len(spans) < 2:
-        return spans
-    spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
-    end = np.maximum.accumulate(spans[:, 0] + spans[:, 1])
-    new = np.ones(len(spans), bool)
-    new[1:] = spans[1:, 0] > end[:-1]
-    at = np.flatnonzero(new)
-    return np.stack([spans[at, 0], end[np.append(at[1:], len(spans)) - 1] - spans[at, 0]], 1)
-
-
-_SPAN = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))
-
-
-def _rows(held: dict, i: int, n: int, counts: np.ndarray, spans: list[np.ndarray], names: list[list[str]], last: bool) -> pa.RecordBatch:
-    flat = np.concatenate(spans) if spans else np.zeros((0, 2), np.int64)
-    edge = np.concatenate([[0], np.cumsum([len(s) for s in spans])]).astype(np.int32)
-    spans_column = pa.ListArray.from_arrays(pa.array(edge), pa.StructArray.from_arrays([pa.array(flat[:, 0], pa.int64()), pa.array(flat[:, 1], pa.int64())], names=["first", "words"]))
-    out = {c: held[c].slice(i, n) for c in held if c not in ("spans", "items", "n_words")}
-    out["n_words"] = pa.array(counts, pa.int64())
-    out["spans"] = spans_column.cast(_SPAN)
-    out["items"] = pa.array(names, pa.list_(pa.string()))
-    if last:  # the digest columns
-        out["items_sha256"] = pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names])
-        del out["text"]
-    return pa.RecordBatch.from_pydict(out)
-
-
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[list[str], list[str | None]]]:
-    """Benchmark texts a bounded number of bytes at a time."""
+    """Benchmark texts a bounded number of bytes at a time; the driver holds one block."""
     ids, texts, size = [], [], 0
     for row in benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null").toLocalIterator():
         if ids and size + len(row.t or "") > BLOCK_BYTES:
@@ -171,43 +225,68 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tupl
     yield ids, texts
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: bool = False) -> DataFrame:
-    """Rows (doc_id, n_words, spans, items, items_sha256), one for each row of docs.
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, scratch: Scratch | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: bool = False) -> DataFrame:
+    """Rows (doc_id, n_words, matches, n_hit, items, items_sha256), one for each row of docs.
+
+    matches are all longest verbatim matches of at least `width` words, or of a
+    shorter item whole, as (item_id, item_first, first, words): where they begin
+    in the item and in the document, and how many words they have.  n_hit counts
+    the words inside any match; items are the ids of items with a match, sorted.
+    Null and empty texts have no words and no matches; items without words or
+    without an id are never found; repeated rows and ids are each reported; an
+    empty benchmark finds nothing.  With keep, all columns of docs come along in
+    a struct `row` and may have any names.
 
-    spans are the maximal runs of words, as (first, words), that lie inside
-    occurrences of benchmark windows; items the ids of the items with an
-    occurring window, sorted.  A window is `width` consecutive words, or a
-    shorter item whole.  Null and empty texts have no words and no hits; items
-    without words or without an id are never found; repeated rows and ids are
-    each reported.  With keep, all columns of docs come along in a struct `row`
-    and may have any names.  The benchmark is searched in blocks of bounded
-    size, each in one pass over the documents without a shuffle.
+    One pass without a shuffle while the benchmark has at most BLOCK_BYTES of
+    text.  A larger one takes a pass for each block over a saved copy of the
+    texts; only documents with matches leave those passes.
     """
     sc = docs.sparkSession.sparkContext
-    state = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.struct("*").alias("row")] if keep else []),
-        F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<first:long,words:long>>").alias("spans"), F.array().cast("array<string>").alias("items"),
-    )
+    state = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.struct("*").alias("row")] if keep else []))
     blocks = _blocks(benchmark, item_col, item_text_col)
-    names = [f for f in state.schema.fields if f.name not in ("n_words", "spans", "items")]
-    block = next(blocks)
-    while block is not None:  # the driver holds one block, and the next to know which is last
-        (ids, texts), block = block, next(blocks, None)
-        last = block is None
-        windows = sc.broadcast((ids, query_windows(ids, texts, width)))
-        kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in names if not (last and f.name == "text")]
-        schema = ", ".join([*kept, "n_words long", "spans array<struct<first:long,words:long>>", "items array<string>", *(["items_sha256 string"] if last else [])])
-        state = state.mapInArrow(_search(windows, width, last), schema)
-    return state
+    block, following = next(blocks), next(blocks, None)
+    if following is not None:  # all passes must see the same numbers
+        scratch = scratch or Scratch(docs.sparkSession, "contamination")
+        state = scratch.save(state.withColumn("row_id", F.monotonically_increasing_id()), "numbered")
+    kept = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema.fields if f.name != "text"])
+    found = state.mapInArrow(_search(sc.broadcast(Queries.of(*block, width)), False), f"{kept}, n_words long, matches {_MATCH}")
+    others = None
+    for k, block in enumerate([] if following is None else _chain(following, blocks)):
+        held = sc.broadcast(Queries.of(*block, width))
+        one = scratch.save(state.select("row_id", "text").mapInArrow(_search(held, True), f"row_id long, matches {_MATCH}"), f"block-{k}")
+        held.destroy()
+        others = one if others is None else others.unionByName(one)
+    if others is not None:
+        more = others.groupBy("row_id").agg(F.flatten(F.collect_list("matches")).alias("more"))
+        found = found.join(more, "row_id", "left").withColumn("matches", F.array_sort(F.concat("matches", F.coalesce("more", F.array().cast(_MATCH))), _by_place)).drop("more", "row_id")
+    span = F.array_sort(F.transform("matches", lambda m: F.struct(m["first"].alias("first"), (m["first"] + m["words"]).alias("end"))))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
+    covered = F.aggregate(span, start, lambda a, m: F.struct((a["n"] + F.greatest(F.lit(0), m["end"] - F.greatest(m["first"], a["end"]))).alias("n"), F.greatest(a["end"], m["end"]).alias("end")))
+    items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
+    return found.withColumns({"n_hit": covered["n"], "items": items}).withColumn("items_sha256", F.sha2(F.concat_ws(",", "items").cast("binary"), 256))
+
+
+def _chain(first, others) -> Iterator:
+    yield first
+    yield from others
+
+
+def _by_place(a, b):
+    x, y = F.struct(a["first"], a["item_id"], a["item_first"]), F.struct(b["first"], b["item_id"], b["item_first"])
+    return F.when(x < y, -1).when(x > y, 1).otherwise(0)
 
 
 def op8_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All of `documents` against all of `benchmark`."""
+    """All of `documents` against all of `benchmark`; beside the digest, where the longest of a document's matches begins (ties: first, then item)."""
     found = find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["words"])
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items_sha256", (F.size("spans") > 0).alias("contaminated"))
+    longest = F.array_min(F.transform("matches", lambda m: F.struct((-m["words"]).alias("less"), m["first"].alias("first"), m["item_id"].alias("item_id"), m["item_first"].alias("item_first"))))
+    return found.withColumn("best", longest).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256", (F.col("n_hit") > 0).alias("contaminated"),
+        F.coalesce(-F.col("best.less"), F.lit(0)).alias("longest"), F.col("best.first").alias("longest_first"), F.col("best.item_id").alias("longest_item"), F.col("best.item_first").alias("longest_item_first"),
+    )
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, scratch: Scratch | None = None) -> DataFrame:
     """The rows of docs, with all their columns, in which no benchmark window occurs."""
-    return find_contamination(docs, benchmark, width, keep=True).where(F.size("spans") == 0).select("row.*")
+    return find_contamination(docs, benchmark, width, scratch, keep=True).where("n_hit = 0").select("row.*")
+

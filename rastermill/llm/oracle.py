@@ -19,10 +19,14 @@ FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN least_ ON least_.node = c.cl
 
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 CONTAMINATION = rf"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
-q AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS x FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+q AS (SELECT item_id, n, i AS j, array_to_string(w[i:i + n - 1], ' ') AS x FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
 t AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS x FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM q))),
-hit AS (SELECT doc_id, n, i, item_id FROM t JOIN q USING (n, x)),
+hit AS (SELECT doc_id, n, i, j, item_id FROM t JOIN q USING (n, x)),
 place AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY 1),
-item AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(id, ',' ORDER BY id)) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY 1)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(ids, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN place ON place.doc_id = d.doc_id LEFT JOIN item ON item.doc_id = d.doc_id"""
+item AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(id, ',' ORDER BY id)) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY 1),
+run AS (SELECT doc_id, CAST(item_id AS VARCHAR) AS id, n, i, j, j - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY j) AS g FROM hit),
+match AS (SELECT doc_id, id, min(i) - 1 AS first, min(j) - 1 AS item_first, count(*) + n - 1 AS words FROM run GROUP BY doc_id, id, n, i - j, g),
+best AS (SELECT * FROM match QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, first, id, item_first) = 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(ids, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+coalesce(best.words, 0) AS longest, best.first AS longest_first, best.id AS longest_item, best.item_first AS longest_item_first
+FROM d LEFT JOIN place ON place.doc_id = d.doc_id LEFT JOIN item ON item.doc_id = d.doc_id LEFT JOIN best ON best.doc_id = d.doc_id"""

@@ -84,35 +84,57 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def split_words(data: np.ndarray, text_offsets: np.ndarray, kind: np.ndarray, lower: bool) -> Words:
-    """Split the texts' bytes into words of the byte class `kind` and hash them."""
+    """Split the texts' bytes into words of the byte class `kind` and hash them.
+
+    Bytes are worked on in pieces of about CHUNK_BYTES that end between words,
+    so that a very long text costs no more beside its words than a piece does.
+    """
     if lower:
         data = _LOWER[data]
+    found, at = [], 0
+    while at < len(data):
+        end = _end_between_words(data, at + CHUNK_BYTES, kind)
+        first, last = np.searchsorted(text_offsets, (at, end))
+        start, after, hashed = _split(data[at:end], text_offsets[first:last] - at, kind)
+        found.append((start + at, after + at, hashed))
+        at = end
+    start, after, hashed = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U))
+    return Words(data, start, after, hashed, np.searchsorted(start, text_offsets).astype(np.int64))
+
+
+def _end_between_words(data: np.ndarray, least: int, kind: np.ndarray) -> int:
+    """The first place from `least` on that no word runs over, or the end."""
+    while least < len(data):
+        gap = np.flatnonzero(~kind[data[least : least + 4096]])
+        if len(gap):
+            return least + int(gap[0])
+        least += 4096
+    return len(data)
+
+
+def _split(data: np.ndarray, cuts: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, byte after the last, and hash of each word; words don't run over cuts, where texts begin."""
     n = len(data)
     inside = np.zeros(n + 1, dtype=bool)
     inside[:n] = kind[data]
     first = inside.copy()
     cut = np.zeros(n + 1, dtype=bool)
-    cut[text_offsets] = True  # words don't run over a text's end
+    cut[cuts] = True
     first[1:] &= ~inside[:-1] | cut[1:]
     start = np.flatnonzero(first[:n])
-    last = inside[:n] & (~inside[1:] | cut[1:])
-    end = np.flatnonzero(last) + 1
-    if n:
-        power = np.empty(n + 1, dtype=_U)
-        power[0] = 1
-        power[1:] = _BASE
-        np.multiply.accumulate(power, out=power)
-        total = np.zeros(n + 1, dtype=_U)
-        np.cumsum(_CODES[data] * power[:n], out=total[1:])
-        # (a * B^start) / B^start, so that a word hashes alike wherever it stands
-        inverse = np.empty(n + 1, dtype=_U)
-        inverse[0] = 1
-        inverse[1:] = _BASE_INVERSE
-        np.multiply.accumulate(inverse, out=inverse)
-        hashed = mix64((total[end] - total[start]) * inverse[start])
-    else:
-        hashed = np.zeros(0, dtype=_U)
-    return Words(data, start, end, hashed, np.searchsorted(start, text_offsets).astype(np.int64))
+    end = np.flatnonzero(inside[:n] & (~inside[1:] | cut[1:])) + 1
+    power = np.empty(n + 1, dtype=_U)
+    power[0] = 1
+    power[1:] = _BASE
+    np.multiply.accumulate(power, out=power)
+    total = np.zeros(n + 1, dtype=_U)
+    np.cumsum(_CODES[data] * power[:n], out=total[1:])
+    # (a * B^start) / B^start, so that a word hashes alike wherever it stands
+    inverse = np.empty(n + 1, dtype=_U)
+    inverse[0] = 1
+    inverse[1:] = _BASE_INVERSE
+    np.multiply.accumulate(inverse, out=inverse)
+    return start, end, mix64((total[end] - total[start]) * inverse[start])
 
 
 def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

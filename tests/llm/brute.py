@@ -84,6 +84,23 @@ def contamination(text, items, width=10):
     return len(w), len(hit), sorted(found)
 
 
+def longest_matches(text, items, width=10):
+    """All verbatim matches of a window or more that can't go on to either side: (item id, first in item, first in text, words)."""
+    w, out = ALNUM.findall(lower(text)), []
+    for i, t in items:
+        q = ALNUM.findall(lower(t))
+        for a in range(len(q)):
+            for b in range(len(w)):
+                if q[a] != w[b] or a and b and q[a - 1] == w[b - 1]:
+                    continue
+                n = 0
+                while a + n < len(q) and b + n < len(w) and q[a + n] == w[b + n]:
+                    n += 1
+                if n >= min(width, len(q)):
+                    out.append((str(i), a, b, n))
+    return sorted(out)
+
+
 def phrases(text, labels):
     """(words, places, first, last, labels) of {phrase: label}."""
     w = ALNUM.findall(lower(text))

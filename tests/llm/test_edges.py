@@ -152,13 +152,31 @@ def test_kneser_ney_sums_to_one(spark, sf_dir):
 def test_decontamination(spark, docs):
     items = [("1", "tie tie"), ("2", None), (None, "odd bytes"), ("4", "general public license and then more words to make it a long item"), ("5", ""), ("6", "tie tie tie tie"), ("7", "odd"), ("10", "bytes")]
     bench = spark.createDataFrame(items, "item_id string, text string")
-    got = sorted(str((r.doc_id, r.n_words, sum(s.words for s in r.spans), r["items"])) for r in decontamination.find_contamination(docs, bench).collect())
+    got = sorted(str((r.doc_id, r.n_words, r.n_hit, r["items"])) for r in decontamination.find_contamination(docs, bench).collect())
     known = [(i, t) for i, t in items if i is not None]
     assert got == sorted(str((d.doc_id, *brute.contamination(d.text, known))) for d in docs.collect())
     assert decontamination.find_contamination(docs, bench.limit(0)).count() == docs.count()
     assert decontamination.remove_contaminated(docs, bench).columns == docs.columns
 
 
+def test_longest_matches_and_places(spark):
+    words = [f"w{k % 7}" for k in range(30)] + [f"v{k}" for k in range(40)]
+    items = [("1", " ".join(words)), ("2", " ".join(words[:25] * 2)), ("3", " ".join(words[35:60])), ("4", "w1 w2"), ("5", "x y z")]
+    texts = [" ".join(x) for x in (words, words[10:50] + ["own"] + words[12:45], ["own"] * 5, words[3:28] * 3, words[60:] + words[:12], ["w1", "w2"], words[33:41], ["x"])]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts + texts)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = {r.doc_id: sorted(map(tuple, r.matches)) for r in decontamination.find_contamination(docs, bench).collect()}
+    assert got == {k: brute.longest_matches(t, items) for k, t in enumerate(texts + texts)}
+
+
+def test_suffix_array_is_sorted():
+    data, off = text_bytes(pa.array(["a b a b a b a", "b a b a", "a b a b a b a", "", "c"] * 3))
+    words = split_words(data, off, ALNUM, True)
+    array = decontamination.SuffixArray(words.hash, words.offsets, 1000)
+    suffixes = [array.seq[k:].tolist() for k in array.order]
+    assert suffixes == sorted(suffixes)
+
+
 def test_decontamination_in_blocks_is_the_same(spark, sf_dir, monkeypatch):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = by_id(decontamination.find_contamination(docs, bench))
