@@ -1,16 +1,19 @@
 """Main text of web pages by text-to-tag ratios (after CETR).
 
 The standard library's parser streams its events into lines, one for each
-block of text, with the tags seen on it.  A line's ratio of text to tags is
-smoothed with a Gaussian along the page, and lines above a threshold mark the
-content region, however many clusters they form.  The region is widened to the
-elements that hold them, so that short lines of the article stay, and lines
-inside menus, headers, footers, adverts and the like are left out.
+block of text, with the tags seen on it.  A line's ratio of text to tags, on a
+log scale, is smoothed with a Gaussian along the page, and clusters of lines
+above a threshold mark the content region.  The region is the innermost element
+around all of them, so that short lines of the article stay; where they share
+none, an article element decides, and else the stretch from the first to the
+last.  Lines inside menus, headers, footers, adverts, comments and the like
+count nothing and are left out.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -22,34 +25,43 @@ from .store import read_table
 
 #: HTML elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style noscript template iframe object svg math head title canvas audio video select option datalist".split())
+UNSEEN = frozenset("script style noscript template iframe object svg math head title canvas audio video select option datalist textarea".split())
 BOILERPLATE = frozenset("nav header footer aside form menu button dialog fieldset".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
-#: Words of a class, id or role that mark what isn't the article.
+#: Words of a class, id or role that mark what isn't the article; of those, the words that may also stand on what holds it or heads it.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer footer header menu modal nav navbar navigation newsletter notice notices popup promo promoted related replies share sharing sidebar skip social sponsor sponsored subscribe toolbar widget widgets complementary contentinfo search".split())
-#: Elements that hold an article, whatever their classes.
+WEAK = frozenset("banner header modal notice notices promo related search share sharing social toolbar widget widgets".split())
+HEADS = frozenset({"header", "banner"})
+OWN = frozenset("article content entry headline post story title".split())
+UNLESS_AFTER = frozenset("has no with without".split())
+#: Elements that hold an article, and those that show where it is.
 HOLDERS = frozenset({"article", "main"})
+LANDMARKS = HOLDERS | {"h1"}
+#: Elements that are one block of text, or part of a list or table.
+PIECES = frozenset("p li h1 h2 h3 h4 h5 h6 blockquote ul ol dl dt dd pre td th tr table tbody thead tfoot figure figcaption".split())
 
 _NAME = re.compile(r"[A-Za-z0-9]+")
 _WHITE = re.compile(r"\s+")
+_NOT, _BY_TAG, _STRONG, _WEAK = range(4)
 
 
 class _Lines(HTMLParser):
-    """Turns parser events into lines: [text parts, tags, boilerplate?, path of block elements]."""
+    """Turns parser events into lines (text, tags, element), and a tree of elements by their numbers."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool, bool]] = []  # tag, number, unseen or boilerplate from here on, unseen
-        self.count = 0
-        self.lines: list[tuple[str, int, bool, tuple[tuple[str, int], ...]]] = []
+        # element 0 is around the whole page
+        self.tag, self.parent, self.mark, self.unseen, self.held = [""], [-1], [_NOT], [False], [False]
+        self.stack, self.open = [0], Counter()
+        self.lines: list[tuple[str, int, int]] = []
         self.parts: list[str] = []
         self.tags = 0
 
     def _flush(self) -> None:
         text = _WHITE.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.lines.append((text, self.tags, bool(self.stack and self.stack[-1][2]), tuple((t, k) for t, k, _, _ in self.stack)))
+            self.lines.append((text, self.tags, self.stack[-1]))
             self.tags = 0
         self.parts = []
 
@@ -62,116 +74,199 @@ class _Lines(HTMLParser):
             self._flush()
             if tag in CLOSES_P:
                 self._close("p", CLOSES_P - {"p"})
-            if tag == "li":
-                self._close("li", frozenset({"ul", "ol", "menu"}))
-            if tag in ("td", "th"):
-                self._close("td", frozenset({"tr", "table"})), self._close("th", frozenset({"tr", "table"}))
-            if tag == "tr":
-                self._close("tr", frozenset({"table"}))
-            if tag in ("dt", "dd"):
-                self._close("dt", frozenset({"dl"})), self._close("dd", frozenset({"dl"}))
+            for also, within in _CLOSED_BY.get(tag, ()):
+                self._close(also, within)
         if tag in VOID or tag not in BLOCKS and tag not in UNSEEN and tag not in BOILERPLATE:
             return
         if tag in BOILERPLATE:
             self._flush()  # what stands before it isn't part of it
-        above = self.stack[-1] if self.stack else ("", 0, False, False)
-        inside = any(t in HOLDERS for t, *_ in self.stack)
-        unseen = above[3] or tag in UNSEEN
-        # a heading block of the article itself is part of it
-        plain = tag in BOILERPLATE and not (tag == "header" and inside)
-        named = tag not in HOLDERS and tag != "body" and tag != "html" and self._marked(attrs)
-        self.count += 1
-        self.stack.append((tag, self.count, above[2] or unseen or plain or named, unseen))
-
-    @staticmethod
-    def _marked(attrs: list[tuple[str, str | None]]) -> bool:
-        for key, value in attrs:
-            if key in ("hidden",) or key == "aria-hidden" and value == "true":
-                return True
-            if key in ("class", "id", "role") and value and any(w.lower() in MARKS for w in _NAME.findall(value)):
-                return True
-        return False
+        above = self.stack[-1]
+        self.tag.append(tag)
+        self.parent.append(above)
+        self.held.append(self.held[above] or tag in HOLDERS)
+        self.unseen.append(self.unseen[above] or tag in UNSEEN)
+        self.mark.append(_mark(tag, attrs, self.held[above]))
+        self.stack.append(len(self.tag) - 1)
+        self.open[tag] += 1
+
+    def _pop_to(self, k: int) -> None:
+        for node in self.stack[k:]:
+            self.open[self.tag[node]] -= 1
+        del self.stack[k:]
 
     def _close(self, tag: str, within: frozenset[str]) -> None:
         """Ends the innermost open `tag`, unless one of `within` stands between."""
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
+        if not self.open[tag]:
+            return
+        for k in range(len(self.stack) - 1, 0, -1):
+            name = self.tag[self.stack[k]]
+            if name == tag:
                 self._flush()
-                del self.stack[k:]
+                self._pop_to(k)
                 return
-            if self.stack[k][0] in within:
+            if name in within or name in UNSEEN:
                 return
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in BLOCKS or tag in BOILERPLATE:
             self._flush()
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                del self.stack[k:]
-                return
+        if self.open[tag]:
+            k = len(self.stack) - 1
+            while self.tag[self.stack[k]] != tag:
+                k -= 1
+            self._pop_to(k)
 
     def handle_data(self, data: str) -> None:
-        if self.stack and self.stack[-1][3]:
-            return
-        self.parts.append(data)
+        if not self.unseen[self.stack[-1]]:
+            self.parts.append(data)
 
-    def lines_of(self, html: str) -> list[tuple[str, int, bool, tuple[tuple[str, int], ...]]]:
+    def read(self, html: str) -> None:
         self.feed(html)
         self.close()
         self._flush()
-        return self.lines
 
 
-def smoothed_ratios(lines: list, sigma: float = 1.0) -> np.ndarray:
-    """Characters of text for each tag, by line, under a Gaussian; boilerplate lines count nothing."""
-    ratio = np.array([0.0 if line[2] else len(line[0]) / max(1, line[1]) for line in lines])
+_LIST, _CELLS, _TABLE, _DL = (frozenset(x.split()) for x in ("ul ol menu", "tr table", "table", "dl"))
+_CLOSED_BY = {"li": [("li", _LIST)], "td": [("td", _CELLS), ("th", _CELLS)], "th": [("td", _CELLS), ("th", _CELLS)], "tr": [("tr", _TABLE)], "dt": [("dt", _DL), ("dd", _DL)], "dd": [("dt", _DL), ("dd", _DL)]}
+
+
+def _mark(tag: str, attrs: list[tuple[str, str | None]], held: bool) -> int:
+    """What marks an element as no part of the article; held: it is inside an article or main element."""
+    if tag in ("html", "body"):
+        return _NOT
+    if tag in BOILERPLATE and not (tag == "header" and held):  # a header of the article itself is part of it
+        return _BY_TAG
+    mark = _NOT
+    for key, value in attrs:
+        if key == "hidden" or key == "aria-hidden" and value == "true":
+            return _STRONG
+        if key not in ("class", "id", "role") or not value:
+            continue
+        for name in value.lower().split():
+            words = _NAME.findall(name)
+            if tag in HOLDERS and name not in MARKS and words[:1] != ["comment"] and words[-2:-1] != ["comment"]:
+                continue  # themes put many words on an article
+            for k, word in enumerate(words):
+                if word not in MARKS or k and words[k - 1] in UNLESS_AFTER or word in HEADS and (held or not OWN.isdisjoint(words)):
+                    continue
+                if word not in WEAK:
+                    return _STRONG
+                mark = _WEAK
+    return mark
+
+
+def _under(parent: list[int], own: list[bool]) -> list[bool]:
+    """For each element, whether it or one around it has `own`."""
+    out = own[:1]
+    for k in range(1, len(own)):
+        out.append(own[k] or out[parent[k]])
+    return out
+
+
+def _boilerplate(page: _Lines) -> list[bool]:
+    """For each element, whether its text is left out.
+
+    A class on an element that holds all the page's landmarks, or all its
+    paragraphs, is the page's own name for the article; so is a form around it.
+    """
+    n = len(page.tag)
+    lifted = [False] * n
+    for names, liftable in ((LANDMARKS, (_STRONG, _WEAK)), (frozenset({"p"}), (_WEAK,))):
+        out = _under(page.parent, [page.mark[k] != _NOT and not lifted[k] for k in range(n)])
+        those = [k for k in range(n) if page.tag[k] in names and page.mark[k] == _NOT]
+        if names is not LANDMARKS and any(not out[k] for _, _, k in page.lines):
+            return out
+        if any(not out[k] for k in those):
+            continue
+        for k in those:
+            around = []
+            while (k := page.parent[k]) > 0:
+                if page.mark[k] != _NOT:
+                    around.append(k)
+            if all(page.mark[x] in liftable or page.tag[x] == "form" for x in around):
+                for x in around:
+                    lifted[x] = True
+                break
+    return _under(page.parent, [page.mark[k] != _NOT and not lifted[k] for k in range(n)])
+
+
+def smoothed_ratios(size: np.ndarray, tags: np.ndarray, usable: np.ndarray, sigma: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """By line, the log of 1 + characters of text for each tag, alone and under a Gaussian; boilerplate lines count nothing."""
+    ratio = np.where(usable, np.log1p(size / np.maximum(1, tags)), 0.0)
     reach = max(1, int(np.ceil(3 * sigma)))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     total = np.convolve(ratio, kernel)[reach : reach + len(ratio)]
-    return total / np.convolve(np.ones(len(ratio)), kernel)[reach : reach + len(ratio)]
+    return ratio, total / np.convolve(np.ones(len(ratio)), kernel)[reach : reach + len(ratio)]
 
 
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The article's blocks joined by blank lines; empty if there is none."""
     if not html:
         return ""
-    lines = _Lines().lines_of(html)
-    usable = [not line[2] for line in lines]
-    if not any(usable):
+    page = _Lines()
+    page.read(html)
+    lines, out = page.lines, _boilerplate(page)
+    usable = np.array([not out[k] for _, _, k in lines], bool)
+    if not usable.any():
         return ""
-    smooth = smoothed_ratios(lines, sigma)
+    ratio, smooth = smoothed_ratios(np.array([len(t) for t, _, _ in lines]), np.array([n for _, n, _ in lines]), usable, sigma)
     # the threshold is the spread of the ratios, as far as some line passes it
     threshold = min(float(np.std(smooth)), float(smooth[usable].max()))
     # a line beside boilerplate is smoothed towards nothing, so its own ratio counts too
-    alone = np.array([len(line[0]) / max(1, line[1]) for line in lines])
-    high = (np.maximum(smooth, alone) >= threshold) & np.array(usable)
-    holder = [_holder(line[3]) if u else None for u, line in zip(usable, lines, strict=True)]
-    if any(holder):
-        # articles with a high line, or all if there is none, and what articles stand beside them
-        strong = {h for h, top in zip(holder, high, strict=True) if h and top} or {h for h in holder if h}
-        around = {h[:-1] for h in strong}
-        return "\n\n".join(line[0] for line, h in zip(lines, holder, strict=True) if h and h[:-1] in around)
-    path = _shared_path([line[3] for line, top in zip(lines, high, strict=True) if top])
-    return "\n\n".join(line[0] for line, u in zip(lines, usable, strict=True) if u and line[3][: len(path)] == path)
-
-
-def _holder(path: tuple[tuple[str, int], ...]) -> tuple[tuple[str, int], ...] | None:
-    """The outermost article on the path."""
-    return next((path[: k + 1] for k, (tag, _) in enumerate(path) if tag in HOLDERS), None)
-
-
-def _shared_path(paths: list[tuple[tuple[str, int], ...]]) -> tuple[tuple[str, int], ...]:
-    """The innermost element around all lines but single blocks."""
-    shared = paths[0]
-    for p in paths[1:]:
-        n = 0
-        while n < min(len(shared), len(p)) and shared[n] == p[n]:
-            n += 1
-        shared = shared[:n]
-    while shared and shared[-1][0] in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "ul", "ol", "pre", "td", "th", "tr", "dd", "dt"):
-        shared = shared[:-1]
-    return shared
+    high = usable & (np.maximum(smooth, ratio) >= threshold)
+    # short lines that only stand beside long ones don't tell where the text is
+    core = usable & (ratio >= threshold)
+    return "\n\n".join(lines[k][0] for k in np.flatnonzero(usable & _region(page, high, core if core.any() else high)).tolist())
+
+
+def _region(page: _Lines, high: np.ndarray, core: np.ndarray) -> np.ndarray:
+    """Which lines lie in the content region of the high ones, of which the core ones choose the element."""
+    at = [k for _, _, k in page.lines]
+    root = _innermost_around(page, [k for k, top in zip(at, core, strict=True) if top])
+    if root is not None:
+        inside = _under(page.parent, [k == root for k in range(len(page.tag))])
+        return np.array([inside[k] for k in at])
+    # the high lines share no element: those in articles decide, with what articles stand beside them
+    holder = [-1]  # the outermost article around each element
+    for k in range(1, len(page.tag)):
+        holder.append(holder[page.parent[k]] if holder[page.parent[k]] >= 0 else k if page.tag[k] in HOLDERS else -1)
+    held = np.array([holder[k] for k in at])
+    strong = {page.parent[h] for h in held[high & (held >= 0)].tolist()}
+    if strong:
+        return np.array([h >= 0 and page.parent[h] in strong for h in held.tolist()])
+    first, last = np.flatnonzero(high)[[0, -1]]
+    return (np.arange(len(at)) >= first) & (np.arange(len(at)) <= last)
+
+
+def _innermost_around(page: _Lines, nodes: list[int]) -> int | None:
+    """The innermost element around all nodes that is more than a block of text, widened to the article it is in; None if that is the whole page."""
+    below = [0] * len(page.tag)
+    for k in nodes:
+        below[k] += 1
+    for k in range(len(below) - 1, 0, -1):
+        below[page.parent[k]] += below[k]
+    root = max(k for k, n in enumerate(below) if n == len(nodes))
+    while page.tag[root] in PIECES:
+        root = page.parent[root]
+    k = root
+    while k > 0 and page.tag[k] not in HOLDERS:
+        k = page.parent[k]
+    root = k or root
+    heads = [k for _, _, k in page.lines if page.tag[k] == "h1" and page.mark[k] == _NOT]
+    if k == 0 and root > 0 and len(heads) == 1:  # the heading may stand beside the text
+        wider = _innermost_shared(page, root, heads[0])
+        root = root if page.tag[wider] in ("", "html", "body") else wider
+    return None if page.tag[root] in ("", "html", "body") else root
+
+
+def _innermost_shared(page: _Lines, a: int, b: int) -> int:
+    above = {a}
+    while a > 0:
+        above.add(a := page.parent[a])
+    while b not in above:
+        b = page.parent[b]
+    return b
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names."""
 
 import io
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -233,3 +234,51 @@ def test_html_keeps_all_parts_of_an_article():
         f"<div><article><p>{one}</p></article><article><p>{two}</p><p>{three}</p></article></div>",
     ):
         assert html_text.main_text(PAGE % body) == "\n\n".join((one, two, three))
+
+
+LINE = "A paragraph as long as paragraphs in articles are, and it says so at some length."
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        (f"<article><div class='entry-header'><h1>Head</h1></div><p>{LINE}</p></article>", ["Head", LINE]),
+        (f"<div class='post'><div class='post-header'><h1>Head</h1></div><div class='text'><p>{LINE}</p><p>End.</p></div></div>", ["Head", LINE, "End."]),
+        (f"<div class='share-story'><h1>Head</h1><p>{LINE}</p></div>", ["Head", LINE]),
+        (f"<form id='page'><div><h1>Head</h1><p>{LINE}</p></div></form>", ["Head", LINE]),
+        (f"<article><p>{LINE}</p><article class='comment'><p>{LINE} said a reader</p></article></article>", [LINE]),
+        (f"<article class='post has-sidebar comments-open'><p>{LINE}</p></article>", [LINE]),
+        (f"<div class='ad'>{LINE}</div><article><h1>T</h1><p>Few.</p></article>", ["T", "Few."]),
+        (f"<p>{LINE}</p><p>{LINE}</p><div class='ad'>{LINE}</div><p>{LINE}</p>", [LINE] * 3),
+        (f"<div><ul><li><a href=x>a</a><li><a href=x>b</a></ul></div><div><p>{LINE}</p><p>{LINE}</p></div>", [LINE, LINE]),
+        (f"<table><tr><td><a href=x>a</a><td><p>{LINE}</p><p>{LINE}</p></table>", ["a", LINE, LINE]),
+    ],
+)
+def test_ratios_choose_the_region(body, want):
+    assert html_text.main_text(PAGE % body) == "\n\n".join(want)
+
+
+def test_ratios_by_plain_python():
+    """The smoothed ratios and what passes the threshold, worked out line by line."""
+    page = html_text._Lines()
+    page.read(f"<div><a href=x>a</a></div><div>{LINE}</div><div><b>{LINE}</b> and more</div><p>x")
+    size, tags = [len(t) for t, _, _ in page.lines], [n for _, n, _ in page.lines]
+    assert tags == [4, 2, 4, 1] and size == [1, len(LINE), len(LINE) + 9, 1]
+    usable = np.array([True, True, False, True])
+    ratio, smooth = html_text.smoothed_ratios(np.array(size), np.array(tags), usable)
+    for k in range(4):
+        weight = [np.exp(-((j - k) ** 2) / 2) for j in range(4)]
+        want = [np.log(1 + size[j] / tags[j]) if usable[j] else 0 for j in range(4)]
+        assert ratio[k] == pytest.approx(want[k]) and smooth[k] == pytest.approx(sum(w * r for w, r in zip(weight, want)) / sum(weight))
+
+
+@pytest.mark.parametrize("page", ["<div>x text here" * 100_000, "<div><p>" * 100_000 + "text</b></i>" * 100_000, "<li>" * 100_000 + LINE, "<article>" * 50_000 + LINE])
+def test_deep_pages_take_linear_time(page):
+    began = time.process_time()
+    assert html_text.main_text(page)
+    assert time.process_time() - began < 15
+
+
+def test_html_ignores_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "u", f"<p>{LINE}</p>", "own", 5), (1, None, f"<p>{LINE}</p>", None, 6), (None, "u", None, "x", 7)], "page_id long, url string, html string, text string, n_chars int")
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html_text.extract_main_text(pages).collect()) == [(0, "", 0), (1, LINE, len(LINE)), (1, LINE, len(LINE))]
