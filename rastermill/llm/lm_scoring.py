@@ -2,11 +2,16 @@
 
 Spark counts all training unigrams and bigrams.  Each n-gram enters a Bloom
 filter once for every level of its count on a log scale, so its quantised count
-is the number of levels that repeated probes find.  The filter grows with the
-counts, at fixed bits for each entry; as much of it as a bound allows is
-broadcast at once, and larger ones are probed in several passes over the texts.
-Probabilities are Dirichlet-smoothed bigrams over add-one unigrams.  Exact unigram scores come beside it: the most frequent words
-are broadcast, in bounded number, and the rest meet their counts in a shuffle.
+is the number of levels that repeated probes find.  The filter has fixed bits
+for each entry, so it grows with the counts and its rate of false hits is the
+same at any size.  It is broadcast while it has at most `most_bytes`; beyond,
+its segments stay a table, the n-grams of pieces of text are sent to their
+segments, probed there, and their levels sent back.  Both ways give the same
+scores.
+
+Probabilities are Dirichlet-smoothed bigrams over add-one unigrams.  Exact
+unigram scores come beside it: the most frequent words are broadcast, in bounded
+number, and the rest meet their counts in a shuffle.
 
 N-grams travel as 64-bit hashes in packed arrays, one row for each segment of
 the hash range, so that shuffles move few large rows.
@@ -19,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,11 +39,11 @@ HELD = 2_000_000
 
 @dataclass(frozen=True)
 class Filter:
-    """Parameters of the filter and of smoothing; most_bytes is what of the filter is broadcast at once."""
+    """Parameters of the filter and of smoothing; a filter above most_bytes is probed in a shuffle instead of a broadcast."""
 
     bits_per_entry: int = 8
     probes: int = 5
-    most_bytes: int = 256 << 20
+    most_bytes: int = 128 << 20
     most_frequent: int = 1 << 20
     prior: float = 50.0
 
@@ -50,9 +55,13 @@ def _tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     text = np.repeat(np.arange(n), words.counts + 1)
     uni = np.full(len(words.hash) + n, END, np.uint64)
     uni[np.arange(len(words.hash)) + words.text_of()] = words.hash
+    return uni, _bigrams(uni), text
+
+
+def _bigrams(uni: np.ndarray) -> np.ndarray:
     before = np.empty_like(uni)
     before[:1], before[1:] = END, uni[:-1]
-    return uni, mix64(before * _U(0x9E3779B97F4A7C15) + uni * _U(0xC2B2AE3D27D4EB4F)), text
+    return mix64(before * _U(0x9E3779B97F4A7C15) + uni * _U(0xC2B2AE3D27D4EB4F))
 
 
 def _sum_by(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,9 +108,18 @@ def _count(shift: int):
     return run
 
 
+#: Levels of the count scale for each doubling.
+OCTAVE = 2
+
+
 def _levels(counts: np.ndarray) -> np.ndarray:
-    """1 + floor(log2 count), the number of filter entries of an n-gram."""
-    return (np.frexp(counts.astype(np.float64))[1]).astype(np.int64)
+    """How many of _LEAST a count reaches, the number of filter entries of an n-gram."""
+    return np.searchsorted(_LEAST, counts, side="right").astype(np.int64)
+
+
+#: The least count of each level, and the mean of a level's least and largest count, for which it stands.
+_LEAST = np.unique(np.ceil(2.0 ** (np.arange(40 * OCTAVE) / OCTAVE)).astype(np.int64))
+_STANDS_FOR = np.concatenate([[0.0], (_LEAST + np.append(_LEAST[1:], 1 << 40) - 1) / 2])
 
 
 def _bit_places(keys: np.ndarray, level: int, n_bits: np.ndarray, probes: int) -> Iterator[np.ndarray]:
@@ -131,7 +149,7 @@ def _merge(p: Filter):
             {
                 "kind": pa.array([kind], pa.int32()), "segment": pa.array([segment], pa.int32()), "keys": pa.array([keys.tobytes() if own else None], pa.binary()),
                 "counts": pa.array([n.tobytes() if own else None], pa.binary()), "total": [int(n.sum())], "n": [len(keys)],
-                "histogram": [np.bincount(level, minlength=65).tolist()], "bits": [bits], "filter": pa.array([np.packbits(on).tobytes()], pa.binary()),
+                "histogram": pa.array([np.bincount(level, minlength=len(_STANDS_FOR)).tolist() if own else []], pa.list_(pa.int64())), "bits": [bits], "filter": pa.array([np.packbits(on).tobytes()], pa.binary()),
             }
         )
 
@@ -154,30 +172,9 @@ def _merge(p: Filter):
     return run
 
 
-Range = tuple[int, int]
-
-
-def _blocks(size: np.ndarray, most: int) -> list[Range]:
-    """Runs of segments of at most so many bytes together, or of one larger segment: first, one after the last."""
-    out, first, total = [], 0, 0
-    for k, x in enumerate(size.tolist()):
-        if k > first and total + x > most:
-            out.append((first, k))
-            first, total = k, 0
-        total += x
-    return [*out, (first, len(size))]
-
-
-def _passes(size: np.ndarray, segments: int, most: int) -> list[tuple[Range, Range, Range]]:
-    """Segments of word, of the word before and of bigram that each pass takes, `most` bytes together; every combination once."""
-    whole = int(size[:segments].sum()) <= most // 2
-    words, bigrams = _blocks(size[:segments], most // 2 if whole else most // 4), _blocks(size[segments:], most // 2)
-    return [(a, b, c) for a in words for b in words for c in bigrams]
-
-
 @dataclass
 class CountFilter:
-    """A pass's part of the filter: segments of words, then of bigrams, one after another; absent ones have no bits."""
+    """The filter's segments of words, then of bigrams, one after another; absent ones have no bits."""
 
     probes: int
     shift: int
@@ -185,65 +182,98 @@ class CountFilter:
     bits: np.ndarray
     first: np.ndarray
     data: np.ndarray
-    word: Range
-    before: Range
-    bigram: Range
-
-    def takes(self, word: np.ndarray, before: np.ndarray, bigram: np.ndarray) -> np.ndarray:
-        """Which bigrams are this pass's to score."""
-        own = np.ones(len(bigram), bool)
-        for keys, (first, end) in ((word, self.word), (before, self.before), (bigram, self.bigram)):
-            segment = (keys >> _U(self.shift)).astype(np.int64)
-            own &= (segment >= first) & (segment < end)
-        return own
-
-    def counts(self, keys: np.ndarray, kind: int) -> np.ndarray:
-        """Quantised counts: the middle of the highest level found by probing level after level."""
+
+    def levels(self, keys: np.ndarray, kind: int) -> np.ndarray:
+        """The highest level of each n-gram found by probing level after level."""
         at = (keys >> _U(self.shift)).astype(np.int64) + kind * self.segments
-        bits, first = self.bits[at], self.first[at]
-        level = np.zeros(len(keys), np.int64)
-        left = np.flatnonzero(bits > 0)
-        for j in range(1, 64):
-            if not len(left):
-                break
-            found = np.ones(len(left), bool)
-            for place in _bit_places(keys[left], j, bits[left], self.probes):
-                place = place.astype(np.int64)
-                found &= (self.data[first[left] + (place >> 3)] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
-            left = left[found]
-            level[left] = j
-        return np.where(level == 0, 0.0, np.where(level == 1, 1.0, 1.5 * 2.0 ** (level - 1)))
+        return _probe(keys, self.bits[at], self.first[at], self.data, self.probes)
+
+
+def _probe(keys: np.ndarray, bits: np.ndarray, first: np.ndarray, data: np.ndarray, probes: int) -> np.ndarray:
+    """Levels of n-grams whose segments have so many bits from a byte of data on."""
+    level = np.zeros(len(keys), np.uint8)
+    left = np.flatnonzero(bits > 0)
+    for j in range(1, len(_STANDS_FOR)):
+        if not len(left):
+            break
+        found = np.ones(len(left), bool)
+        for place in _bit_places(keys[left], j, bits[left], probes):
+            place = place.astype(np.int64)
+            found &= (data[first[left] + (place >> 3)] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
+        left = left[found]
+        level[left] = j
+    return level
+
+
+@dataclass
+class Frequent:
+    """Exact counts of the most frequent words, sorted by hash, and of all training tokens."""
+
+    words: np.ndarray
+    counts: np.ndarray
+    total: int
+    distinct: int
+
+    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which words are among them, and their counts."""
+        if not len(self.words):
+            return np.zeros(len(words), bool), np.zeros(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        often = self.words[at] == words
+        return often, np.where(often, self.counts[at], 0)
+
+
+@dataclass
+class Piece:
+    """The tokens of some texts: distinct words and bigrams, sorted, where each token's are, and each token's text."""
+
+    u: np.ndarray
+    u_at: np.ndarray
+    b: np.ndarray
+    b_first: np.ndarray
+    b_at: np.ndarray
+    text: np.ndarray
+    n: int
+
+    @classmethod
+    def of(cls, uni: np.ndarray, bi: np.ndarray, text: np.ndarray, n: int) -> Piece:
+        u, u_at = np.unique(uni, return_inverse=True)
+        b, b_first, b_at = np.unique(bi, return_index=True, return_inverse=True)
+        return cls(u, u_at, b, b_first, b_at, text, n)
+
+    def scores(self, often: np.ndarray, exact: np.ndarray, u_level: np.ndarray, b_level: np.ndarray, total: int, distinct: int, prior: float) -> np.ndarray:
+        """log10 probability of each text: frequent words count exactly, others and all bigrams as their levels stand for."""
+        c_u = np.where(often, exact, _STANDS_FOR[u_level])
+        p_u = (c_u + 1) / (total + distinct + 1)
+        context = np.concatenate([[int(np.searchsorted(self.u, END))], self.u_at[:-1]])
+        c_b = _STANDS_FOR[b_level]
+        h = np.maximum(c_u[context[self.b_first]], c_b)
+        log_b = np.log10((c_b + prior * p_u[self.u_at[self.b_first]]) / (h + prior))
+        return np.bincount(self.text, log_b[self.b_at], self.n)
 
 
 _SCORED = "row_id long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, rare binary, times binary"
 
 
-def _score(filter_, frequent, total: int, distinct: int, prior: float):
-    """A pass over the texts; without `frequent`, of (row_id, score) only."""
+def _score(filter_, frequent, prior: float):
+    """A row for each text; without a filter, score is 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f: CountFilter = filter_.value
-        words, counts = frequent.value if frequent else (None, None)
+        f: Frequent = frequent.value
         for batch in batches:
             for i, j, data, off in chunks(batch.column("text")):
                 n = j - i
                 uni, bi, text = _tokens(data, off)
-                u, u_at = np.unique(uni, return_inverse=True)
-                b, b_first, b_at = np.unique(bi, return_index=True, return_inverse=True)
-                c_u = f.counts(u, 0)
-                p_u = (c_u + 1) / (total + distinct + 1)
-                context = np.concatenate([[int(np.searchsorted(u, END))], u_at[:-1]])
-                c_b = f.counts(b, 1)
-                h = np.maximum(c_u[context[b_first]], c_b)
-                log_b = np.log10((c_b + prior * p_u[u_at[b_first]]) / (h + prior))
-                log_b = np.where(f.takes(u[u_at[b_first]], u[context[b_first]], b), log_b, 0.0)
-                score = np.bincount(text, log_b[b_at], n)
-                if frequent is None:
-                    yield pa.RecordBatch.from_arrays([batch.column("row_id").slice(i, n), pa.array(score)], names=["row_id", "score"])
-                    continue
-                at = np.minimum(np.searchsorted(words, u), max(len(words) - 1, 0))
-                often = words[at] == u if len(words) else np.zeros(len(u), bool)
-                log_u = np.where(often, np.log10(np.where(often, counts[at], 0) + 1.0), 0.0) if len(words) else np.zeros(len(u))
+                if filter_ is None:
+                    u, u_at = np.unique(uni, return_inverse=True)
+                    often, exact = f.find(u)
+                    score = np.zeros(n)
+                else:
+                    p = Piece.of(uni, bi, text, n)
+                    u, u_at = p.u, p.u_at
+                    often, exact = f.find(u)
+                    score = p.scores(often, exact, filter_.value.levels(u, 0), filter_.value.levels(p.b, 1), f.total, f.distinct, prior)
+                log_u = np.log10(exact + 1.0)
                 logs, known = np.bincount(text, log_u[u_at], n), np.bincount(text[often[u_at]], minlength=n)
                 seldom = ~often[u_at]
                 key, where = uni[seldom], text[seldom]
@@ -258,6 +288,103 @@ def _score(filter_, frequent, total: int, distinct: int, prior: float):
     return run
 
 
+_PIECES = "piece long, row_ids binary, words binary, at binary, tokens binary"
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of runs of texts, packed: distinct words, where each token's is, and each text's number of tokens."""
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for i, j, data, off in chunks(batch.column("text")):
+            uni, _, text = _tokens(data, off)
+            u, at = np.unique(uni, return_inverse=True)
+            row_ids, tokens = batch.column("row_id").slice(i, j - i).to_numpy(), np.bincount(text, minlength=j - i).astype(np.uint32)
+            yield pa.RecordBatch.from_pydict({"piece": pa.array([number], pa.int64())} | {k: pa.array([v.tobytes()], pa.binary()) for k, v in (("row_ids", row_ids), ("words", u), ("at", at.astype(np.uint32)), ("tokens", tokens))})
+            number += 1
+
+
+def _unpacked(row_ids, words, at, tokens) -> tuple[np.ndarray, Piece]:
+    u, at, tokens = (np.frombuffer(x.as_buffer(), t) for x, t in ((words, np.uint64), (at, np.uint32), (tokens, np.uint32)))
+    uni = u[at]
+    return np.frombuffer(row_ids.as_buffer(), np.int64), Piece.of(uni, _bigrams(uni), np.repeat(np.arange(len(tokens)), tokens), len(tokens))
+
+
+_ASKED = "kind int, segment int, side int, keys binary, bits long, piece long"
+
+
+def _ask(shift: int):
+    """The distinct words and bigrams of each piece by segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece, *packed in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
+                _, p = _unpacked(*packed)
+                for kind, keys in enumerate((p.u, p.b)):
+                    segment = (keys >> _U(shift)).astype(np.int32)
+                    own = np.unique(segment)
+                    n, edge = len(own), np.append(np.searchsorted(segment, own), len(keys))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(own), pa.array(np.ones(n, np.int32)), _binary(keys, edge), pa.nulls(n, pa.int64()), pa.array(np.full(n, piece, np.int64))], names=["kind", "segment", "side", "keys", "bits", "piece"])
+
+    return run
+
+
+def _answer(probes: int):
+    """Levels of the asked n-grams; a segment's filter comes before what is asked of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, bits, data = None, 0, np.zeros(1, np.uint8)
+        for batch in batches:
+            for kind, segment, side, keys, size, piece in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3), *(batch.column(c).to_pylist() for c in (4, 5)), strict=True):
+                if (kind, segment) != now:
+                    now, bits, data = (kind, segment), 0, np.zeros(1, np.uint8)
+                if side == 0:
+                    bits, data = size, np.frombuffer(keys.as_buffer(), np.uint8)
+                    continue
+                key = np.frombuffer(keys.as_buffer(), np.uint64)
+                level = _probe(key, np.full(len(key), bits, np.uint64), np.zeros(len(key), np.int64), data, probes)
+                yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int64()), "kind": pa.array([kind], pa.int32()), "segment": pa.array([segment], pa.int32()), "levels": pa.array([level.tobytes()], pa.binary())})
+
+    return run
+
+
+def _assemble(frequent, prior: float):
+    """Scores of a piece's texts from its answers, which come after it in the order of their n-grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f: Frequent = frequent.value
+        rows, p, levels = None, None, [[], []]
+
+        def done() -> pa.RecordBatch:
+            score = p.scores(*f.find(p.u), *(np.concatenate(x) for x in levels), f.total, f.distinct, prior)
+            return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(score)], names=["row_id", "score"])
+
+        for batch in batches:
+            kinds = batch.column("kind").to_pylist()
+            for k, kind in enumerate(kinds):
+                if kind < 0:
+                    if p is not None:
+                        yield done()
+                    rows, p = _unpacked(*(batch.column(c)[k] for c in ("row_ids", "words", "at", "tokens")))
+                    levels = [[], []]
+                else:
+                    levels[kind].append(np.frombuffer(batch.column("levels")[k].as_buffer(), np.uint8))
+        if p is not None:
+            yield done()
+
+    return run
+
+
+def _scores_by_shuffle(texts: DataFrame, merged: DataFrame, frequent, p: Filter, shift: int, n: int, scratch: Scratch) -> DataFrame:
+    """Rows (row_id, score): n-grams of pieces of text meet their filter segment, and their levels the piece, in shuffles."""
+    pieces = scratch.save(texts.select("row_id", "text").mapInArrow(_pieces, _PIECES), "pieces")
+    filters = merged.select("kind", "segment", F.lit(0).alias("side"), F.col("filter").alias("keys"), "bits", F.lit(None).cast("long").alias("piece"))
+    both = filters.unionByName(pieces.mapInArrow(_ask(shift), _ASKED))
+    levels = both.repartition(n, "kind", "segment").sortWithinPartitions("kind", "segment", "side").mapInArrow(_answer(p.probes), "piece long, kind int, segment int, levels binary")
+    whole = pieces.withColumns({"kind": F.lit(-1), "segment": F.lit(-1)}).unionByName(levels, allowMissingColumns=True)
+    whole = whole.repartition(n, "piece").sortWithinPartitions("piece", "kind", "segment").select("kind", "row_ids", "words", "at", "tokens", "levels")
+    return whole.mapInArrow(_assemble(frequent, p.prior), "row_id long, score double")
+
+
 def _deal_rare(shift: int):
     """Rare words of a batch of documents by segment: keys, times and row ids, packed."""
 
@@ -297,6 +424,16 @@ def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.bincount(where, times * np.log10(c + 1.0))), pa.array(np.bincount(where, times * (c > 0)).astype(np.int64))], names=["row_id", "more_logs", "more_known"])
 
 
+def _whole_filter(merged: DataFrame, probes: int, shift: int, segments: int) -> CountFilter:
+    held = merged.select("kind", "segment", "bits", "filter").toArrow()  # within the bound on what is broadcast
+    at = held.column("kind").to_numpy() * segments + held.column("segment").to_numpy()
+    bits, first = np.zeros(2 * segments, np.uint64), np.zeros(2 * segments, np.int64)
+    blobs = [np.frombuffer(x.as_buffer(), np.uint8) for x in held.column("filter")]
+    bits[at] = held.column("bits").to_numpy().astype(np.uint64)
+    first[at] = np.cumsum([0, *map(len, blobs)])[:-1]
+    return CountFilter(probes, shift, segments, bits, first, np.concatenate([*blobs, np.zeros(1, np.uint8)]))
+
+
 def score_documents(docs: DataFrame, held_out, p: Filter = Filter(), scratch: Scratch | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one for each row of docs.
 
@@ -315,33 +452,14 @@ def score_documents(docs: DataFrame, held_out, p: Filter = Filter(), scratch: Sc
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = rows.where("not held_out").select("text").mapInArrow(_count(shift), _PACKED)
     merged = scratch.save(packed.repartition(n, "kind", "segment").sortWithinPartitions("kind", "segment").mapInArrow(_merge(p), _MERGED), "counts")
-    table = merged.select("kind", "segment", "total", "n", "histogram", "bits").toArrow()  # a row for each segment
-    size = np.zeros(2 * segments, np.int64)
-    size[table.column("kind").to_numpy() * segments + table.column("segment").to_numpy()] = -(-table.column("bits").to_numpy() // 8)
-    passes = _passes(size, segments, p.most_bytes)
-
-    def part(word: Range, before: Range, bigram: Range):
-        def own(kind: int, *ranges: Range):
-            found = F.lit(False)
-            for a, b in ranges:
-                found |= (F.col("segment") >= a) & (F.col("segment") < b)
-            return (F.col("kind") == kind) & found
-
-        held = merged.where(own(0, word, before) | own(1, bigram)).select("kind", "segment", "bits", "filter").toArrow()  # p.most_bytes
-        at = held.column("kind").to_numpy() * segments + held.column("segment").to_numpy()
-        bits, first = np.zeros(2 * segments, np.uint64), np.zeros(2 * segments, np.int64)
-        blobs = [np.frombuffer(x.as_buffer(), np.uint8) for x in held.column("filter")]
-        bits[at] = held.column("bits").to_numpy().astype(np.uint64)
-        first[at] = np.cumsum([0, *map(len, blobs)])[:-1]
-        data = np.concatenate([*blobs, np.zeros(1, np.uint8)])
-        return spark.sparkContext.broadcast(CountFilter(p.probes, shift, segments, bits, first, data, word, before, bigram))
-
-    words = table.filter(pc.equal(table.column("kind"), 0))
-    total, distinct = sum(words.column("total").to_pylist()), sum(words.column("n").to_pylist())
+    words = merged.where("kind = 0")
+    total, distinct = (x or 0 for x in words.agg(F.sum("total"), F.sum("n")).first())
     # the lowest level from which on there are few enough words to broadcast
-    above = np.cumsum(np.sum([np.zeros(65, np.int64), *map(np.array, words.column("histogram").to_pylist())], axis=0)[::-1])[::-1]
-    least = 1 << max(int(np.flatnonzero(above <= p.most_frequent)[0]) - 1, 0)
-    del table, words
+    by_level = dict(words.select(F.posexplode("histogram")).groupBy("pos").agg(F.sum("col")).collect())
+    above, level = 0, len(_LEAST)
+    while level > 0 and above + by_level.get(level, 0) <= p.most_frequent:
+        above, level = above + by_level.get(level, 0), level - 1
+    least = int(_LEAST[level]) if level < len(_LEAST) else 1 << 62
 
     def frequent_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,25 +468,19 @@ def score_documents(docs: DataFrame, held_out, p: Filter = Filter(), scratch: Sc
                 some = counts >= least
                 yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(counts[some])], names=["key", "n"])
 
-    exact = merged.where("kind = 0").select("keys", "counts")
-    often = exact.mapInArrow(frequent_only, "key long, n long").toArrow()  # at most p.most_frequent rows
+    often = words.select("keys", "counts").mapInArrow(frequent_only, "key long, n long").toArrow()  # at most p.most_frequent rows
     keys = often.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    frequent = spark.sparkContext.broadcast((keys[order], often.column("n").to_numpy()[order]))
+    frequent = spark.sparkContext.broadcast(Frequent(keys[order], often.column("n").to_numpy()[order], total, distinct))
     numbered = rows.withColumn("row_id", F.monotonically_increasing_id())
-    if len(passes) > 1:  # all passes must see the same numbers
-        numbered = scratch.save(numbered, "numbered")
-    scored, others = None, None
-    for k, ranges in enumerate(passes):
-        filter_ = part(*ranges)
-        if k == 0:
-            scored = scratch.save(numbered.mapInArrow(_score(filter_, frequent, total, distinct, p.prior), _SCORED), "scored")
-        else:
-            one = scratch.save(numbered.select("row_id", "text").mapInArrow(_score(filter_, None, total, distinct, p.prior), "row_id long, score double"), f"scored-{k}")
-            others = one if others is None else others.unionByName(one)
-        filter_.destroy()
-    if others is not None:
-        scored = scored.join(others.groupBy("row_id").agg(F.sum("score").alias("others")), "row_id").withColumn("score", F.col("score") + F.col("others")).drop("others")
+    if (merged.agg(F.sum("bits")).first()[0] or 0) <= 8 * p.most_bytes:
+        filter_ = spark.sparkContext.broadcast(_whole_filter(merged, p.probes, shift, segments))
+        scored = scratch.save(numbered.mapInArrow(_score(filter_, frequent, p.prior), _SCORED), "scored")
+    else:
+        numbered = scratch.save(numbered, "numbered")  # the numbers must stay the same
+        scored = scratch.save(numbered.mapInArrow(_score(None, frequent, p.prior), _SCORED), "scored")
+        scores = _scores_by_shuffle(numbered, merged, frequent, p, shift, n, scratch)
+        scored = scratch.save(scored.drop("score").join(scores, "row_id"), "rescored")
     rare = scored.select("row_id", "rare", "times").where(F.length("rare") > 0).mapInArrow(_deal_rare(shift), "segment int, side int, keys binary, counts binary, row_ids binary")
     both = merged.where("kind = 0").select("segment", F.lit(0).alias("side"), "keys", "counts", F.lit(None).cast("binary").alias("row_ids")).unionByName(rare)
     found = both.repartition(n, "segment").sortWithinPartitions("segment", "side").mapInArrow(_look_up, "row_id long, more_logs double, more_known long")

@@ -1,7 +1,10 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names."""
 
 import io
+import math
 import time
+from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -111,21 +114,50 @@ def test_lm_exact_counts_need_no_frequent_words(spark, sf_dir):
     assert [(r.n_known, round(r.base_score, 6)) for r in some] == [(r.n_known, round(r.base_score, 6)) for r in most]
 
 
-def test_lm_in_passes_is_the_same(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 40")
+def test_lm_by_shuffle_is_the_same(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held = F.col("doc_id") % 5 == 0
-    whole = lm_scoring.score_documents(docs, held).orderBy("doc_id").collect()
-    for most in (16_000, 6_000):
-        parts = lm_scoring.score_documents(docs, held, lm_scoring.Filter(most_bytes=most)).orderBy("doc_id").collect()
+    for p in (lm_scoring.Filter(), lm_scoring.Filter(most_frequent=20)):
+        whole = lm_scoring.score_documents(docs, held, p).orderBy("doc_id").collect()
+        parts = lm_scoring.score_documents(docs, held, replace(p, most_bytes=1000)).orderBy("doc_id").collect()
         assert [r.score for r in parts] == pytest.approx([r.score for r in whole], rel=1e-9)
         assert [(r.doc_id, r.n_known, round(r.base_score, 6)) for r in parts] == [(r.doc_id, r.n_known, round(r.base_score, 6)) for r in whole]
 
 
-def test_passes_take_every_combination_once():
-    size = np.array([3, 4, 5, 0, 9, 1, 1, 1])
-    assert lm_scoring._blocks(size[:4], 7) == [(0, 2), (2, 4)] and lm_scoring._blocks(size[4:], 7) == [(0, 1), (1, 4)]
-    assert len(lm_scoring._passes(size, 4, 1000)) == 1 and len(lm_scoring._passes(size, 4, 24)) == 1
-    assert len(set(lm_scoring._passes(size, 4, 16))) == 4 * 4 * 2  # an empty segment after a full block starts its own
+def test_lm_by_shuffle_takes_odd_tables(spark, docs):
+    rows = lm_scoring.score_documents(docs, F.col("doc_id") == 6, lm_scoring.Filter(most_bytes=-1)).collect()
+    assert len(rows) == docs.count() and all(np.isfinite(r.score) for r in rows)
+
+
+def test_lm_scores_by_brute_force(spark, sf_dir):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    words = {i: [*brute.SPACED.findall(brute.lower(t)), None] for i, t in docs}
+    training = [words[i] for i, _ in docs if i % 5]
+    uni, bi = Counter(w for t in training for w in t), Counter(pair for t in training for pair in zip([None, *t], t))
+    total, distinct = sum(uni.values()), len(uni)
+
+    def stands_for(count):  # the middle of the counts from one step of half an octave to the next
+        step = lambda k: math.ceil(2 ** (k / 2))
+        k = max((k for k in range(60) if step(k) <= count), default=None)
+        return 0 if k is None else (step(k) + next(step(j) for j in range(k, 80) if step(j) > step(k)) - 1) / 2
+
+    def score(t, prior=50.0):
+        out = 0.0
+        for h, w in zip([None, *t], t):
+            c = stands_for(bi[h, w])
+            out += math.log10((c + prior * (uni[w] + 1) / (total + distinct + 1)) / (max(uni[h], c) + prior))
+        return out
+
+    table, held = spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id") % 5 == 0
+    want = {i: score(words[i]) for i, _ in docs}
+    exact = {r.doc_id: r.score for r in lm_scoring.score_documents(table, held, lm_scoring.Filter(bits_per_entry=96)).collect()}  # hardly any false hits
+    assert exact == pytest.approx(want, rel=1e-4)
+    # with 8 bits for each entry 2 % of new bigrams hit, which can only raise a score, by few hundredths a token
+    usual = {r.doc_id: r.score for r in lm_scoring.score_documents(table, held).collect()}
+    assert all(-0.001 <= (usual[i] - want[i]) / len(words[i]) <= 0.1 for i, _ in docs if len(words[i]) > 50)
+    # what the levels stand for adds up to about a word's count, so probabilities to about 1
+    for h in [None, *(w for w, _ in uni.most_common(5))]:
+        assert sum(stands_for(n) for (a, _), n in bi.items() if a == h) == pytest.approx(uni[h], rel=0.1)
 
 
 def test_rules(spark, docs):
