@@ -29,9 +29,8 @@ def _scratch(spark: SparkSession, stage: int) -> Scratch:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules; null and empty texts don't.  Rows of equal id and text share a verdict."""
-    verdicts = quality_rules(docs, scratch=_scratch(spark, 0)).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
-    return docs.join(verdicts, docs.doc_id.eqNullSafe(F.col("kept_id")) & F.xxhash64(docs.text).eqNullSafe(F.col("kept_hash")), "left_semi")
+    """Documents that pass the quality rules; null and empty texts don't."""
+    return quality_rules(docs, scratch=_scratch(spark, 0), keep=True).where("kept").select("row.*")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
 """Plain Python versions of what the text operators compute."""
 
+import math
 import re
+import string
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
+from statistics import median
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -114,3 +117,60 @@ def phrases(text, labels):
 
 def crc(doc_id):
     return zlib.crc32(str(doc_id).encode())
+
+
+def _kneser_ney(texts, order):
+    """p(gram) of a modified Kneser-Ney model of symbols, as a function, from plain dictionaries."""
+    levels = {order: Counter()}
+    for t in texts:
+        t = "\x02" * (order - 1) + t + "\x03"
+        levels[order].update(t[k : k + order] for k in range(len(t) - order + 1))
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    cut, total, held = {}, defaultdict(int), defaultdict(float)
+    for k, level in levels.items():
+        n = [max(1, sum(c == x for c in level.values())) for x in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        cut[k] = [min(max(c - (c + 1) * y * n[c] / n[c - 1], 0.1), 0.9 * c) for c in (1, 2, 3)]
+        for g, c in level.items():
+            total[g[:-1]] += c
+            held[g[:-1]] += cut[k][min(c, 3) - 1]
+
+    def p(gram):
+        if not gram:
+            return 1 / 0x110000
+        c, h = levels[len(gram)][gram], gram[:-1]
+        if not total[h]:
+            return p(gram[1:])
+        return (c - cut[len(gram)][min(c, 3) - 1] if c else 0) / total[h] + held[h] / total[h] * p(gram[1:])
+
+    return p
+
+
+def judged(docs, half_of, order=5, width=5.0):
+    """{id: (bits, kept)} from [(id, text, lang)] of unlike texts; half_of gives the half that a text is in."""
+    base, train = {}, defaultdict(list)
+    for i, t, lang in docs:
+        n, chars, _, _, again = counts(t)
+        base[i] = n < 50 or 100 * again > 50 * n
+        odd, capitals = sum(c in string.punctuation for c in t or ""), sum("A" <= c <= "Z" for c in t or "")
+        if not base[i] and odd <= 0.1 * chars and capitals <= 0.2 * chars:
+            train[half_of(t), lang].append(t)
+    models = {k: _kneser_ney(v, order) for k, v in train.items()}
+    every = {h: _kneser_ney([t for (x, _), v in train.items() if x == h for t in v], order) for h in (0, 1)}
+    bits = {}
+    for i, t, lang in docs:
+        if not base[i]:
+            own, whole = models.get((1 - half_of(t), lang), lambda g: 1 / 0x110000), every[1 - half_of(t)]
+            s = "\x02" * (order - 1) + t + "\x03"
+            bits[i] = sum(-math.log2((own(s[k : k + order]) + whole(s[k : k + order])) / 2) for k in range(len(t) + 1)) / (len(t) + 1)
+    out, size = {}, {i: len(t or "") + 1 for i, t, _ in docs}
+    for lang in {x for _, _, x in docs}:
+        each = [(round(bits[i], 4), math.sqrt(size[i] / (size[i] + 1000))) for i, _, x in docs if x == lang and i in bits]
+        middle = median(b for b, _ in each) if each else 0
+        spread = median(round(abs(b - middle) * w, 4) for b, w in each) if each else 0
+        for i, t, x in docs:
+            if x == lang:
+                reach = width * 1.4826 * max(spread, 0.015) / math.sqrt(size[i] / (size[i] + 1000))
+                out[i] = (bits.get(i), i in bits and abs(bits[i] - middle) <= reach)
+    return out
