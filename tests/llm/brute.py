@@ -174,3 +174,35 @@ def judged(docs, half_of, order=5, width=5.0):
                 reach = width * 1.4826 * max(spread, 0.015) / math.sqrt(size[i] / (size[i] + 1000))
                 out[i] = (bits.get(i), i in bits and abs(bits[i] - middle) <= reach)
     return out
+
+
+def licence_shares(text, templates, least):
+    """The share of each template that the best chain of its longest matches covers, by trying every place."""
+    w = ALNUM.findall(lower(text))
+    out = []
+    for _, t in templates:
+        q = ALNUM.findall(lower(t))
+
+        def ending(end):  # words of the longest match with q that ends before `end`, and its places
+            n, places = 0, []
+            for b in range(1, len(q) + 1):
+                k = 0
+                while k < min(end, b) and w[end - 1 - k] == q[b - 1 - k]:
+                    k += 1
+                if k > n:
+                    n, places = k, []
+                if k == n and n:
+                    places.append(b)
+            return n, places
+
+        found, lengths = set(), [ending(k) for k in range(len(w) + 1)] + [(0, [])]
+        for end in range(1, len(w) + 1):
+            n, places = lengths[end]
+            if n >= least and lengths[end + 1][0] != n + 1:
+                found |= {(end - n, b - n, n) for b in places}
+        found, best = sorted(found), []
+        for j, (_, at, n) in enumerate(found):
+            before = [best[i] + at + n - max(at, found[i][1] + found[i][2]) for i in range(j) if found[i][1] + found[i][2] < at + n]
+            best.append(max([n, *before]))
+        out.append(min(1.0, max(best, default=0) / len(q)))
+    return out

@@ -278,6 +278,44 @@ def test_a_notice_is_found_by_chained_matches(spark):
     assert got[1].labels == "bsd" and got[1].n_base == 0 and got[1].score > 0.7 and got[2].labels == "" and 0 < got[2].score < 0.3
 
 
+def test_passages_shared_by_templates_and_one_word_phrases(spark):
+    rng = np.random.default_rng(8)
+    words = lambda n, many=12: [f"t{k}" for k in rng.integers(0, many, n)]
+    shared, head = words(40, 1000), words(20, 1000)
+    templates = [("a", " ".join([*words(30), *shared])), ("b", " ".join([*head, *words(25), *shared, *words(9)])), ("a", " ".join([*head, *words(30)])), ("c", " ".join(words(60, 4)))]
+    phrases = {"t3": "three", "t1 t2": "pair", "zz": "zed"}
+    texts = [" ".join(x) for x in (shared, [*words(5), *shared[:30], "x", *shared[20:]], [*head, *words(30)], words(200), words(80, 4), ["zz"], ["a", "zz", "t9", "zz"], ["t3", "t1", "t2", "t3"], shared * 3)] + [templates[1][1], ""]
+    rows = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), phrases, templates, least=5).collect()
+    for r in rows:
+        shares = brute.licence_shares(texts[r.doc_id], templates, 5)
+        n_words, n_base, first, last, labels = brute.phrases(texts[r.doc_id], phrases)
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (n_words, n_base, first, last, labels)
+        want = {x for (x, _), y in zip(templates, shares) if y >= 0.3} | {x for x in labels.split(",") if x}
+        assert r.labels == ",".join(sorted(want)) and r.score == pytest.approx(max([1.0 if n_base else 0.0, *shares]))
+    assert next(r for r in rows if r.doc_id == 0).labels == "a,b"
+
+
+def test_full_licence_texts(spark):
+    texts = license_scan.licence_files()
+    if not texts:
+        pytest.skip("this system has no folder of licences")
+    docs = spark.createDataFrame([(k, f"some words before {t} and after") for k, (_, t) in enumerate(texts)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in license_scan.scan_licenses(docs, templates=[*license_scan.TEMPLATES.items(), *texts]).collect()}
+    for k, (label, _) in enumerate(texts):
+        assert label in rows[k].labels.split(",") and rows[k].score == 1
+    assert license_scan.licence_files("/nowhere") == []
+
+
+def test_licence_scores_by_brute_force(spark, sf_dir):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    templates = [*license_scan.TEMPLATES.items()]
+    rows = license_scan.scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()
+    for r in rows:
+        shares = brute.licence_shares(docs[r.doc_id], templates, 6) if len(docs[r.doc_id]) < 1500 or r.score else [0.0] * len(templates)
+        assert r.score == pytest.approx(max([1.0 if r.n_base else 0.0, *shares]))
+        assert r.labels == ",".join(sorted({x for (x, _), y in zip(templates, shares) if y >= 0.3} | {x for x in r.base_labels.split(",") if x}))
+
+
 def test_classifier(spark, docs):
     labels = spark.createDataFrame([(4, 1, 0), (5, 0, 0), (5, 0, 0), (None, 1, 1), (7, None, 0), (999, 1, 0)], "doc_id long, quality int, toxic int")
     for known in (labels, labels.limit(0)):
