@@ -1,9 +1,10 @@
 """Sharding by sampled splitters, in DataFrame operations only.
 
 A size-weighted sample of key hashes gives quantile boundaries, and records are
-dealt to the ranges between them.  Ranges that turn out overfull, such as those
-of a hot key, are subdivided.  The exact bytes and rows of the (sub)ranges then
-place every record on one line of bytes, which is cut into shards.
+dealt to the ranges between them.  Ranges that turn out overfull are subdivided
+by key, and a key that is overfull alone by record.  The exact bytes and rows of
+these cells then place every record on one line of bytes, on which equal texts
+stand together, and which is cut into shards between texts.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from .store import Scratch, read_table
 _UNIT = 1 << 30
 #: Ranges follow the rows; their number, and so the sample and what is broadcast, is bounded.
 ROWS_PER_RANGE, MOST_RANGES = 1_000_000, 1 << 14
+#: Equal texts of at most this share of a shard's mean bytes go to one shard; larger groups may part at its edge.
+SLACK = 0.01
 
 
 def splitters(rows: DataFrame, n_ranges: int, per_range: int, total: int) -> list[float]:
@@ -42,40 +45,51 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 16, ranges_per_shard: int =
     """Rows (doc_id, size, text_crc32, law, shard, slot, grown_shard), one for each row of docs.
 
     size is the text's UTF-8 bytes plus 1.  Shards are cut from one order of
-    all records by text hash, so equal texts stand together unless their range
-    is subdivided, and shard sizes differ by about one document.  A null text
-    has no bytes (size 1, crc 0); null and repeated ids, ties and repeated rows
-    are each placed once; an empty table gives no rows.  Other columns are not
-    read.
+    all records by text hash, so their sizes differ by about one document, or
+    by SLACK.  Equal texts are in one shard unless they have more than SLACK of
+    a shard's bytes and lie across an edge.  A null text has no bytes (size 1,
+    crc 0); null and repeated ids, ties and repeated rows are each placed once;
+    an empty table gives no rows.  Other columns are not read.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "sharding")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = scratch.save(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key")), "keys")
     n_rows, total = rows.agg(F.count("*"), F.sum("size")).first()
-    total = total or 1
+    n_rows, total = max(n_rows, 1), total or 1
     n_ranges = max(n_shards * ranges_per_shard, min(MOST_RANGES, n_rows // ROWS_PER_RANGE))
     cuts = [-float("inf"), *splitters(rows, n_ranges, per_range, total), float("inf")]
     dealt = rows.withColumn("at", F.col("key").cast("double"))
     dealt = Bucketizer(splits=cuts, inputCol="at", outputCol="range").transform(dealt) if len(cuts) > 2 else dealt.withColumn("range", F.lit(0.0))
     dealt = dealt.drop("at").withColumn("range", F.col("range").cast("int"))
-    # overfull: over twice the mean in rows or bytes
-    parts = F.greatest(F.ceil(F.count("*") * F.lit(n_ranges / 2 / max(n_rows, 1))), F.ceil(F.sum("size") * F.lit(n_ranges / 2 / total)), F.lit(1)).cast("int")
-    full = dealt.groupBy("range").agg(parts.alias("parts"))  # at most n_ranges rows
-    dealt = dealt.join(F.broadcast(full), "range").withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(5)), F.col("parts")).cast("int")).drop("parts")
-    order = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
-    # one row for each (sub)range, of which there are about three times n_ranges at most
-    before = dealt.groupBy("range", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    before = before.select("range", "part", F.coalesce(F.sum("bytes").over(order), F.lit(0)).alias("bytes_before"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("rows_before"))
-    within = Window.partitionBy("range", "part").orderBy("key", "doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = dealt.withColumns({"run": F.sum("size").over(within), "nth": F.count(F.lit(1)).over(within)}).join(F.broadcast(before), ["range", "part"])
-    placed = placed.select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        F.least(F.expr(f"({n_shards} * (bytes_before + run - size div 2 - 1)) div {total}"), F.lit(n_shards - 1)).cast("int").alias("shard"),
-        (F.col("rows_before") + F.col("nth") - 1).alias("row"),
-    )
+    # how often bytes and rows fill a mean range; a key that fills one alone is a cell of its own, in parts
+    fill = F.greatest(F.sum("bytes") * F.lit(n_ranges / total), F.sum("n") * F.lit(n_ranges / n_rows))
+    by_key = scratch.save(dealt.groupBy("range", "key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "by-key")
+    one = F.greatest(F.col("bytes") * F.lit(n_ranges / total), F.col("n") * F.lit(n_ranges / n_rows))
+    hot = by_key.withColumn("fill", one).where("fill > 1").select("range", F.col("key").alias("hot"), F.col("bytes").alias("group_bytes"), F.ceil("fill").cast("int").alias("pieces"))
+    hot = scratch.save(hot, "hot")  # at most twice n_ranges rows
+    cool = by_key.join(F.broadcast(hot.select("range", F.col("hot").alias("key"))), ["range", "key"], "left_anti").groupBy("range").agg(F.ceil(fill / 2).cast("int").alias("parts"))  # at most n_ranges rows
+    dealt = dealt.join(F.broadcast(hot), (dealt.range == hot.range) & (dealt.key == hot.hot), "left").drop(hot.range).join(F.broadcast(cool), "range", "left")
+    part = F.when(F.col("hot").isNull(), F.pmod(F.xxhash64("key", F.lit(5)), F.col("parts"))).otherwise(F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(5)), F.col("pieces"))).cast("int")
+    # cells in order: a range's parts, then its hot keys' pieces, one after another
+    cell = ["range", "hot", "part"]
+    dealt = dealt.withColumn("part", part)
+    line = Window.orderBy("range", F.col("hot").asc_nulls_first(), "part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each cell, of which there are about four times n_ranges at most
+    before = dealt.groupBy(*cell).agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    before = before.withColumns({"bytes_before": F.coalesce(F.sum("bytes").over(line), F.lit(0)), "rows_before": F.coalesce(F.sum("n").over(line), F.lit(0))}).drop("bytes", "n")
+    before = before.withColumn("hot_before", F.min("bytes_before").over(Window.partitionBy("range", "hot")))
+    within = Window.partitionBy(*cell).orderBy("key", "doc_id", "text_crc32", "size")
+    upto = within.rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt.withColumns({"run": F.sum("size").over(upto), "nth": F.count(F.lit(1)).over(upto)})
+    same = Window.partitionBy(*cell, "key")
+    placed = placed.withColumns({"own_bytes": F.sum("size").over(same), "own_end": F.max("run").over(same)})
+    placed = placed.alias("p").join(F.broadcast(before).alias("b"), (F.col("p.range") == F.col("b.range")) & F.col("p.hot").eqNullSafe(F.col("b.hot")) & (F.col("p.part") == F.col("b.part")))
+    bytes_of = F.coalesce("group_bytes", "own_bytes")
+    group_middle = F.when(F.col("p.hot").isNull(), F.col("bytes_before") + F.col("own_end") - F.expr("own_bytes div 2") - 1).otherwise(F.col("hot_before") + F.expr("group_bytes div 2"))
+    middle = F.when(bytes_of <= F.lit(int(SLACK * total / n_shards)), group_middle).otherwise(F.col("bytes_before") + F.col("run") - F.expr("size div 2") - 1)
+    placed = placed.select("doc_id", "size", "text_crc32", middle.alias("middle"), (F.col("rows_before") + F.col("nth") - 1).alias("row"))
+    placed = placed.withColumn("shard", F.least(F.expr(f"({n_shards} * middle) div {total}"), F.lit(n_shards - 1)).cast("int")).drop("middle")
     placed = scratch.save(placed, "placed")
     first = placed.groupBy("shard").agg(F.min("row").alias("first"))  # n_shards rows
     return placed.join(F.broadcast(first), "shard").select(

@@ -68,6 +68,22 @@ def test_sharding_splits_a_hot_text(spark):
     assert len(total) == 16 and max(total.values()) - min(total.values()) <= 2 * 251
 
 
+def test_sharding_keeps_equal_texts_together(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(spark.range(3000).select((F.col("id") + 10_000_000).alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("")).otherwise(F.concat(F.lit("few "), (F.col("id") % 200).cast("string"))).alias("text")))
+    rows = sharding.shard_by_bytes(docs).collect()
+    of, total = {}, Counter()
+    for r in rows:
+        of.setdefault(r.text_crc32, set()).add(r.shard)
+        total[r.shard] += r.size
+    mean, bytes_of = sum(total.values()) / 16, Counter()
+    for r in rows:
+        bytes_of[r.text_crc32] += r.size
+    assert len(rows) == docs.count() and all(len(of[k]) == 1 for k in of if bytes_of[k] <= 0.01 * mean)
+    assert max(total.values()) - mean <= max(r.size for r in rows) + 0.01 * mean
+    for s in total:
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+
+
 def test_tokens(spark, docs):
     rows = sorted(token_files.encode_documents(docs).collect(), key=lambda r: r.start)
     assert len(rows) == docs.count()
