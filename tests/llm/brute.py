@@ -147,7 +147,7 @@ def _kneser_ney(texts, order):
     return p
 
 
-def judged(docs, half_of, order=5, width=5.0):
+def judged(docs, half_of, order=4, width=6.0):
     """{id: (bits, kept)} from [(id, text, lang)] of unlike texts; half_of gives the half that a text is in."""
     base, train = {}, defaultdict(list)
     for i, t, lang in docs:
