@@ -1,47 +1,42 @@
-"""Affine maps of points and boxes, as 3 x 3 matrices of column expressions."""
+"""Affine maps of points and boxes, as the two upper rows of their matrices, of column expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .contrast import in_order
 from .statistics import standardize
 
 Matrix = list[list[Column]]
 
 
-def _lit(x) -> Column:
+def _number(x) -> Column:
     return x if isinstance(x, Column) else F.lit(float(x))
 
 
-def matrix(rows) -> Matrix:
-    return [[_lit(x) for x in row] for row in rows]
+def moving(turn, slant, zooms: tuple, shifts: tuple) -> Matrix:
+    """Where a place comes from in an image that is turned and slanted by degrees, zoomed, and then shifted (down, right)."""
+    turn, slant = F.radians(_number(turn)), F.radians(_number(slant))
+    down, right = (F.lit(1.0) / _number(z) for z in zooms)
+    rows = [(F.cos(turn) * down, F.sin(turn + slant) * right), (-F.sin(turn) * down, F.cos(turn + slant) * right)]
+    return [[a, b, -a * _number(shifts[0]) - b * _number(shifts[1])] for a, b in rows]
 
 
-def product(a: Matrix, b: Matrix) -> Matrix:
-    return [[a[i][0] * b[0][j] + a[i][1] * b[1][j] + a[i][2] * b[2][j] for j in range(3)] for i in range(3)]
+def grid_source(height: Column, width: Column, out: tuple[int, int] = (128, 128), anisotropy: float = 2.15, moved: Matrix | None = None) -> Matrix:
+    """Where the places of a grid of size out come from in an image.
 
-
-def build_transform(rotation, shear, height_zoom, width_zoom, height_shift, width_shift) -> Matrix:
-    """Rotation and shear (degrees), then zoom, then shift."""
-    a, s = F.radians(_lit(rotation)), F.radians(_lit(shear))
-    turn = matrix([[F.cos(a), F.sin(a), 0], [-F.sin(a), F.cos(a), 0], [0, 0, 1]])
-    slant = matrix([[1, F.sin(s), 0], [0, F.cos(s), 0], [0, 0, 1]])
-    zoom = matrix([[1 / _lit(height_zoom), 0, 0], [0, 1 / _lit(width_zoom), 0], [0, 0, 1]])
-    shift = matrix([[1, 0, -_lit(height_shift)], [0, 1, -_lit(width_shift)], [0, 0, 1]])
-    return product(product(turn, slant), product(zoom, shift))
-
-
-def center_transform(height: Column, width: Column, out: tuple[int, int] = (128, 128), anisotropy: float = 2.15, affine: Matrix | None = None) -> Matrix:
-    """From output places to input places, centred, with the input extended to the output's shape by the anisotropy."""
-    h, w = height.cast("double"), width.cast("double")
-    narrow = w / h / anisotropy < out[1] / out[0]
-    span_r, span_c = F.when(narrow, h).otherwise(w * out[0] / out[1] / anisotropy), F.when(narrow, h * out[1] / out[0] * anisotropy).otherwise(w)
-    center = matrix([[1, 0, -out[0] / 2], [0, 1, -out[1] / 2], [0, 0, 1]])
-    scale = matrix([[span_r / out[0], 0, 0], [0, span_c / out[1], 0], [0, 0, 1]])
-    back = matrix([[1, 0, h / 2], [0, 1, w / 2], [0, 0, 1]])
-    unit = affine or matrix([[1, 0, 0], [0, 1, 0], [0, 0, 1]])
-    return product(product(back, scale), product(unit, center))
+    The middles meet; the image is widened to the grid's shape, one row standing
+    for `anisotropy` columns.  moved maps the grid's places about its middle first.
+    """
+    rows, cols = height.cast("double"), width.cast("double")
+    tall = cols / rows / anisotropy < out[1] / out[0]
+    step = (F.when(tall, rows).otherwise(cols * out[0] / out[1] / anisotropy) / out[0], F.when(tall, rows * out[1] / out[0] * anisotropy).otherwise(cols) / out[1])
+    found = []
+    for k, middle in enumerate((rows / 2, cols / 2)):
+        a, b, c = moved[k] if moved else (F.lit(float(k == 0)), F.lit(float(k == 1)), F.lit(0.0))
+        found.append([step[k] * a, step[k] * b, middle + step[k] * (c - a * (out[0] / 2) - b * (out[1] / 2))])
+    return found
 
 
 def apply(m: Matrix, y: Column, x: Column) -> tuple[Column, Column]:
@@ -65,9 +60,10 @@ def random_affine(key: str = "image_id", seed: int = 1, out: tuple[int, int] = (
     """A small random map for each key: turned and sheared by up to `degrees`, zoomed down to `zoom`, shifted by up to a share of the output; drawn by hash, so reruns agree."""
 
     def uniform(k: int, low: float, high: float) -> Column:
-        return F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(k)), F.lit(1 << 30)) / float(1 << 30) * (high - low) + low
+        drawn = F.conv(F.substring(F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed)), F.lit(str(k)))), 1, 8), 16, 10).cast("double")
+        return drawn / float(1 << 32) * (high - low) + low
 
-    return build_transform(uniform(0, -degrees, degrees), uniform(1, -degrees, degrees), uniform(2, zoom, 1.0), uniform(3, zoom, 1.0), *[uniform(4 + k, -shift * n, shift * n) for k, n in enumerate(out)])
+    return moving(uniform(0, -degrees, degrees), uniform(1, -degrees, degrees), (uniform(2, zoom, 1.0), uniform(3, zoom, 1.0)), tuple(uniform(4 + k, -shift * n, shift * n) for k, n in enumerate(out)))
 
 
 def centered_images(pixels: DataFrame, images: DataFrame, out: tuple[int, int] = (128, 128), anisotropy: float = 2.15, seed: int | None = None) -> DataFrame:
@@ -82,15 +78,15 @@ def transform_images(pixels: DataFrame, images: DataFrame, out: tuple[int, int]
     affine is a map of the output's places before they are centred.  Each
     output pixel names its four neighbours, which meet the source by equality.
     """
-    sized = images.withColumns({"_m": F.array(*[F.array(*row) for row in center_transform(F.col("height"), F.col("width"), out, anisotropy, affine)])})
+    sized = images.withColumns({"_m": F.array(*[F.array(*row) for row in grid_source(F.col("height"), F.col("width"), out, anisotropy, affine)])})
     grid = sized.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(out[0] - 1)))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(out[1] - 1))))
     at = lambda k: F.col("_m")[k][0] * F.col("r") + F.col("_m")[k][1] * F.col("c") + F.col("_m")[k][2]
     grid = grid.withColumns({"sy": at(0), "sx": at(1)}).withColumns({"y0": F.floor("sy").cast("int"), "x0": F.floor("sx").cast("int")})
     inside = (F.col("sy") >= 0) & (F.col("sx") >= 0) & (F.col("sy") <= F.col("height") - 1) & (F.col("sx") <= F.col("width") - 1)
     fy, fx = F.col("sy") - F.col("y0"), F.col("sx") - F.col("x0")
-    near = F.array(*[F.struct((F.col("y0") + a).alias("y"), (F.col("x0") + b).alias("x"), ((fy if a else 1 - fy) * (fx if b else 1 - fx)).alias("w")) for a in (0, 1) for b in (0, 1)])
+    near = F.array(*[F.struct(F.lit(2 * a + b).alias("corner"), (F.col("y0") + a).alias("y"), (F.col("x0") + b).alias("x"), ((fy if a else 1 - fy) * (fx if b else 1 - fx)).alias("w")) for a in (0, 1) for b in (0, 1)])
     parts = grid.where(inside).select("image_id", "r", "c", F.explode(near).alias("n")).where("n.w > 0")
     source = pixels.select("image_id", F.col("r").alias("y"), F.col("c").alias("x"), "v")
-    sums = parts.select("image_id", "r", "c", F.col("n.y").alias("y"), F.col("n.x").alias("x"), F.col("n.w").alias("w")).join(source, ["image_id", "y", "x"]).groupBy("image_id", "r", "c").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    sums = parts.select("image_id", "r", "c", F.col("n.y").alias("y"), F.col("n.x").alias("x"), F.col("n.w").alias("w"), F.col("n.corner").alias("corner")).join(source, ["image_id", "y", "x"]).groupBy("image_id", "r", "c").agg(in_order("corner", F.col("v") * F.col("w")).alias("v"))
     mean = pixels.groupBy("image_id").agg(F.avg("v").alias("mean"))
     return grid.select("image_id", "r", "c").join(sums, ["image_id", "r", "c"], "left").join(mean, "image_id").select("image_id", "r", "c", F.coalesce("v", "mean").alias("v"))

@@ -37,9 +37,9 @@ def encode_all(images: DataFrame, places: DataFrame, keys: list[str], place: str
 
 def decoded(rle: str) -> Column:
     """Array of the 0-based places of a run-length string; empty for an empty or null one."""
-    numbers = F.transform(F.filter(F.split(F.coalesce(F.col(rle), F.lit("")), " "), lambda x: x != ""), lambda x: x.cast("long"))
-    pairs = F.transform(F.when(F.size(numbers) > 0, F.sequence(F.lit(0), (F.size(numbers) / 2).cast("int") - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.sequence(numbers[2 * k] - 1, numbers[2 * k] + numbers[2 * k + 1] - 2))
-    return F.flatten(pairs)
+    pairs = F.regexp_extract_all(F.coalesce(F.col(rle), F.lit("")), F.lit(r"\d+ +\d+"), 0)
+    runs_ = F.transform(pairs, lambda x: F.struct(F.regexp_substr(x, F.lit(r"^\d+")).cast("long").alias("start"), F.regexp_substr(x, F.lit(r"\d+$")).cast("long").alias("n")))
+    return F.flatten(F.transform(F.filter(runs_, lambda x: x["n"] > 0), lambda x: F.sequence(x["start"] - 1, x["start"] + x["n"] - 2)))
 
 
 def submission(masks: DataFrame, height: int, image: str = "image_id", mask: str | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.store import Scratch
@@ -31,16 +31,24 @@ def clahe(pixels: DataFrame, images: DataFrame, tiles: int = 8, clip: float = 0.
     every = total.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).join(counted, [KEY, "tr", "tc", "bin"], "left").fillna(0, ["k"])
     most = F.greatest(F.lit(1.0), F.col("n") * clip)
     by = Window.partitionBy(KEY, "tr", "tc")
-    every = every.withColumn("low", F.least(F.col("k"), most)).withColumn("spare", F.sum(F.col("k") - F.col("low")).over(by) / bins)
-    map_ = every.select(KEY, "tr", "tc", "bin", ((F.sum("low").over(by.orderBy("bin")) + F.col("spare") * (F.col("bin") + 1)) / F.col("n")).alias("to"))
+    # whole numbers add up the same in any order: what bins below the limit hold, and how many bins reach it
+    every = every.withColumns({"under": F.when(F.col("k") < most, F.col("k")).otherwise(0), "full": (F.col("k") >= most).cast("long"), "most": most})
+    low = lambda w: F.sum("under").over(w) + F.sum("full").over(w) * F.col("most")
+    map_ = every.select(KEY, "tr", "tc", "bin", ((low(by.orderBy("bin")) + (F.col("n") - low(by)) / bins * (F.col("bin") + 1)) / F.col("n")).alias("to"))
     place = lambda x, n: (F.col(x) + 0.5) * tiles / F.col(n) - 0.5
     at = scaled.withColumns({"y": place("r", "height"), "x": place("c", "width")})
     inside = lambda t: F.least(F.greatest(t, F.lit(0)), F.lit(tiles - 1)).cast("int")
     y0, x0 = F.floor("y"), F.floor("x")
     fy, fx = F.col("y") - y0, F.col("x") - x0
-    near = F.array(*[F.struct(inside(y0 + a).alias("tr"), inside(x0 + b).alias("tc"), ((fy if a else 1 - fy) * (fx if b else 1 - fx)).alias("w")) for a in (0, 1) for b in (0, 1)])
+    near = F.array(*[F.struct(F.lit(2 * a + b).alias("corner"), inside(y0 + a).alias("tr"), inside(x0 + b).alias("tc"), ((fy if a else 1 - fy) * (fx if b else 1 - fx)).alias("w")) for a in (0, 1) for b in (0, 1)])
     parts = at.select(KEY, "r", "c", "bin", F.explode(near).alias("t")).select(KEY, "r", "c", "bin", "t.*")
-    return parts.join(map_, [KEY, "tr", "tc", "bin"]).groupBy(KEY, "r", "c").agg(F.sum(F.col("w") * F.col("to")).alias("v"))
+    return parts.join(map_, [KEY, "tr", "tc", "bin"]).groupBy(KEY, "r", "c").agg(in_order("corner", F.col("w") * F.col("to")).alias("v"))
+
+
+def in_order(corner: str, value: Column) -> Column:
+    """The sum of a group's values at corners 0 to 3, in this order, so that reruns and other engines agree to the last bit."""
+    at = [F.coalesce(F.max(F.when(F.col(corner) == k, value)), F.lit(0.0)) for k in range(4)]
+    return at[0] + at[1] + at[2] + at[3]
 
 
 def process_images(pixels: DataFrame, images: DataFrame, options: dict) -> DataFrame:

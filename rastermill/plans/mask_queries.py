@@ -157,7 +157,7 @@ def watershed_segments(spark, sf_dir):
 
 
 def box_iou_pairs(spark, sf_dir):
-    ranked = v.boxes(spark, sf_dir).where("image_id < 4").withColumn("rank", F.col("ordinal"))
+    ranked = v.boxes(spark, sf_dir).withColumn("rank", F.col("ordinal"))
     return bx.overlapping_pairs(ranked, 0.3).withColumn("overlap", F.round("overlap", 9))
 
 
@@ -214,6 +214,23 @@ _PREC = "round(tp / nullif(tp + fp + fn, 0), 9) AS precision"
 _CLASSES = "WITH k AS (SELECT doc_id, CAST(quality AS INT) AS expected, CAST(1 - toxic AS INT) AS predicted FROM labels)"
 _CLIP = "least(greatest({}, 0), 64)"
 
+_SPARSE = f"WITH RECURSIVE {v.PX64}, {v.above_sql('m', 0.7)}"
+#: label: each pixel of m with the least of its component; pixels are known by their places in row order.
+_LABELS = """p AS (SELECT image_id, r, c, r * 64 + c AS id FROM m), o AS (SELECT a AS dr, b AS dc FROM (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b) WHERE abs(a) + abs(b) BETWEEN 1 AND {reach}),
+near AS (SELECT p.image_id, p.id, q.id AS other FROM (SELECT image_id, id, r + dr AS r, c + dc AS c FROM p, o) p JOIN p q USING (image_id, r, c)),
+lower AS (SELECT image_id, id, id AS least_id FROM p UNION SELECT near.image_id, other, least_id FROM lower JOIN near ON near.image_id = lower.image_id AND near.id = lower.id WHERE least_id < other),
+label AS (SELECT image_id, id, min(least_id) AS least_id FROM lower GROUP BY 1, 2)"""
+_SEGMENT = "(least_id // 64) || '-' || (least_id % 64) AS segment"
+_HOLES = f"""WITH RECURSIVE {v.PX64}, {v.above_sql('m', 0.5)}, ground AS (SELECT image_id, r, c FROM px64 EXCEPT SELECT image_id, r, c FROM m), o AS (SELECT unnest([-1, 1, 0, 0]) AS dr, unnest([0, 0, -1, 1]) AS dc),
+outside AS (SELECT image_id, r, c FROM ground WHERE r IN (0, 63) OR c IN (0, 63) UNION SELECT g.image_id, g.r, g.c FROM (SELECT image_id, r + dr AS r, c + dc AS c FROM outside, o) x JOIN ground g USING (image_id, r, c))"""
+#: kept: boxes that greedy suppression keeps, one after another by score.
+_GREEDY = """ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, ordinal) AS rank FROM boxes WHERE {where}),
+greedy AS (SELECT image_id, 0::BIGINT AS rank, []::STRUCT(r INT, c INT, rank BIGINT)[] AS held FROM (SELECT DISTINCT image_id FROM ranked)
+  UNION ALL SELECT b.image_id, b.rank, CASE WHEN len(list_filter(held, lambda h: greatest(0, 16 - abs(h.r - b.anchor_r)) * greatest(0, 16 - abs(h.c - b.anchor_c)) >= 0.2::DOUBLE * (512 - greatest(0, 16 - abs(h.r - b.anchor_r)) * greatest(0, 16 - abs(h.c - b.anchor_c))))) = 0
+    THEN list_append(held, {{'r': b.anchor_r, 'c': b.anchor_c, 'rank': b.rank}}) ELSE held END FROM greedy g JOIN ranked b ON b.image_id = g.image_id AND b.rank = g.rank + 1),
+last AS (SELECT image_id, max(rank) AS rank FROM greedy GROUP BY 1),
+kept AS (SELECT r.* FROM ranked r JOIN (SELECT image_id, unnest(held).rank AS rank FROM greedy JOIN last USING (image_id, rank)) USING (image_id, rank))"""
+
 QUERIES = {
     "rle_submission": (rle_submission, f"{_rle_sql(_CLIPPED, 'fg')} SELECT image_id AS \"ImageId\", string_agg(st || ' ' || n, ' ' ORDER BY st) AS \"EncodedPixels\" FROM runs GROUP BY 1"),
     "rle_decode_roundtrip": (rle_decode_roundtrip, f"{_rle_sql(_CLIPPED, 'fg')} SELECT image_id AS \"ImageId\", count(*) AS n, min(p - 1) AS first, max(p - 1) AS last, CAST(sum(p - 1) AS BIGINT) AS total FROM pos GROUP BY 1"),
@@ -236,20 +253,25 @@ QUERIES = {
     "score_running": (score_running, f"{_SCORE}, t AS (SELECT image_id, threshold, CAST(sum(tp) OVER w AS BIGINT) AS tp, CAST(sum(fp) OVER w AS BIGINT) AS fp, CAST(sum(fn) OVER w AS BIGINT) AS fn FROM score WINDOW w AS (PARTITION BY threshold ORDER BY image_id)) SELECT image_id, round(threshold, 2) AS threshold, tp, fp, fn, {_PREC} FROM t"),
     "score_mean": (score_mean, f"{_SCORE} SELECT image_id, round(avg(tp / nullif(tp + fp + fn, 0)), 9) AS score FROM score GROUP BY 1"),
     "box_iou_pairs": (box_iou_pairs, f"""WITH {v.PX64}, {v.BOXES}, o AS (SELECT a.image_id, a.ordinal AS a, b.ordinal AS b, greatest(0, 16 - abs(a.anchor_r - b.anchor_r)) * greatest(0, 16 - abs(a.anchor_c - b.anchor_c)) AS k
-  FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND a.ordinal < b.ordinal WHERE a.image_id < 4) SELECT image_id, a, b, round(k / (512 - k), 9) AS overlap FROM o WHERE k / (512 - k) >= 0.3"""),
+  FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND a.ordinal < b.ordinal AND abs(a.anchor_r - b.anchor_r) < 16 AND abs(a.anchor_c - b.anchor_c) < 16) SELECT image_id, a, b, round(k / (512 - k), 9) AS overlap FROM o WHERE k / (512 - k) >= 0.3"""),
     "confusion_matrix": (confusion_matrix, f"{_CLASSES} SELECT expected, predicted, count(*) AS n FROM k GROUP BY 1, 2"),
     "classification_report": (classification_report, f"""{_CLASSES}, c AS (SELECT DISTINCT expected AS class FROM k UNION SELECT DISTINCT predicted FROM k),
 s AS (SELECT class, (SELECT count(*) FROM k WHERE expected = class) AS support, (SELECT count(*) FROM k WHERE predicted = class) AS called, (SELECT count(*) FROM k WHERE predicted = class AND expected = class) AS tp FROM c),
 m AS (SELECT class, support, CASE WHEN called > 0 THEN tp / called ELSE 0 END AS p, CASE WHEN support > 0 THEN tp / support ELSE 0 END AS r FROM s)
 SELECT class, support, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 9) AS f1 FROM m"""),
     "incorrect_predictions": (incorrect_predictions, f"{_CLASSES} SELECT doc_id, expected, predicted FROM k WHERE expected IS DISTINCT FROM predicted"),
-    "components": (components, None),
-    "component_sizes_4": (component_sizes_4, None),
-    "fill_holes": (fill_holes, None),
+    "components": (components, f"{_SPARSE}, {_LABELS.format(reach=2)} SELECT image_id, CAST(id // 64 AS INT) AS r, CAST(id % 64 AS INT) AS c, {_SEGMENT} FROM label"),
+    "component_sizes_4": (component_sizes_4, f"{_SPARSE}, {_LABELS.format(reach=1)} SELECT image_id, {_SEGMENT}, count(*) AS size FROM label GROUP BY image_id, least_id"),
+    "fill_holes": (fill_holes, f"{_HOLES} SELECT image_id, r, c FROM px64 EXCEPT SELECT image_id, r, c FROM outside"),
     "adaptive_markers": (adaptive_markers, None),
     "watershed_segments": (watershed_segments, None),
-    "nms_greedy": (nms_greedy, None),
-    "sliding_window_masks": (sliding_window_masks, None),
+    "nms_greedy": (nms_greedy, f"WITH RECURSIVE {v.PX64}, {v.BOXES}, {_GREEDY.format(where='true')} SELECT image_id, ordinal, anchor_r, anchor_c, score FROM kept"),
+    "sliding_window_masks": (
+        sliding_window_masks,
+        _rle_sql(f"""WITH RECURSIVE {v.PX64}, {v.BOXES}, {_GREEDY.format(where='score > 0')}, d AS (SELECT unnest(range(0, 3)) AS d),
+marked AS (SELECT DISTINCT image_id, anchor_r + 7 + a.d AS r, anchor_c + 7 + b.d AS c FROM kept, d a, d b WHERE anchor_r + 7 + a.d < 63 AND anchor_c + 7 + b.d < 63)""", "marked")
+        + " SELECT image_id AS \"ImageId\", string_agg(st || ' ' || n, ' ' ORDER BY st) AS \"EncodedPixels\" FROM runs GROUP BY 1",
+    ),
 }
 
 

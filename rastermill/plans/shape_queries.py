@@ -189,12 +189,12 @@ _CLAHE = f"""WITH {v.PX64}, {_SPAN.format('px64')}, s AS (SELECT image_id, r, c,
 cnt AS (SELECT image_id, CAST(floor(r * 4 / 64.0) AS INT) AS tr, CAST(floor(c * 4 / 64.0) AS INT) AS tc, bin, count(*) AS k FROM s GROUP BY 1, 2, 3, 4),
 tot AS (SELECT image_id, tr, tc, sum(k) AS n FROM cnt GROUP BY 1, 2, 3),
 ev AS (SELECT t.image_id, t.tr, t.tc, CAST(b.bin AS INT) AS bin, t.n, coalesce(k, 0) AS k FROM tot t CROSS JOIN (SELECT unnest(range(0, 64)) AS bin) b LEFT JOIN cnt ON cnt.image_id = t.image_id AND cnt.tr = t.tr AND cnt.tc = t.tc AND cnt.bin = b.bin),
-lo AS (SELECT *, least(k, greatest(1.0, n * 0.02::DOUBLE)) AS low FROM ev),
-sp AS (SELECT *, sum(k - low) OVER (PARTITION BY image_id, tr, tc) / 64 AS spare FROM lo),
-mp AS (SELECT image_id, tr, tc, bin, (sum(low) OVER (PARTITION BY image_id, tr, tc ORDER BY bin) + spare * (bin + 1)) / n AS t FROM sp),
+lo AS (SELECT *, greatest(1.0::DOUBLE, n * 0.02::DOUBLE) AS most FROM ev),
+sp AS (SELECT *, sum(CASE WHEN k < most THEN k ELSE 0 END) OVER t + sum((k >= most)::INT) OVER t * most AS low, sum(CASE WHEN k < most THEN k ELSE 0 END) OVER o + sum((k >= most)::INT) OVER o * most AS upto FROM lo WINDOW t AS (PARTITION BY image_id, tr, tc), o AS (PARTITION BY image_id, tr, tc ORDER BY bin)),
+mp AS (SELECT image_id, tr, tc, bin, (upto + (n - low) / 64 * (bin + 1)) / n AS t FROM sp),
 placed AS (SELECT *, (r + 0.5::DOUBLE) * 4 / 64 - 0.5 AS y, (c + 0.5::DOUBLE) * 4 / 64 - 0.5 AS x FROM s),
-pt AS (SELECT image_id, r, c, bin, least(greatest(floor(y) + a, 0), 3) AS tr, least(greatest(floor(x) + b, 0), 3) AS tc, (CASE a WHEN 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE b WHEN 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w FROM placed, {_NEAR})
-SELECT pt.image_id, pt.r, pt.c, round(sum(w * t), 6) AS v FROM pt JOIN mp ON mp.image_id = pt.image_id AND mp.tr = pt.tr AND mp.tc = pt.tc AND mp.bin = pt.bin GROUP BY 1, 2, 3"""
+pt AS (SELECT image_id, r, c, bin, 2 * a + b AS corner, least(greatest(floor(y) + a, 0), 3) AS tr, least(greatest(floor(x) + b, 0), 3) AS tc, (CASE a WHEN 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE b WHEN 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w FROM placed, {_NEAR})
+SELECT pt.image_id, pt.r, pt.c, round(max(w * t) FILTER (corner = 0) + max(w * t) FILTER (corner = 1) + max(w * t) FILTER (corner = 2) + max(w * t) FILTER (corner = 3), 6) AS v FROM pt JOIN mp ON mp.image_id = pt.image_id AND mp.tr = pt.tr AND mp.tc = pt.tc AND mp.bin = pt.bin GROUP BY 1, 2, 3"""
 _RESIZE = f"""WITH {v.PX8}, g AS (SELECT image_id, CAST(r AS INT) AS r, CAST(c AS INT) AS c, (r + 0.5::DOUBLE) * 8 / 6 - 0.5 AS y, (c + 0.5::DOUBLE) * 8 / 6 - 0.5 AS x FROM (SELECT DISTINCT image_id FROM px8), (SELECT unnest(range(0, 6)) AS r), (SELECT unnest(range(0, 6)) AS c)),
 t AS (SELECT image_id, r, c, least(greatest(floor(y) + a, 0), 7) AS sr, least(greatest(floor(x) + b, 0), 7) AS sc, (CASE a WHEN 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE b WHEN 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w FROM g, {_NEAR})
 SELECT t.image_id, t.r, t.c, round(sum(p.v * w), 6) AS v FROM t JOIN px8 p ON p.image_id = t.image_id AND p.r = sr AND p.c = sc GROUP BY 1, 2, 3"""
@@ -223,7 +223,7 @@ QUERIES = {
     "pyramid_boxes": (pyramid_boxes, None),
     "hog_descriptor": (hog_descriptor, _HOG),
     "nearest_center": (nearest_center, f"WITH {v.PX8}, {v.above_sql('m', 0.9, 'px8')} SELECT p.image_id, p.r, p.c, CAST(min(abs(p.r - m.r) + abs(p.c - m.c)) AS INT) AS d FROM px8 p JOIN m USING (image_id) GROUP BY 1, 2, 3"),
-    "centered_at_random": (centered_at_random, None),
+    "centered_at_random": (centered_at_random, f"WITH {v.PX8}, {v.bilinear_sql(v.AT_RANDOM)} SELECT image_id, r, c, round((v - avg(v) OVER i) / (stddev_pop(v) OVER i + 1e-7), 6) AS v FROM moved WINDOW i AS (PARTITION BY image_id)"),
     "hold_out": (hold_out, "SELECT doc_id, quality FROM (SELECT *, row_number() OVER (ORDER BY md5(doc_id || '-1'), doc_id) AS nth, count(*) OVER () AS n FROM labels) WHERE nth <= CAST(floor(n * 0.1) AS INT)"),
     "nth_images": (nth_images, "SELECT doc_id, lang FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS nth FROM documents) WHERE nth BETWEEN 11 AND 20"),
     "first_existing": (first_existing, "SELECT d.doc_id AS id, coalesce('train/' || l.doc_id, 'test/' || p.page_id, CAST(d.doc_id AS VARCHAR)) AS path FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN pages p ON p.page_id = d.doc_id"),

@@ -104,14 +104,14 @@ def bounding_rectangle(spark, sf_dir):
 
 
 def affine_coords(spark, sf_dir):
-    m = affine.build_transform(5.0, 2.0, 0.9, 0.95, 3.0, -4.0)
+    m = affine.moving(5.0, 2.0, (0.9, 0.95), (3.0, -4.0))
     y, x = affine.apply(m, F.col("y"), F.col("x"))
     return v.points(spark, sf_dir).select("user_id", "i", x.alias("x"), y.alias("y"))
 
 
 def center_transform(spark, sf_dir):
     rows = read_table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") + 20).alias("h"), F.expr("p_partkey % 97 + 30").alias("w"))
-    m = affine.center_transform(F.col("h"), F.col("w"))
+    m = affine.grid_source(F.col("h"), F.col("w"))
     return rows.select("p_partkey", *[F.round(m[i][j], 6).alias(f"m{i}{j}") for i in (0, 1) for j in (0, 1, 2)])
 
 
@@ -186,7 +186,7 @@ QUERIES = {
 SELECT user_id, i, CAST(trunc(-sin(t) * hy + cos(t) * hx) AS INT) AS x, CAST(trunc(cos(t) * hy + sin(t) * hx) AS INT) AS y FROM h"""),
     "center_transform": (center_transform, f"{_CENTERED} SELECT p_partkey, round(sr / 128, 6) AS m00, 0.0::DOUBLE AS m01, round(h / 2 - sr / 2, 6) AS m02, 0.0::DOUBLE AS m10, round(sc / 128, 6) AS m11, round(w / 2 - sc / 2, 6) AS m12 FROM q"),
     "clamp_bbox": (clamp_bbox, "WITH b AS (SELECT l_orderkey, l_linenumber, greatest(l_partkey % 80 - 20, 0) AS u0, greatest(l_suppkey % 70 - 20, 0) AS v0, least(l_partkey % 90, 50) AS u1, least(l_orderkey % 85, 60) AS v1 FROM lineitem), e AS (SELECT *, u0 >= u1 OR v0 >= v1 AS none FROM b) SELECT l_orderkey, l_linenumber, CAST(CASE WHEN none THEN 0 ELSE u0 END AS INT) AS u0, CAST(CASE WHEN none THEN 0 ELSE v0 END AS INT) AS v0, CAST(CASE WHEN none THEN 50 ELSE u1 END AS INT) AS u1, CAST(CASE WHEN none THEN 60 ELSE v1 END AS INT) AS v1 FROM e"),
-    "bilinear_center": (bilinear_center, None),
+    "bilinear_center": (bilinear_center, f"WITH {v.PX8}, {v.bilinear_sql()} SELECT image_id, r, c, round(v, 6) AS v FROM moved"),
     "mlp_train_score": (mlp_train_score, None),
     "svm_rff_train_score": (svm_rff_train_score, None),
     "grid_search_cv": (grid_search_cv, None),

@@ -79,3 +79,21 @@ boxes AS (SELECT i.image_id, CAST(gc.k * 17 + gr.k AS INT) AS ordinal, gr.s AS a
   (SELECT round(avg(v), 6) FROM px64 p WHERE p.image_id = i.image_id AND p.r >= gr.s AND p.r < gr.s + 16 AND p.c >= gc.s AND p.c < gc.s + 16) AS score
   FROM (SELECT DISTINCT image_id FROM px64) i, grid gr, grid gc)"""
 POINTS = "points AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS DOUBLE) AS x, value AS y FROM events)"
+
+
+#: Columns y and x: where places (r, c) of a 6 x 6 grid come from in an 8 x 8 image, the grid moved at random as seed 7 draws it.
+_DRAWN = "('0x' || substr(md5(image_id || '-7-{k}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE * ({high} - {low}::DOUBLE) + {low}::DOUBLE"
+AT_RANDOM = "u AS (SELECT image_id, " + ", ".join(f"{_DRAWN.format(k=k, low=low, high=high)} AS u{k}" for k, (low, high) in enumerate([(-5.0, 5.0), (-5.0, 5.0), (0.9, 1.0), (0.9, 1.0), (-0.3, 0.3), (-0.3, 0.3)])) + """ FROM (SELECT DISTINCT image_id FROM px8)),
+drawn AS (SELECT image_id, cos(radians(u0)) / u2 AS a0, sin(radians(u0) + radians(u1)) / u3 AS b0, -sin(radians(u0)) / u2 AS a1, cos(radians(u0) + radians(u1)) / u3 AS b1, u4, u5 FROM u),
+map AS (SELECT image_id, a0, b0, -a0 * u4 - b0 * u5 AS c0, a1, b1, -a1 * u4 - b1 * u5 AS c1 FROM drawn)"""
+STILL = "map AS (SELECT DISTINCT image_id, 1.0::DOUBLE AS a0, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS c0, 0.0::DOUBLE AS a1, 1.0::DOUBLE AS b1, 0.0::DOUBLE AS c1 FROM px8)"
+
+
+def bilinear_sql(maps: str = STILL) -> str:
+    """moved: px8's images on a 6 x 6 grid by bilinear interpolation, outside their mean."""
+    return maps + """, grid AS (SELECT map.*, CAST(a AS INT) AS r, CAST(b AS INT) AS c FROM map, (SELECT unnest(range(0, 6)) AS a), (SELECT unnest(range(0, 6)) AS b)),
+place AS (SELECT image_id, r, c, 4 + 8 / 6.0::DOUBLE * (a0 * (r - 3) + b0 * (c - 3) + c0) AS y, 4 + 8 / 6.0::DOUBLE * (a1 * (r - 3) + b1 * (c - 3) + c1) AS x FROM grid),
+part AS (SELECT image_id, r, c, 2 * a + b AS corner, CAST(floor(y) + a AS INT) AS sr, CAST(floor(x) + b AS INT) AS sc, (CASE a WHEN 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE b WHEN 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w
+  FROM place, (SELECT unnest([0, 0, 1, 1]) AS a, unnest([0, 1, 0, 1]) AS b) k WHERE y >= 0 AND x >= 0 AND y <= 7 AND x <= 7),
+found AS (SELECT part.image_id, part.r, part.c, """ + " + ".join(f"coalesce(max(v * w) FILTER (corner = {k}), 0)" for k in range(4)) + """ AS v FROM part JOIN px8 p ON p.image_id = part.image_id AND p.r = sr AND p.c = sc WHERE w > 0 GROUP BY 1, 2, 3),
+moved AS (SELECT grid.image_id, grid.r, grid.c, coalesce(found.v, mean) AS v FROM grid JOIN (SELECT image_id, avg(v) AS mean FROM px8 GROUP BY 1) USING (image_id) LEFT JOIN found USING (image_id, r, c))"""

@@ -33,7 +33,7 @@ def test_matches_sql(spark, duck, name):
         kinds = got[c].dtype.kind, want[c].dtype.kind
         assert kinds[0] == kinds[1] or {*kinds} <= set("iuf") and got[c].isna().any(), (c, got[c].dtype, want[c].dtype)
         if kinds[1] == "f":
-            assert ((got[c] - want[c]).abs().fillna(0) <= 1.5e-6).all() and (got[c].isna() == want[c].isna()).all(), c
+            assert ((got[c] - want[c]).abs().fillna(0) <= 1e-9).all() and (got[c].isna() == want[c].isna()).all(), c
         else:
             assert (got[c] == want[c]).all(), c
 
