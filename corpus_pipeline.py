@@ -14,7 +14,7 @@ from rastermill.llm.decontamination import remove_contaminated
 from rastermill.llm.mixing import mix_sources, take_copies
 from rastermill.llm.near_dedup import NearDedup, near_duplicates
 from rastermill.llm.quality_rules import quality_rules
-from rastermill.llm.store import Scratch, read_table
+from rastermill.functions.store import Scratch, read_table
 from rastermill.llm.token_files import encode_documents
 
 #: The scratch tables of the stage that ran last; its result is written once the next stage starts.
@@ -36,12 +36,15 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that of the smallest id.
 
-    Of rows that repeat an id one stays; rows without an id are in no group and stay.
+    Of rows that repeat an id and a text, or an id and nearly a text, one stays;
+    rows without an id are in no group and stay.
     """
-    kept = near_duplicates(docs, NearDedup(words=5), scratch=_scratch(spark, 1)).where("kept").select("doc_id").distinct()
-    rows = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns)
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    rows = rows.select(F.struct("*").alias("row"), nth.alias("nth")).where("nth = 1").select("row.*")
+    found = near_duplicates(docs, NearDedup(words=5), scratch=_scratch(spark, 1)).where("kept")
+    # one text of each component, then one row of each id and text
+    one = found.groupBy("doc_id", "component").agg(F.min("text_hash").alias("text_hash")).select("doc_id", "text_hash")
+    rows = docs.where("doc_id is not null").select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), F.struct("*").alias("row"))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("text_hash"))
+    rows = rows.join(one, ["doc_id", "text_hash"], "left_semi").select("row", nth.alias("nth")).where("nth = 1").select("row.*")
     return rows.unionByName(docs.where("doc_id is null"))
 
 

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .store import Scratch, read_table
+from ..operators.graph import connected_components
+from ..functions.store import Scratch, read_table
 from .words import SPACED, chunks, mix64, shingles, split_words
 
 
@@ -109,14 +109,14 @@ def _matrix(column: pa.Array, dtype, width: int) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], dtype=np.uint8)[off[0] : off[-1]].view(dtype).reshape(-1, width)
 
 
-_FEATURES = "node long, n_shingles long, set_key binary, sig binary"
+_FEATURES = "node long, text_hash long, n_shingles long, set_key binary, sig binary"
 
 
 def _features(p: NearDedup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for i, j, data, off in chunks(batch.column(1)):
+            for i, j, data, off in chunks(batch.column(2)):
                 h, text = shingles(split_words(data, off, SPACED, True), p.words)
                 n = np.bincount(text, minlength=j - i)
                 full = np.flatnonzero(n)
@@ -130,7 +130,7 @@ def _features(p: NearDedup):
                 where = np.full(j - i, -1)
                 where[full] = np.arange(len(full))
                 take = pa.array(where, mask=where < 0)
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n, pa.int64()), _binary_rows(key).take(take), _binary_rows(sig).take(take)], names=["node", "n_shingles", "set_key", "sig"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n, pa.int64()), _binary_rows(key).take(take), _binary_rows(sig).take(take)], names=["node", "text_hash", "n_shingles", "set_key", "sig"])
 
     return run
 
@@ -162,15 +162,15 @@ def _prune(p: NearDedup):
     return run
 
 
-#: Bits of the filter that tells which texts to make sets of; 8 MB at any input size.
-_FILTER_BITS = 1 << 26
+#: Bits of the filter that tells which texts to make sets of: 16 for each, as long as that is broadcast in 128 MB.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 30
 
 
-def _filter_of(nodes: DataFrame) -> np.ndarray:
-    """A one-probe Bloom filter of node ids, as 64-bit words."""
-    places = nodes.select(F.pmod(F.xxhash64("node"), F.lit(_FILTER_BITS)).alias("place"))
+def _filter_of(nodes: DataFrame, bits: int) -> np.ndarray:
+    """A one-probe Bloom filter of node ids, as 64-bit words; what it lets through besides is dropped by the join with the nodes."""
+    places = nodes.select(F.pmod(F.xxhash64("node"), F.lit(bits)).alias("place"))
     words = places.groupBy(F.expr("cast(place div 64 as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("bits")).toArrow()
-    out = np.zeros(_FILTER_BITS // 64, np.int64)
+    out = np.zeros(bits // 64, np.int64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return out.view(np.uint64)
 
@@ -207,11 +207,8 @@ def _verify(p: NearDedup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            last, x = None, None
-            for k, (a, s, t) in enumerate(zip(batch.column("a").to_pylist(), batch.column("set_a"), batch.column("set_b"), strict=True)):
-                if a != last:
-                    last, x = a, np.frombuffer(s.as_buffer(), np.uint64)
-                y = np.frombuffer(t.as_buffer(), np.uint64)
+            for k, (s, t) in enumerate(zip(batch.column("set_a"), batch.column("set_b"), strict=True)):
+                x, y = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)
                 common = _common(x, y)
                 if 100 * common >= p.percent * (len(x) + len(y) - common):
                     keep.append(k)
@@ -324,8 +321,10 @@ def _set_table(texts: DataFrame, nodes: DataFrame, p: NearDedup, scratch: Scratc
 
     A small filter picks the texts where they are read, so that they are never shuffled.
     """
-    bits = texts.sparkSession.sparkContext.broadcast(_filter_of(nodes))
-    place = F.pmod(F.xxhash64("node"), F.lit(_FILTER_BITS)).alias("place")
+    nodes = scratch.save(nodes, f"{name}-nodes")
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * nodes.count()).bit_length()))
+    bits = texts.sparkSession.sparkContext.broadcast(_filter_of(nodes, size))
+    place = F.pmod(F.xxhash64("node"), F.lit(size)).alias("place")
     return scratch.save(texts.where("node is not null").select("node", "text", place).mapInArrow(_sets(p, bits), "node long, members binary"), name)
 
 
@@ -340,18 +339,35 @@ def _star_links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, p: NearDedu
 
 
 def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), scratch: Scratch | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id, kept, class_id), one for each row of docs.
+    """Rows (doc_id, text_hash, n_shingles, component_id, kept, class_id, component), one for each row of docs.
 
     component_id is the smallest id reachable over links, class_id the smallest
     id with an equal shingle set.  A null, empty or wordless text has no
-    shingles and is linked with nothing.  Rows that repeat an id are one node,
-    linked by any of their texts; a null id gives a null component.  Other
-    columns of docs are not read.
+    shingles and is linked with nothing.  Rows that repeat an id with different
+    texts are linked by their own texts only, so that two components may have
+    one component_id; component tells them apart.  A null id gives a null
+    component.  text_hash is Spark's xxhash64 of the text.  Other columns of
+    docs are not read.
     """
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "near-dedup")
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
+    scratch = scratch or Scratch(docs.sparkSession, "near-dedup")
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     every = scratch.save(texts.mapInArrow(_features(p), _FEATURES), "features")
+    if every.where("node is not null").groupBy("node").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("a <> b").isEmpty():
+        return _linked(every, texts, p, scratch).withColumnRenamed("node", "doc_id").withColumn("component", F.col("component_id"))
+    # ids that stand for several texts: rows are linked by numbers of their own
+    texts = scratch.save(texts.withColumnRenamed("node", "doc_id").withColumn("node", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "numbered")
+    every = scratch.save(texts.select("node", "text_hash", "text").mapInArrow(_features(p), _FEATURES), "own-features")
+    found = _linked(every, texts, p, scratch).drop("text_hash").join(texts.select("node", "doc_id", "text_hash"), "node")
+    for name in ("component", "class"):
+        least = found.groupBy(F.col(f"{name}_id").alias("number")).agg(F.min("doc_id").alias("least"))
+        found = found.withColumnRenamed(f"{name}_id", "number").join(least, "number").withColumnRenamed("number", f"{name}_number").withColumnRenamed("least", f"{name}_id")
+    found = found.unionByName(texts.where("node is null").join(every.where("node is null").select("text_hash", "n_shingles").distinct(), "text_hash").select("doc_id", "text_hash", "n_shingles"), allowMissingColumns=True)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    return found.select("doc_id", "text_hash", "n_shingles", "component_id", kept.alias("kept"), "class_id", F.col("component_number").alias("component"))
+
+
+def _linked(every: DataFrame, texts: DataFrame, p: NearDedup, scratch: Scratch) -> DataFrame:
+    """Rows (node, text_hash, n_shingles, component_id, kept, class_id) of features, whose nodes have one text each."""
     classes = every.where("n_shingles > 0 and node is not null").groupBy("set_key").agg(F.min("node").alias("class_id"))
     first = every.where("n_shingles > 0").join(classes.withColumnRenamed("class_id", "node"), ["set_key", "node"], "left_semi").dropDuplicates(["set_key"])
     reps = scratch.save(first.select("node", "n_shingles", "sig"), "classes")
@@ -369,11 +385,12 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), scratch: Scratc
     joined_to = component.select(F.col("node").alias("class_id"), "component")
     whole = F.coalesce("component", "class_id", "node")
     return (
-        every.select("node", "n_shingles", "set_key")
+        every.select("node", "text_hash", "n_shingles", "set_key")
         .join(classes, "set_key", "left")
         .join(joined_to, "class_id", "left")
         .select(
-            F.col("node").alias("doc_id"),
+            "node",
+            "text_hash",
             "n_shingles",
             F.when(F.col("node").isNotNull(), whole).alias("component_id"),
             F.coalesce(F.col("node") == whole, F.lit(False)).alias("kept"),
@@ -410,4 +427,4 @@ def _apart_links(reps: DataFrame, members: DataFrame, component: DataFrame, text
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of `documents` in components of 4-word shingle sets at similarity 0.8."""
-    return near_duplicates(read_table(spark, sf_dir, "documents"), NearDedup(words=4))
+    return near_duplicates(read_table(spark, sf_dir, "documents"), NearDedup(words=4)).drop("text_hash", "component")

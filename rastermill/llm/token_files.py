@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import Scratch, local_path, read_table
+from ..functions.store import Scratch, read_table
 
 MAGIC, VERSION, END_MARK = b"RMTB", 1, 0x444E45
 BLOCK = 1 << 14
@@ -240,6 +240,13 @@ class PieceEncoder:
         return out, lengths + 1
 
 
+def local_path(uri: str):
+    """pyarrow's file system and path for a shared folder's address."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + os.path.abspath(uri))
+
+
 @functools.cache
 def _encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
@@ -289,13 +296,15 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, vocabul
     """Write all of docs as token files under folder, ascending by id, and a manifest; return the manifest's shards.
 
     A null or empty text is its end id alone; rows that repeat an id follow one
-    another; null ids come first.  An empty table writes a manifest without
+    another, in the order of their texts' hashes; null ids come first.  An empty table writes a manifest without
     shards.  Other columns are not read.
     """
     spark = docs.sparkSession
     n = n_shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = bits_for(max(vocabulary, end_id + 1))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    order = ["doc_id", F.xxhash64("text")]
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     made = rows.mapInArrow(_write_files(folder, tokenizer_path, bits, end_id), "shard int, n_docs long, n_ids long").collect()  # a row for each shard
     shards, start = [], 0
     for r in sorted(made):

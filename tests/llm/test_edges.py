@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rastermill.llm import decontamination, html_text, license_scan, lm_scoring, mixing, quality_classifier, quality_rules, sharding, token_files
-from rastermill.llm.store import Scratch
+from rastermill.functions.store import Scratch
 from rastermill.llm.words import ALNUM, SPACED, split_words, text_bytes
 from tests.llm import brute
 

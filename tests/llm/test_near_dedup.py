@@ -58,3 +58,17 @@ def test_empty_nulls_repeats_and_clashing_columns(spark):
 def test_posterior_bound_rises_with_what_is_seen():
     bounds = [least_agreement(n, 80, 1e-6) for n in (16, 32, 64, 128)]
     assert bounds == sorted(bounds) and bounds[-1] < 0.8 * 128
+
+
+def test_ids_that_stand_for_several_texts(spark):
+    """Each row is linked by its own text, whatever other rows of its id say."""
+    random.seed(7)
+    text = [" ".join(f"{c}{random.randrange(10_000)}" for _ in range(60)) for c in "abcd"]
+    docs = [(5, text[0]), (5, text[1]), (6, text[0] + " more"), (7, text[1]), (8, text[2]), (5, text[0]), (None, text[3]), (9, None), (9, "")]
+    found = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(found) == len(docs)
+    by = {}
+    for r in found:
+        by.setdefault(r.component, []).append((r.doc_id, r.component_id))
+    groups = sorted((sorted(i for i, _ in rows if i is not None), {c for _, c in rows}) for k, rows in by.items() if k is not None)
+    assert groups == [([5, 5, 6], {5}), ([5, 7], {5}), ([8], {8}), ([9], {9}), ([9], {9})]

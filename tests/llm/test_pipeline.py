@@ -53,3 +53,10 @@ def test_stages_survive_odd_tables(spark, sf_dir):
             assert out.columns == docs.columns, name
             assert not set(as_rows(out)) - set(as_rows(docs)), name
         assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == len(data)
+
+
+def test_near_dedup_keeps_other_texts_of_a_repeated_id(spark, sf_dir):
+    own, other = (" ".join(f"{c}{k}" for k in range(80)) for c in "xy")
+    docs = spark.createDataFrame([(1, own, "en"), (2, own + " z", "en"), (2, other, "en"), (3, other, "en"), (2, other, "en")], "doc_id long, text string, lang string")
+    kept = dict(corpus_pipeline.STAGES)["near-dedup"](spark, docs, sf_dir)
+    assert sorted(map(tuple, kept.collect())) == [(1, own, "en"), (2, other, "en")]
