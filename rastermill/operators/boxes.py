@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,16 +44,49 @@ def overlapping_pairs(boxes: DataFrame, threshold: float, compat: bool = False)
     return pairs.where(corner).select("image_id", F.col("x.rank").alias("a"), F.col("y.rank").alias("b"), overlap("x", "y", compat).alias("overlap")).where(F.col("overlap") >= threshold)
 
 
+#: Boxes of an image that one task suppresses at most; larger images take rounds over many tasks.
+MOST_BOXES = 1 << 16
+
+
+def _greedy(threshold: float, compat: bool):
+    """Greedy suppression of one image's boxes."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["score", "ordinal"], ascending=[False, True], ignore_index=True, na_position="last")
+        r, c, h, w = (rows[k].to_numpy("float64") for k in ("anchor_r", "anchor_c", "window_h", "window_w"))
+        down, right = (w, h) if compat else (h, w)
+        left, kept = rows.index.to_numpy(), []
+        while len(left):
+            best, left = left[0], left[1:]
+            kept.append(best)
+            both = (np.minimum(r[best] + down[best], r[left] + down[left]) - np.maximum(r[best], r[left])).clip(0) * (np.minimum(c[best] + right[best], c[left] + right[left]) - np.maximum(c[best], c[left])).clip(0)
+            left = left[both / (h[best] * w[best] + h[left] * w[left] - both) < threshold]
+        return rows.iloc[kept]
+
+    return run
+
+
 def non_maximum_suppression(boxes: DataFrame, threshold: float, compat: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """Boxes that greedy suppression keeps: best score first (ties to the smaller ordinal), dropping what overlaps it by the threshold or more.
 
-    Each round keeps all boxes without a better one left among their overlaps
-    and drops those that overlap them, which comes to the same boxes; rounds
-    are written, and as many as the longest chain of suppressions.
+    Images of up to MOST_BOXES boxes are a task each.  For larger ones, each
+    round keeps all boxes without a better one left among their overlaps and
+    drops those that overlap them, which comes to the same boxes; rounds are
+    written, and as many as the longest chain of suppressions.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     scratch = scratch or Scratch(boxes.sparkSession, "nms")
+    boxes = scratch.save(boxes, "boxes")
+    large = scratch.save(boxes.groupBy("image_id").agg(F.count("*").alias("n")).where(F.col("n") > MOST_BOXES).select("image_id"), "large")
+    some = not large.isEmpty()
+    small = boxes.join(large, "image_id", "left_anti").select(*boxes.columns) if some else boxes
+    kept = small.groupBy("image_id").applyInPandas(_greedy(threshold, compat), small.schema)
+    return kept.unionByName(_in_rounds(boxes.join(large, "image_id", "left_semi"), threshold, compat, scratch)) if some else kept
+
+
+def _in_rounds(boxes: DataFrame, threshold: float, compat: bool, scratch: Scratch) -> DataFrame:
+    """Suppression in images of any size."""
     ranked = boxes.withColumn("rank", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("score"), "ordinal")))
     ranked = scratch.save(ranked, "ranked")
     pairs = scratch.save(overlapping_pairs(ranked, threshold, compat).select("image_id", "a", "b"), "pairs")

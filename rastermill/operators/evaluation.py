@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordinals import running_sums
+
 #: The scoring thresholds, with their float noise.
 THRESHOLDS = (0.5, 0.55, 0.6000000000000001, 0.6500000000000001, 0.7000000000000002, 0.7500000000000002, 0.8000000000000003, 0.8500000000000003, 0.9000000000000004, 0.9500000000000004)
 
@@ -48,8 +50,7 @@ def cumulative_scores(scores: DataFrame) -> DataFrame:
 
 def running_scores(scores: DataFrame) -> DataFrame:
     """Totals up to and including each image, in order of image_id."""
-    so_far = Window.partitionBy("threshold").orderBy("image_id").rowsBetween(Window.unboundedPreceding, 0)
-    return with_precision(scores.withColumns({k: F.sum(k).over(so_far) for k in ("tp", "fp", "fn")}))
+    return with_precision(running_sums(scores, ["threshold"], "image_id", ["tp", "fp", "fn"]))
 
 
 def mean_score(scores: DataFrame, keys: list[str]) -> DataFrame:

@@ -29,6 +29,14 @@ def city_block_distances(mask: DataFrame, images: DataFrame) -> DataFrame:
     return rows.withColumn("d", d).where("on = 1").select(KEY, "r", "c", "d")
 
 
+def distances_to(centers: DataFrame, images: DataFrame) -> DataFrame:
+    """Rows (image_id, r, c, d): steps from each pixel of the images to the nearest of centers (image_id, r, c); images without centers give none."""
+    here = centers.select(KEY, "r", "c").distinct()
+    grid = images.select(KEY, "width", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("r")).select(KEY, "r", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("c"))
+    away = city_block_distances(grid.join(here, [KEY, "r", "c"], "left_anti"), images).where("d is not null")
+    return away.select(KEY, "r", "c", F.col("d").cast("int").alias("d")).unionByName(here.select(KEY, "r", "c", F.lit(0).alias("d")))
+
+
 def last_eroded(mask: DataFrame, images: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Rows (image_id, r, c, segment): what is left of each part of the mask before erosion by disk(1) would remove it.
 

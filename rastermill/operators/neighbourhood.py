@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,12 +162,37 @@ def squared_distances(mask: DataFrame, images: DataFrame) -> DataFrame:
     """Rows (image_id, r, c, d2): squared distance of each foreground pixel to the nearest background pixel of its image.
 
     Two passes: the nearest background along each column, then the least over
-    the columns of a row.  Null where the image has no background.
+    the columns of a row, for which each row travels as arrays.  Null where the
+    image has no background.
     """
     grid = images.select(KEY, "width", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("r")).select(KEY, "r", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("c"))
     rows = grid.join(mask.select(KEY, "r", "c").withColumn("on", F.lit(1)), [KEY, "r", "c"], "left")
     off = F.when(F.col("on").isNull(), F.col("r"))
     down, up = Window.partitionBy(KEY, "c").orderBy("r"), Window.partitionBy(KEY, "c").orderBy(F.desc("r"))
     rows = rows.withColumn("g", F.least(F.col("r") - F.last(off, True).over(down), F.last(off, True).over(up) - F.col("r")))
-    near = rows.where("on = 1").select(KEY, "r", "c").join(rows.where("g is not null").select(KEY, "r", F.col("c").alias("c2"), "g"), [KEY, "r"], "left")
-    return near.groupBy(KEY, "r", "c").agg(F.min((F.col("c") - F.col("c2")) ** 2 + F.col("g") ** 2).cast("long").alias("d2"))
+    lines = rows.groupBy(KEY, "r").agg(F.array_sort(F.collect_list(F.struct("c", F.coalesce("g", F.lit(-1)).alias("g"), F.col("on").isNotNull().alias("on")))).alias("line"))
+    lines = lines.select(KEY, "r", F.col("line.g").alias("g"), F.col("line.on").alias("on"))
+    return lines.mapInArrow(_along_rows, f"{KEY} {dict(images.dtypes)[KEY]}, r {dict(lines.dtypes)['r']}, c int, d2 long")
+
+
+def _along_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least (c - k)^2 + g[k]^2 over a row's columns k, at the row's foreground; g is -1 in columns without background."""
+    for batch in batches:
+        ids, at, where, found = [], [], [], []
+        for k, (g, on) in enumerate(zip(batch.column("g"), batch.column("on"), strict=True)):
+            g, on = np.array(g.as_py(), np.int64), np.array(on.as_py())
+            square = np.where(g < 0, np.iinfo(np.int64).max // 2, g * g)
+            best, far = square.copy(), 1
+            # a column so far away is no longer nearer than what every pixel has
+            while far < len(square) and far * far < best[on].max(initial=0):
+                best[far:] = np.minimum(best[far:], square[:-far] + far * far)
+                best[:-far] = np.minimum(best[:-far], square[far:] + far * far)
+                far += 1
+            c = np.flatnonzero(on)
+            ids.append(np.full(len(c), k))
+            where.append(c)
+            found.append(best[c])
+        at = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+        d2 = np.concatenate(found) if found else np.zeros(0, np.int64)
+        take = pa.array(at)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(where) if where else at, pa.int32()), pa.array(d2, mask=d2 >= np.iinfo(np.int64).max // 2)], names=[KEY, "r", "c", "d2"])

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .masks import bounding_boxes, with_centers
+from .ordinals import numbered, numbered_by
+
 
 def draw(*columns: str, seed: int) -> Column:
     """A random order of rows: md5 of their key and the seed."""
@@ -16,7 +19,7 @@ def split_by_ratio(ids: DataFrame, key: str, names: list[str], ratios: list[floa
     if len(names) != len(ratios):
         raise ValueError("as many names as ratios are needed")
     n = ids.count()
-    rows = ids.select(key).withColumn("nth", F.row_number().over(Window.orderBy(draw(key, seed=seed), key)))
+    rows = numbered(ids.select(key), [draw(key, seed=seed), key])
     split, end = None, 0
     for name, ratio in zip(names, ratios, strict=True):
         start, end = end, end + int(n * ratio)
@@ -27,13 +30,17 @@ def split_by_ratio(ids: DataFrame, key: str, names: list[str], ratios: list[floa
 
 def stratified_subset(rows: DataFrame, key: str, fraction: float, strata: list[str] | None = None, seed: int = 1) -> DataFrame:
     """round(fraction * n) rows of each stratum, in random order; one stratum without strata."""
-    by = Window.partitionBy(*(strata or [F.lit(0)]))
-    ranked = rows.withColumns({"_nth": F.row_number().over(by.orderBy(draw(key, seed=seed), key)), "_n": F.count("*").over(by)})
+    ranked = numbered_by(rows, strata or [], [draw(key, seed=seed), key], "_nth", "_n")
     return ranked.where(F.col("_nth") <= F.floor(F.col("_n") * fraction + 0.5)).drop("_nth", "_n")
 
 
 def negatives(images: DataFrame, centers: DataFrame, size: tuple[int, int], k: int, buffer: int = 0, seed: int = 100) -> DataFrame:
-    """k random centres of each image whose box fits and that are farther than buffer (L1) from all centres (image_id, r, c).
+    """k random centres of each image whose box fits and that are farther than buffer (L1) from all centres (image_id, r, c)."""
+    return ranked_negatives(images, centers, size, buffer, seed).where(F.col("nth") <= k).drop("nth")
+
+
+def ranked_negatives(images: DataFrame, centers: DataFrame, size: tuple[int, int], buffer: int = 0, seed: int = 100) -> DataFrame:
+    """All admissible centres (image_id, center_r, center_c) with their place nth in a random order of their image's.
 
     No admissible centre gives no row.  Forbidden places are listed around each
     centre and excluded by equality.
@@ -46,7 +53,44 @@ def negatives(images: DataFrame, centers: DataFrame, size: tuple[int, int], k: i
     near = near.select("image_id", (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c")).distinct()
     free = inside.join(near, ["image_id", "r", "c"], "left_anti")
     order = Window.partitionBy("image_id").orderBy(draw("image_id", "r", "c", seed=seed), "r", "c")
-    return free.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k).select("image_id", F.col("r").alias("center_r"), F.col("c").alias("center_c"))
+    return free.select("image_id", F.col("r").alias("center_r"), F.col("c").alias("center_c"), F.row_number().over(order).alias("nth"))
+
+
+def roi_batch(masks: DataFrame, images: DataFrame, size: tuple[int, int], per_mask: int, buffer: int = 0, seed: int = 100) -> DataFrame:
+    """One table of regions for training: a positive for each mask (image_id, mask_id, r, c), and per_mask negatives for each.
+
+    Rows (filename, parent_image_id, extract_height, extract_width,
+    image_height, image_width, index_row, index_col, is_positive).  Positives
+    are centred on their mask's box; negatives of an image are drawn without
+    replacement among the admissible centres, numbered with five digits, and
+    fewer where there aren't as many.
+    """
+    boxes = with_centers(bounding_boxes(masks, ["image_id", "mask_id"]))
+    name = lambda kind, *parts: F.concat_ws("_", F.lit(kind), *[p.cast("string") for p in parts])
+    positive = boxes.select("image_id", name("pos", F.col("image_id"), F.col("mask_id")).alias("filename"), "center_r", "center_c", F.lit("1").alias("is_positive"))
+    centers = boxes.select("image_id", F.col("center_r").alias("r"), F.col("center_c").alias("c"))
+    wanted = boxes.groupBy("image_id").agg((F.count("*") * per_mask).alias("wanted"))
+    drawn = ranked_negatives(images, centers, size, buffer, seed).join(wanted, "image_id").where("nth <= wanted")
+    number = F.lpad(F.col("nth").cast("string"), 5, "0")
+    negative = drawn.select("image_id", name("neg", F.col("image_id"), number).alias("filename"), "center_r", "center_c", F.lit("0").alias("is_positive"))
+    rows = positive.unionByName(negative).join(images, "image_id")
+    return rows.select(
+        "filename", F.col("image_id").alias("parent_image_id"), F.lit(size[0]).alias("extract_height"), F.lit(size[1]).alias("extract_width"), F.col("height").alias("image_height"), F.col("width").alias("image_width"),
+        F.col("center_r").alias("index_row"), F.col("center_c").alias("index_col"), "is_positive",
+    )
+
+
+def endless_batches(rows: DataFrame, key: str, size: int, batches: int, seed: int = 1) -> DataFrame:
+    """`batches` batches of `size` rows drawn with replacement: rows with their batch and place in it; reruns agree.
+
+    Each draw names a row by its place in order of key, so any stretch of an
+    endless sequence of batches can be made alone.  No rows give no batches.
+    """
+    n = rows.count()
+    if not n:
+        return rows.withColumns({"batch": F.lit(0).cast("long"), "place": F.lit(0).cast("long")})
+    draws = rows.sparkSession.range(batches * size).select(F.expr(f"id div {size}").alias("batch"), (F.col("id") % size).alias("place"), (F.pmod(F.conv(F.substring(F.md5(F.concat_ws("-", F.col("id").cast("string"), F.lit(str(seed)))), 1, 12), 16, 10).cast("long"), F.lit(n)) + 1).alias("_nth"))
+    return numbered(rows, [key], "_nth").join(draws, "_nth").drop("_nth")
 
 
 def oversample(rows: DataFrame, times: int) -> DataFrame:
@@ -56,7 +100,7 @@ def oversample(rows: DataFrame, times: int) -> DataFrame:
 
 def mini_batches(rows: DataFrame, key: str, size: int) -> DataFrame:
     """Rows with the ordinal of their batch, in order of key."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(key)) - 1) / size).cast("int"))
+    return numbered(rows, [key], "_nth").withColumn("batch", F.floor((F.col("_nth") - 1) / size).cast("int")).drop("_nth")
 
 
 def first_wins(preferred: DataFrame, other: DataFrame, key: str) -> DataFrame:
@@ -77,9 +121,8 @@ def augment(pixels: DataFrame, images: DataFrame, seed: int = 1) -> DataFrame:
 
 def hold_out(rows: DataFrame, key: str, share: float | int, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """The rows less a random share (or number) of them, and those; rows are dealt by hash of their key."""
-    nth = F.row_number().over(Window.orderBy(draw(key, seed=seed), key))
     n = share if isinstance(share, int) else int(rows.count() * share)
-    ranked = rows.select(key).withColumn("_nth", nth).where(F.col("_nth") <= n).select(key)
+    ranked = numbered(rows.select(key), [draw(key, seed=seed), key], "_nth").where(F.col("_nth") <= n).select(key)
     return rows.join(ranked, key, "left_anti"), rows.join(ranked, key, "left_semi")
 
 
@@ -95,7 +138,7 @@ def with_replacement(rows: DataFrame, times: float, seed: int = 1) -> DataFrame:
 
 def nth_in_order(rows: DataFrame, key: str, first: int = 1, last: int | None = None) -> DataFrame:
     """Rows whose place in order of key, from 1, is first to last: to start again at one, or take just one."""
-    ranked = rows.withColumn("_nth", F.row_number().over(Window.orderBy(key)))
+    ranked = numbered(rows, [key], "_nth")
     kept = ranked.where(F.col("_nth") >= first if last is None else F.col("_nth").between(first, last))
     return kept.drop("_nth")
 

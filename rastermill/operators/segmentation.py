@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,19 +16,80 @@ from . import neighbourhood as nb
 from .graph import connected_components
 
 KEY = nb.KEY
+#: Pixels of an image that one task labels at most; larger images are labelled as graphs over many tasks.
+MOST_PIXELS = 1 << 22
+#: Pixels that a task gathers, of several images or of one, before it labels them.
+HELD = 1 << 17
+
+
+def _label(neighbours: int, level: str | None):
+    """Labels of images that come one after another, each in row order: runs along rows, joined where they touch in the next row."""
+
+    def labelled(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        image, r, c = (rows.column(k).to_numpy().astype(np.int64) for k in ("_image", "r", "c"))
+        kind = rows.column(level).to_numpy() if level else np.zeros(len(rows))
+        nth = np.concatenate([[0], np.cumsum(image[1:] != image[:-1])])
+        line = nth * (r.max() - r.min() + 2) + r - r.min()
+        width = c.max() - c.min() + 3
+        place = line * width + c - c.min() + 1
+        of = np.concatenate([[0], np.cumsum((np.diff(place) != 1) | (kind[1:] != kind[:-1]))])
+        edges = []
+        for d in (-1, 0, 1) if neighbours == 8 else (0,):
+            below = np.minimum(np.searchsorted(place, place + width + d), len(place) - 1)
+            touch = (place[below] == place + width + d) & (kind[below] == kind)
+            edges.append(np.stack([of[touch], of[below[touch]]]))
+        a, b = np.unique(np.concatenate(edges, 1), axis=1)
+        label = np.arange(of[-1] + 1)
+        while len(a) and (label[a] != label[b]).any():
+            least = np.minimum(label[a], label[b])
+            for end in (label[a], label[b]):  # the roots of both ends go to the lesser one
+                np.minimum.at(label, end, least)
+            while (label != label[label]).any():
+                label = label[label]
+        first = np.flatnonzero(np.concatenate([[True], np.diff(of) != 0]))[label]
+        names = np.array([f"{x}-{y}" for x, y in zip(r[first].tolist(), c[first].tolist(), strict=True)], object)
+        yield from pa.table({KEY: rows.column(KEY), "r": rows.column("r"), "c": rows.column("c"), "segment": pa.array(names[of], pa.string())}).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) > HELD:  # the last image may go on
+                rows = pa.Table.from_batches(held)
+                image = rows.column("_image").to_numpy()
+                end = int(np.flatnonzero(image != image[-1])[-1]) + 1 if (image != image[-1]).any() else 0
+                if end:
+                    yield from labelled(rows.slice(0, end))
+                held = rows.slice(end).to_batches()
+        if sum(map(len, held)):
+            yield from labelled(pa.Table.from_batches(held))
+
+    return run
 
 
 def components(mask: DataFrame, neighbours: int = 8, scratch: Scratch | None = None, level: str | None = None) -> DataFrame:
     """Rows (image_id, r, c, segment): segment is its least pixel in row order, as "r-c".
 
     neighbours is 4 or 8.  With level, only neighbours of equal level belong
-    together.  Runs of pixels along rows are nodes and those that touch in the
-    next row edges of one graph over all images, so a large image is no one
-    task's work.
+    together.  Images of up to MOST_PIXELS foreground pixels are labelled whole,
+    many by a task.  Of larger ones, runs of pixels along rows are nodes and those
+    that touch in the next row edges of one graph over all images, so a large
+    image is no one task's work; labels are the same.
     """
     scratch = scratch or Scratch(mask.sparkSession, "components")
     same = [level] if level else []
-    mask = mask.select(KEY, "r", "c", *same).distinct()
+    mask = scratch.save(mask.select(KEY, "r", "c", *same).distinct(), "mask")
+    large = scratch.save(mask.groupBy(KEY).agg(F.count("*").alias("n")).where(F.col("n") > MOST_PIXELS).select(KEY), "large")
+    some = not large.isEmpty()
+    small = mask.join(large, KEY, "left_anti") if some else mask
+    types = dict(mask.dtypes)
+    dealt = small.withColumn("_image", F.xxhash64(KEY)).repartition(KEY).sortWithinPartitions(KEY, "r", "c")
+    out = dealt.mapInArrow(_label(neighbours, level), f"{KEY} {types[KEY]}, r {types['r']}, c {types['c']}, segment string")
+    return out.unionByName(_graph_components(mask.join(large, KEY, "left_semi"), neighbours, scratch, same)) if some else out
+
+
+def _graph_components(mask: DataFrame, neighbours: int, scratch: Scratch, same: list[str]) -> DataFrame:
+    """Components of images of any size, by one graph over all of them."""
     along = Window.partitionBy(KEY, "r", *same)
     mask = mask.withColumn("island", F.col("c") - F.row_number().over(along.orderBy("c")))
     mask = scratch.save(mask.withColumn("start", F.min("c").over(Window.partitionBy(KEY, "r", *same, "island"))).drop("island"), "runs")
@@ -64,20 +128,29 @@ def adaptive_markers(mask: DataFrame, images: DataFrame, factors: tuple[int, int
 
 def _flood(rows: pd.DataFrame) -> pd.DataFrame:
     """Marker labels spread over one image's pixels, lowest level first, then first come first served."""
-    level = {(r, c): v for r, c, v in zip(rows["r"], rows["c"], rows["level"], strict=True)}
-    label = {(r, c): m for r, c, m in zip(rows["r"], rows["c"], rows["marker"], strict=True) if isinstance(m, str)}
-    heap = [(level[p], k, p) for k, p in enumerate(sorted(label))]
-    heapq.heapify(heap)
+    rows = rows.sort_values(["r", "c"], ignore_index=True)
+    r, c = rows["r"].to_numpy(np.int64), rows["c"].to_numpy(np.int64)
+    width = int(c.max() - c.min()) + 3  # a border of places outside
+    place = (r - r.min() + 1) * width + c - c.min() + 1
+    level, label = [None] * (int(place[-1]) + 2 * width), [-1] * (int(place[-1]) + 2 * width)
+    for p, v in zip(place.tolist(), rows["level"].tolist(), strict=True):
+        level[p] = v
+    marker, names = pd.factorize(rows["marker"])
+    heap = []
+    for p, m in zip(place[marker >= 0].tolist(), marker[marker >= 0].tolist(), strict=True):
+        label[p] = m
+        heap.append((level[p], len(heap), p))
     age = len(heap)
+    heapq.heapify(heap)
     while heap:
-        _, _, (r, c) = heapq.heappop(heap)
-        for q in ((r - 1, c), (r, c - 1), (r, c + 1), (r + 1, c)):
-            if q in level and q not in label:
-                label[q] = label[(r, c)]
+        _, _, p = heapq.heappop(heap)
+        for q in (p - width, p - 1, p + 1, p + width):
+            if label[q] < 0 and level[q] is not None:
+                label[q] = label[p]
                 heapq.heappush(heap, (level[q], age, q))
                 age += 1
-    places = sorted(label)
-    return pd.DataFrame({KEY: rows[KEY].iloc[0], "r": [r for r, _ in places], "c": [c for _, c in places], "segment": [label[p] for p in places]}).astype({"r": "int32", "c": "int32"})
+    found = np.array(label)[place]
+    return pd.DataFrame({KEY: rows[KEY], "r": r.astype("int32"), "c": c.astype("int32"), "segment": np.append(names.to_numpy(object), None)[found]})[found >= 0]
 
 
 def watershed(mask: DataFrame, levels: DataFrame, markers: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordinals import numbered
+
 
 def trim_percentiles(rows: DataFrame, keys: list[str], v: str = "v", left: float | None = 1, right: float | None = 99) -> DataFrame:
     """Clamp v to its group's percentiles (linear interpolation); a bound of 0 or None is off."""
@@ -65,7 +67,7 @@ def background_difference(rows: DataFrame, mask: DataFrame, key: str = "image_id
 def value_counts(rows: DataFrame, column: str, first: int = 1, last: int | None = None) -> DataFrame:
     """Rows (column, n, rank) by falling count, ties by value; ranks first to last."""
     counted = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    ranked = counted.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), column)))
+    ranked = numbered(counted, [F.desc("n"), column], "rank").withColumn("rank", F.col("rank").cast("int"))
     return ranked.where(F.col("rank") >= first) if last is None else ranked.where(F.col("rank").between(first, last))
 
 

@@ -117,9 +117,8 @@ def centered_at_random(spark, sf_dir):
 
 def nearest_center(spark, sf_dir):
     px = v.px8(spark, sf_dir)
-    near = v.above(px, 0.9).select("image_id", F.col("r").alias("r2"), F.col("c").alias("c2"))
-    rows = px.join(near, "image_id").groupBy("image_id", "r", "c").agg(F.min(F.abs(F.col("r") - F.col("r2")) + F.abs(F.col("c") - F.col("c2"))).cast("int").alias("d"))
-    return rows
+    near = v.above(px, 0.9)
+    return markers.distances_to(near, v.dims(px))
 
 
 def hold_out(spark, sf_dir):

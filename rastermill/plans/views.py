@@ -16,10 +16,11 @@ def px8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def px64(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """64 embeddings in a row as a 64 x 64 image; whole images only."""
+    """64 embeddings in a row as a 64 x 64 image; what the last image lacks is 0."""
     rows = read_table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 64").alias("image_id"), (F.col("vec_id") % 64).cast("int").alias("r"), "embedding")
-    whole = rows.groupBy("image_id").agg(F.count("*").alias("n")).where("n = 64").select("image_id")
-    return rows.join(whole, "image_id", "left_semi").select("image_id", "r", F.posexplode("embedding").alias("c", "x")).select("image_id", "r", "c", F.col("x").cast("double").alias("v"))
+    every = rows.select("image_id").distinct().withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    values = F.coalesce("embedding", F.array_repeat(F.lit(0.0).cast("float"), 64))
+    return every.join(rows, ["image_id", "r"], "left").select("image_id", "r", F.posexplode(values).alias("c", "x")).select("image_id", "r", "c", F.col("x").cast("double").alias("v"))
 
 
 def dims(pixels: DataFrame) -> DataFrame:
@@ -61,9 +62,8 @@ def trimmed_foreground(pixels: DataFrame) -> DataFrame:
 
 PX8 = """px8 AS (SELECT vec_id AS image_id, CAST((i - 1) // 8 AS INT) AS r, CAST((i - 1) % 8 AS INT) AS c, CAST(embedding[i] AS DOUBLE) AS v
   FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings))"""
-PX64 = """px64 AS (SELECT vec_id // 64 AS image_id, CAST(vec_id % 64 AS INT) AS r, CAST(i - 1 AS INT) AS c, CAST(embedding[i] AS DOUBLE) AS v
-  FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings)
-  WHERE vec_id // 64 IN (SELECT vec_id // 64 FROM embeddings GROUP BY 1 HAVING count(*) = 64))"""
+PX64 = """px64 AS (SELECT g.image_id, CAST(g.r AS INT) AS r, CAST(i - 1 AS INT) AS c, coalesce(CAST(embedding[i] AS DOUBLE), 0.0::DOUBLE) AS v
+  FROM (SELECT image_id, unnest(range(0, 64)) AS r FROM (SELECT DISTINCT vec_id // 64 AS image_id FROM embeddings)) g LEFT JOIN embeddings e ON e.vec_id = g.image_id * 64 + g.r, (SELECT unnest(range(1, 65)) AS i))"""
 
 
 def above_sql(name: str, share: float, source: str = "px64") -> str:

@@ -71,6 +71,15 @@ def negatives_far_from_centers(spark, sf_dir):
     return sampling.negatives(images, v.above(px, 0.98).select("image_id", "r", "c"), (16, 16), 5, 3)
 
 
+def roi_batch(spark, sf_dir):
+    px, images = _images(spark, sf_dir)
+    return sampling.roi_batch(v.tiles(v.above(px, 0.97)), images, (16, 16), 2, 3)
+
+
+def endless_batches(spark, sf_dir):
+    return sampling.endless_batches(v.read_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", 32, 50)
+
+
 def gaussian_hadamard(spark, sf_dir):
     return nb.gaussian_features(v.px8(spark, sf_dir), 8, 8, (1.0, 2.0, 4.0)).withColumn("feature", F.round("feature", 6))
 
@@ -111,7 +120,19 @@ s AS (SELECT image_id, CAST(r // 8 AS INT) AS cr, CAST(c // 8 AS INT) AS cc, CAS
 cells AS (SELECT i.image_id, CAST(a AS INT) AS cr, CAST(b AS INT) AS cc, CAST(k AS INT) AS bin, coalesce(total, 0) AS total FROM (SELECT DISTINCT image_id FROM px64) i, (SELECT unnest(range(0, 8)) AS a), (SELECT unnest(range(0, 8)) AS b), (SELECT unnest(range(0, 9)) AS k) LEFT JOIN s ON s.image_id = i.image_id AND s.cr = a AND s.cc = b AND s.bin = k)"""
 _BOXES = f"WITH {v.PX64}, {v.BOXES}"
 
+_ROI = f"""WITH {v.PX64}, {v.above_sql('hot', 0.97)}, {v.tiles_sql('tiled', 'hot')}, mid AS (SELECT image_id, mask_id, (max(r) + min(r)) // 2 AS r, (max(c) + min(c)) // 2 AS c FROM tiled GROUP BY 1, 2),
+g AS (SELECT DISTINCT image_id, CAST(a AS INT) AS r, CAST(b AS INT) AS c FROM px64, (SELECT unnest(range(7, 56)) AS a), (SELECT unnest(range(7, 56)) AS b)), f AS (SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM mid h WHERE h.image_id = g.image_id AND abs(h.r - g.r) + abs(h.c - g.c) <= 3)),
+n AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY md5(image_id || '-' || r || '-' || c || '-100'), r, c) AS nth FROM f),
+every AS (SELECT image_id, concat_ws('_', 'pos', image_id, mask_id) AS filename, r, c, '1' AS is_positive FROM mid UNION ALL
+  SELECT image_id, concat_ws('_', 'neg', image_id, lpad(CAST(nth AS VARCHAR), 5, '0')), r, c, '0' FROM n JOIN (SELECT image_id, 2 * count(*) AS wanted FROM mid GROUP BY 1) USING (image_id) WHERE nth <= wanted)
+SELECT filename, image_id AS parent_image_id, 16 AS extract_height, 16 AS extract_width, 64 AS image_height, 64 AS image_width, r AS index_row, c AS index_col, is_positive FROM every"""
+_ENDLESS = """WITH k AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS nth, count(*) OVER () AS n FROM labels),
+d AS (SELECT i // 32 AS batch, i % 32 AS place, ('0x' || substr(md5(i || '-1'), 1, 12))::BIGINT % (SELECT count(*) FROM labels) + 1 AS nth FROM (SELECT unnest(range(0, 1600)) AS i))
+SELECT doc_id, batch, place FROM d JOIN k USING (nth)"""
+
 QUERIES = {
+    "roi_batch": (roi_batch, _ROI),
+    "endless_batches": (endless_batches, _ENDLESS),
     "train_windows_labeled": (train_windows_labeled, f"{_TRAIN}, l AS (SELECT *, {_HIT.format(1)} AS is_positive FROM w) SELECT concat_ws('_', CASE WHEN is_positive = '1' THEN 'pos' ELSE 'neg' END, image_id, row_min, col_min) AS filename, image_id AS parent_image_id, 16 AS extract_height, 16 AS extract_width, 64 AS image_height, 64 AS image_width, index_row, index_col, is_positive FROM l"),
     "relabel_center_compat": (relabel_center_compat, f"{_TRAIN} SELECT image_id, index_row, index_col, {_HIT.format(0)} AS is_positive FROM w"),
     "infer_windows": (infer_windows, f"WITH {v.PX64}, st AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS k FROM (SELECT unnest(range(0, 65, 3)) AS s UNION SELECT 64)) SELECT i.image_id, CAST(b.k * (SELECT count(*) FROM st) + a.k AS INT) AS ordinal, CAST(a.s - 8 AS INT) AS anchor_r, CAST(b.s - 8 AS INT) AS anchor_c, 16 AS window_h, 16 AS window_w FROM (SELECT DISTINCT image_id FROM px64) i, st a, st b"),

@@ -20,13 +20,18 @@ def write_windows(rows: DataFrame, path: str) -> None:
 
 
 def write_window_table(rows: DataFrame, path: str) -> None:
-    """The window table without its pixels, as CSV with a header."""
-    rows.drop("image_matrix").write.mode("overwrite").option("header", "true").csv(path)
+    """The window table without its pixels, as CSV; the header's first name follows "# "."""
+    rows = rows.drop("image_matrix")
+    first = rows.columns[0]
+    rows.withColumnRenamed(first, f"# {first}").write.mode("overwrite").option("header", "true").csv(path)
 
 
 def write_centers(rows: DataFrame, path: str) -> None:
-    """Centres as "row column" lines, one folder for each image."""
-    rows.select("image_id", F.concat_ws(" ", "center_r", "center_c").alias("value")).write.mode("overwrite").partitionBy("image_id").text(path)
+    """Centres as "row column" lines under a # header, one folder with one file for each image; `read_centers` reads them back."""
+    lines = rows.select("image_id", F.lit(1).alias("part"), "center_r", "center_c", F.concat_ws(" ", "center_r", "center_c").alias("value"))
+    heads = rows.select("image_id").distinct().withColumns({"part": F.lit(0), "value": F.lit("# center_col  center_row")})
+    lines = lines.unionByName(heads, allowMissingColumns=True).repartition("image_id").sortWithinPartitions("image_id", "part", "center_r", "center_c")
+    lines.select("image_id", "value").write.mode("overwrite").partitionBy("image_id").text(path)
 
 
 def write_report(lines: DataFrame, path: str) -> None:

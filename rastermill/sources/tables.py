@@ -15,8 +15,10 @@ LABELS = "ImageId string, EncodedPixels string"
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Rows of CSV with a header, whose first name may follow "# "."""
     reader = spark.read.option("header", "true")
-    return reader.schema(schema).csv(path) if schema else reader.csv(path)
+    rows = reader.schema(schema).csv(path) if schema else reader.csv(path)
+    return rows.toDF(*[c.removeprefix("# ") for c in rows.columns])
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -33,9 +35,18 @@ def read_windows(spark: SparkSession, path: str, height: int | None = None, widt
 
 
 def read_centers(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (image_id, center_r, center_c) from text files of two numbers a line under a # header; image_id is the file's name."""
-    rows = spark.read.option("sep", " ").option("comment", "#").schema("center_r double, center_c double").csv(path)
-    return rows.select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("image_id"), "center_r", "center_c")
+    """Rows (image_id, center_r, center_c) from text files of two numbers a line under a # header.
+
+    image_id is that of the folder `image_id=...` a file is in, as `write_centers`
+    names it, and else the file's name, less "roi_center_list_for_" before it.
+    """
+    rows = spark.read.option("recursiveFileLookup", "true").text(path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    name, numbers = F.input_file_name(), F.split(F.trim("value"), r"\s+")
+    folder = F.regexp_extract(name, r"/image_id=([^/]*)/[^/]*$", 1)
+    plus = lambda x: F.regexp_replace(x, r"\+", "%2B")
+    unescaped = F.url_decode(plus(F.url_decode(plus(folder))))  # of the file system's address, and of the writer
+    own = F.regexp_replace(F.regexp_extract(name, r"([^/]+?)(\.[^./]*)?$", 1), "^roi_center_list_for_", "")
+    return rows.select(F.when(folder != "", unescaped).otherwise(own).alias("image_id"), *[numbers[k].cast("double").alias(c) for k, c in enumerate(("center_r", "center_c"))])
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:

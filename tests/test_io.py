@@ -55,6 +55,11 @@ def test_tables(spark, tmp_path):
     (tmp_path / "c").mkdir()
     (tmp_path / "c" / "img.txt").write_text("# col row\n3 4\n5 6\n")
     assert tables.read_centers(spark, f"{at}/c").orderBy("center_r").collect() == [("img", 3.0, 4.0), ("img", 5.0, 6.0)]
+    assert tables.read_centers(spark, f"{at}/centers").orderBy("center_r").collect() == [("i", 3.0, 4.0), ("i", 5.0, 6.0)]
+    odd = [("007", 1, 2), ("a b:c+d%20", 3, 4), ("007", 0, 9)]
+    sinks.write_centers(spark.createDataFrame(odd, "image_id string, center_r int, center_c int"), f"{at}/odd")
+    assert sorted(map(tuple, tables.read_centers(spark, f"{at}/odd").collect())) == sorted((i, float(r), float(c)) for i, r, c in odd)
+    assert all(p.read_text().startswith("# ") for p in (tmp_path / "odd").glob("*/*.txt"))
     (tmp_path / "points.txt").write_text("p.jpg,1,2,3,4\n\nq.jpg,5,6\n")
     assert {r.picture: [tuple(p) for p in r.pts] for r in tables.read_annotations(spark, f"{at}/points.txt").collect()} == {"p.jpg": [(1, 2), (3, 4)], "q.jpg": [(5, 6)]}
     (tmp_path / "x.cfg").write_text("[features]\nmethod: 'hog'\noptions: {'trim': [1, 99]}\n")
