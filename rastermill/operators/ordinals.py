@@ -45,10 +45,11 @@ def numbered_by(rows: DataFrame, keys: list[str], order: list[Column | str], nam
     return found.withColumn(name, F.col("_nth") - F.col("_first") + 1).drop("_nth", "_first")
 
 
-def running_sums(rows: DataFrame, keys: list[str], order: str, values: list[str], scratch: Scratch | None = None) -> DataFrame:
+def running_sums(rows: DataFrame, keys: list[str], order: str | list[Column | str], values: list[str], scratch: Scratch | None = None) -> DataFrame:
     """Rows with each value's sum over the rows of their group up to and including them in the order."""
-    dealt = _in_parts(rows, [order, *keys], scratch).drop("_place")
-    within = Window.partitionBy("_part", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    order = [order] if isinstance(order, str) else order
+    dealt = _in_parts(rows, [*order, *keys], scratch).drop("_place")
+    within = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # a row for each range and group
     totals = dealt.groupBy("_part", *keys).agg(*[F.sum(v).alias(v) for v in values])
