@@ -15,30 +15,32 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.store import Scratch, read_table
+from ..operators.ordinals import numbered, running_sums
 
 #: Documents, or residuals, that one group of the tree rounds.
 GROUP = 2048
 
 
-def source_targets(totals: DataFrame, weights: tuple[int, ...], most: float) -> DataFrame:
-    """Rows (source, source_size, n, target) from (source, source_size, n).
+def source_targets(totals: DataFrame, weights: tuple[int, ...], most: float, scratch: Scratch | None = None) -> DataFrame:
+    """Rows (source, source_size, n, target, source_at) from (source, source_size, n); source_at is the source's place in their order.
 
     Sources by code point, null last, weigh `weights` repeating and share all
     sizes; no target is above `most` times its source's size, and the excess is
-    shared by weight among the others until none is above.
+    shared by weight among the others until none is above.  Sources are ordered
+    by ranges, so their number may be any.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    w = totals.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(by_name) - 1) % len(weights) + 1).cast("double"))
-    w = w.withColumn("ceiling", F.col("source_size") * F.lit(float(most)))
+    by_name = F.col("source").asc_nulls_last()
+    w = numbered(totals, [by_name], "source_at", scratch)
+    w = w.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("source_at") - 1) % len(weights) + 1).cast("int")).cast("double"))
+    w = w.withColumns({"ceiling": F.col("source_size") * F.lit(float(most))}).withColumns({"reached": F.col("ceiling") / F.col("weight"), "full": F.col("ceiling"), "taken": F.col("weight")})
     # the sources that reach their ceilings first come first; each of those is full at the level left to it
-    order = Window.orderBy(F.col("ceiling") / F.col("weight"), F.col("source").asc_nulls_last())
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    later = order.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy(F.lit(0))
-    w = w.withColumns({"total": F.sum("source_size").over(everything), "full": F.coalesce(F.sum("ceiling").over(earlier), F.lit(0.0)), "left": F.sum("weight").over(later)})
-    w = w.withColumn("level", (F.col("total") - F.col("full")) / F.col("left")).withColumn("capped", F.col("ceiling") <= F.col("level") * F.col("weight"))
-    level = F.min(F.when(~F.col("capped"), F.struct(F.col("ceiling") / F.col("weight"), "level"))).over(everything)["level"]
-    return w.select("source", "source_size", "n", F.when(F.col("capped"), F.col("ceiling")).otherwise(F.least("ceiling", level * F.col("weight"))).alias("target"))
+    w = running_sums(w, [], ["reached", by_name], ["full", "taken"], scratch)
+    total, weight = w.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(float(total or 0)) - (F.col("full") - F.col("ceiling"))) / (F.lit(float(weight or 1)) - (F.col("taken") - F.col("weight")))
+    w = w.withColumn("level", level).withColumn("capped", F.col("reached") <= F.col("level"))
+    first = w.where("not capped").agg(F.min(F.struct("reached", "level"))).first()[0]
+    target = F.least("ceiling", F.lit(first.level if first else 0.0) * F.col("weight"))
+    return w.select("source", "source_size", "n", F.when(F.col("capped"), F.col("ceiling")).otherwise(target).alias("target"), F.col("source_at").cast("int").alias("source_at"))
 
 
 _STATE = "doc_id long, row_key long, source_at int, size long, source_size long, target double, whole int, u double, p double, bucket long"
@@ -94,8 +96,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
         ), "sizes",
     )
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    targets = source_targets(totals, weights, most).withColumn("source_at", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    targets = scratch.save(targets, "targets")
+    targets = scratch.save(source_targets(totals, weights, most, scratch), "targets")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
     state = rows.join(targets, rows.source.eqNullSafe(targets.source)).select(
         "doc_id", "row_key", "source_at", "size", "source_size", "target", F.floor(rate).cast("int").alias("whole"),
