@@ -230,6 +230,16 @@ def test_any_number_of_languages_have_models(spark, sf_dir):
     assert len(rows) == docs.count() and len(bands) == len({x for x, _ in bands}) > 40
 
 
+def test_verdicts_by_shuffle_are_the_same(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    both = [sorted((r.doc_id, r.kept, r.bits and round(r.bits, 9)) for r in quality_rules.quality_rules(docs, most_grams=n).collect()) for n in (quality_rules.MOST_GRAMS, 0)]
+    assert both[0] == both[1] and sum(k for _, k, _ in both[0]) > 100
+
+
+def test_rules_by_shuffle_take_odd_tables(spark, docs):
+    assert quality_rules.quality_rules(docs, most_grams=-1).count() == docs.count()
+
+
 def test_kneser_ney_sums_to_one(spark, sf_dir):
     texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(50).collect() if r.text]
     counts = Counter(g for t in texts for g in map("".join, zip("\x02\x02" + t + "\x03", "\x02" + t + "\x03", t + "\x03")))
