@@ -10,7 +10,8 @@ verified on their full sets, and verified links form components.
 No group's pairs are emitted.  First every member of a band's bucket meets only
 the bucket's least member.  Buckets that then still hold several components
 are compared in blocks inside tasks, member against member of the other
-components, and survivors are verified there.  So no link that would join two
+components, and survivors are verified there; those too large for one block are
+first cut by a second band that members must share.  So no link that would join two
 components is left out, and at most one link for each member leaves a task.
 """
 
@@ -33,7 +34,7 @@ from .words import SPACED, chunks, mix64, shingles, split_words
 
 @dataclass(frozen=True)
 class NearDedup:
-    """Parameters: with 32 bands of 4 rows, a pair at similarity 0.8 meets in no band with probability 5e-8."""
+    """Parameters: with 32 bands of 4 rows, a pair at similarity 0.8 meets in no band with probability 5e-8, and in one only with 1e-6."""
 
     words: int = 5
     percent: int = 80
@@ -242,12 +243,13 @@ def _by_task(group):
 def _block_survivors(rows: pa.Table, p: NearDedup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of rows of different components that survive pruning, with the signature rows they agree on.
 
-    A pair counts in the first band that it shares.
+    A pair counts in the first band that it shares, and in large buckets in the
+    first two.
     """
     comp, side, size = (rows.column(c).to_numpy() for c in ("component", "side", "n_shingles"))
     sig = _matrix(rows.column("sig"), np.uint16, p.size)
     bands = _band_keys(sig, p)
-    here, one = int(rows.column("nth")[0].as_py()), bool(rows.column("same")[0].as_py())
+    here, second, one = int(rows.column("nth")[0].as_py()), int(rows.column("second")[0].as_py()), bool(rows.column("same")[0].as_py())
     left = np.flatnonzero(side == 0)
     right = left if one else np.flatnonzero(side == 1)
     found = []
@@ -262,7 +264,7 @@ def _block_survivors(rows: pa.Table, p: NearDedup) -> tuple[np.ndarray, np.ndarr
             stay = agree >= least_agreement(min(at + p.batch, p.size), p.percent, p.miss)
             other, agree = other[stay], agree[stay]
         if len(other):
-            stay = ~(bands[other, :here] == bands[i, :here]).any(1)
+            stay = ~(bands[other, :here] == bands[i, :here]).any(1) & ~(bands[other, here + 1 : max(second, 0)] == bands[i, here + 1 : max(second, 0)]).any(1)
             found.append((np.full(stay.sum(), i), other[stay], agree[stay]))
     if not found:
         return (np.zeros(0, np.int64),) * 3
@@ -407,16 +409,25 @@ def _apart_links(reps: DataFrame, members: DataFrame, component: DataFrame, text
     """
     members = members.where("n > 2").select("band", "nth", "node").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     members = members.join(reps.select("node", "n_shingles"), "node")
-    mixed = members.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), (8 * F.sum("n_shingles")).alias("bytes")).where("lo < hi")
-    blocks = F.greatest(F.ceil(F.col("size") / p.block), F.ceil(F.col("bytes") / p.block_bytes)).cast("int")
-    rows = members.join(mixed.select("band", blocks.alias("blocks")), "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = F.greatest(F.ceil(F.count("*") / p.block), F.ceil(8 * F.sum("n_shingles") / p.block_bytes)).cast("int")
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """Members of buckets that hold several components, with the number of blocks that a bucket fills."""
+        found = rows.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), blocks.alias("blocks")).where("lo < hi")
+        return rows.join(found.select("band", "blocks"), "band")
+
+    rows = scratch.save(mixed(members), "mixed").withColumn("second", F.lit(-1))
+    others = reps.select("node", "sig").mapInArrow(_bands(p), "node long, nth int, band long").select("node", F.col("nth").alias("second"), F.col("band").alias("also"))
+    large = rows.where("blocks > 1").drop("blocks", "second").join(others, "node").where("second > nth")
+    large = mixed(large.withColumn("band", F.xxhash64("band", "second", "also")).drop("also"))
+    rows = rows.where("blocks = 1").unionByName(large).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = F.expr("transform(sequence(0, blocks - 1), j -> named_struct('lo', least(block, j), 'hi', greatest(block, j), 'side', if(block <= j, 0, 1), 'same', block = j))")
-    rows = rows.select("band", "nth", "node", "n_shingles", "component", F.explode(pairs).alias("t"))
-    rows = rows.select(F.xxhash64("band", "t.lo", "t.hi").alias("task"), "nth", "node", "n_shingles", "component", F.col("t.side").alias("side"), F.col("t.same").alias("same"))
+    rows = rows.select("band", "nth", "second", "node", "n_shingles", "component", F.explode(pairs).alias("t"))
+    rows = rows.select(F.xxhash64("band", "t.lo", "t.hi").alias("task"), "nth", "second", "node", "n_shingles", "component", F.col("t.side").alias("side"), F.col("t.same").alias("same"))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.join(reps.select("node", "sig"), "node").repartition(n, "task").sortWithinPartitions("task")
-    schema = "node long, task long, nth int, n_shingles long, component long, side int, same boolean, sig binary"
-    rows = scratch.save(dealt.select("node", "task", "nth", "n_shingles", "component", "side", "same", "sig").mapInArrow(_with_survivors(p), schema), "apart-survivors")
+    schema = "node long, task long, nth int, second int, n_shingles long, component long, side int, same boolean, sig binary"
+    rows = scratch.save(dealt.select("node", "task", "nth", "second", "n_shingles", "component", "side", "same", "sig").mapInArrow(_with_survivors(p), schema), "apart-survivors")
     sets = _set_table(texts, rows.select("node").distinct(), p, scratch, "apart-sets")
     dealt = rows.join(sets, "node").repartition(n, "task").sortWithinPartitions("task")
     found = scratch.save(dealt.mapInArrow(_compare_blocks(p), "a long, b long"), "apart-links")

@@ -72,3 +72,20 @@ def test_ids_that_stand_for_several_texts(spark):
         by.setdefault(r.component, []).append((r.doc_id, r.component_id))
     groups = sorted((sorted(i for i, _ in rows if i is not None), {c for _, c in rows}) for k, rows in by.items() if k is not None)
     assert groups == [([5, 5, 6], {5}), ([5, 7], {5}), ([8], {8}), ([9], {9}), ([9], {9})]
+
+
+def test_large_buckets_are_cut_by_a_second_band(spark):
+    """Families around one boilerplate: all meet in some buckets, links are within families only."""
+    random.seed(11)
+    shared = [f"s{k}" for k in range(220)]
+    docs = []
+    for family in range(6):
+        own = [f"f{family}-{k}" for k in range(70)]
+        for k in range(8):
+            copy = own.copy()
+            for at in random.sample(range(70), 3):
+                copy[at] = f"z{family}-{k}-{at}"
+            docs.append((100 * family + k, " ".join([*shared, *copy])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for block in (4, 1024):
+        check(near_duplicates(df, NearDedup(words=4, block=block)), docs)
