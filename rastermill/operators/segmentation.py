@@ -169,13 +169,22 @@ def segment(mask: DataFrame, images: DataFrame, method: str = "watershed", facto
     """Segments (image_id, r, c, segment) of a mask with low < size < high (default: the image's pixels).
 
     watershed floods the negative distance transform from adaptive markers;
-    connected takes components.
+    random_walker takes the same markers, graph merges the mask's pixels, and
+    both keep the mask's foreground; connected takes components.
     """
+    from . import walks
+
     if method == "connected":
         out = components(mask, 8, scratch)
     elif method == "watershed":
         levels = nb.squared_distances(mask, images).select(KEY, "r", "c", (-F.sqrt(F.coalesce("d2", F.lit(0)))).alias("v"))
         out = watershed(mask, levels, adaptive_markers(mask, images, factors, scratch=scratch))
+    elif method in ("random_walker", "graph"):
+        here = mask.select(KEY, "r", "c").distinct()
+        grid = images.select(KEY, "width", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("r")).select(KEY, "r", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("c"))
+        values = grid.join(here.withColumn("v", F.lit(1.0)), [KEY, "r", "c"], "left").fillna(0.0, ["v"])
+        found = walks.graph_segments(values) if method == "graph" else walks.random_walker(values, adaptive_markers(mask, images, factors, scratch=scratch))
+        out = found.join(here, [KEY, "r", "c"], "left_semi")
     else:
         raise ValueError(f"unknown segmentation: {method}")
     sizes = out.groupBy(KEY, "segment").agg(F.count("*").alias("size")).join(images, KEY)

@@ -156,6 +156,16 @@ def watershed_segments(spark, sf_dir):
     return segmentation.segment(mask, images).groupBy("image_id", "segment").agg(F.count("*").alias("size"))
 
 
+def random_walker_segments(spark, sf_dir):
+    mask, images = _sparse(spark, sf_dir, 0.3)
+    return segmentation.segment(mask, images, "random_walker").groupBy("image_id", "segment").agg(F.count("*").alias("size"))
+
+
+def graph_segments(spark, sf_dir):
+    mask, images = _sparse(spark, sf_dir, 0.3)
+    return segmentation.segment(mask, images, "graph").groupBy("image_id", "segment").agg(F.count("*").alias("size"))
+
+
 def box_iou_pairs(spark, sf_dir):
     ranked = v.boxes(spark, sf_dir).withColumn("rank", F.col("ordinal"))
     return bx.overlapping_pairs(ranked, 0.3).withColumn("overlap", F.round("overlap", 9))
@@ -265,6 +275,8 @@ SELECT class, support, round(p, 9) AS precision, round(r, 9) AS recall, round(CA
     "fill_holes": (fill_holes, f"{_HOLES} SELECT image_id, r, c FROM px64 EXCEPT SELECT image_id, r, c FROM outside"),
     "adaptive_markers": (adaptive_markers, None),
     "watershed_segments": (watershed_segments, None),
+    "random_walker_segments": (random_walker_segments, None),
+    "graph_segments": (graph_segments, None),
     "nms_greedy": (nms_greedy, f"WITH RECURSIVE {v.PX64}, {v.BOXES}, {_GREEDY.format(where='true')} SELECT image_id, ordinal, anchor_r, anchor_c, score FROM kept"),
     "sliding_window_masks": (
         sliding_window_masks,

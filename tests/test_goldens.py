@@ -220,3 +220,39 @@ def test_empty_tables(spark):
     assert segmentation.components(mask).count() == 0 and markers.ultimate_erosion(mask, images).count() == 0
     assert shapes.convex_hull(mask, ["image_id"]).count() == 0 and codec.submission(mask, 1).count() == 0
     assert splitting.split_segments(mask.withColumn("segment", F.lit("s"))).count() == 0
+
+
+def test_random_walks_and_merging(spark):
+    from rastermill.operators import walks
+
+    # two plates with a dark column between them, which has a gap at the bottom
+    v = [[0.0 if c == 4 and r < 5 else 1.0 for c in range(9)] for r in range(6)]
+    px = spark.createDataFrame([(1, r, c, v[r][c]) for r in range(6) for c in range(9)], "image_id long, r int, c int, v double")
+    marks = spark.createDataFrame([(1, 0, 0, "a"), (1, 0, 8, "b")], "image_id long, r int, c int, segment string")
+    got = {(r.r, r.c): r.segment for r in walks.random_walker(px, marks).collect()}
+    assert len(got) == 54 and all(got[r, c] == ("a" if c < 4 else "b") for r in range(6) for c in range(9) if c != 4)
+    # chances by solving the equations outright
+    import numpy as np
+
+    places, sd = sorted(got), np.std(v)
+    at = {p: k for k, p in enumerate(places)}
+    system = np.zeros((54, 54))
+    for r, c in places:
+        for q in ((r + 1, c), (r, c + 1)):
+            if q in at:
+                w = np.exp(-130 * (v[r][c] - v[q[0]][q[1]]) ** 2 / (10 * sd)) + 1e-10
+                for x, y in ((at[r, c], at[q]), (at[q], at[r, c])):
+                    system[x, x] += w
+                    system[x, y] -= w
+    right = np.zeros(54)
+    for p, chance in (((0, 0), 1.0), ((0, 8), 0.0)):
+        system[at[p]] = 0
+        system[at[p], at[p]], right[at[p]] = 1, chance
+    chance = np.linalg.solve(system, right)
+    assert all((got[p] == "a") == (chance[at[p]] >= 0.5) for p in places if abs(chance[at[p]] - 0.5) > 1e-3)
+
+    flat = spark.createDataFrame([(1, r, c, 0.0 if c < 5 else 1.0) for r in range(6) for c in range(9)], "image_id long, r int, c int, v double")
+    parts = {(r.r, r.c): r.segment for r in walks.graph_segments(flat, scale=10, sigma=0, min_size=3).collect()}
+    assert parts == {(r, c): "0-0" if c < 5 else "0-5" for r in range(6) for c in range(9)}
+    assert {r.segment for r in walks.graph_segments(flat, scale=10, sigma=0, min_size=30).collect()} == {"0-0"}
+    assert walks.random_walker(px, marks.limit(0)).count() == 0
