@@ -349,6 +349,43 @@ def test_classifier(spark, docs):
         assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_classifier_by_brute_force(spark):
+    """Statistics by plain Python, the ridge by least squares over all rows, calibration by its min-max formula."""
+    sf, q = "/root/testdata/sf0.01", quality_classifier
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r.score for r in q.classify_quality(docs, labels, F.lit(False)).collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    x = {i: q.statistics(*text_bytes(pa.array([t])))[0] for i, t in texts.items()}
+    for i in list(texts)[:40]:
+        t, w = texts[i], brute.SPACED.findall(brute.lower(texts[i]))
+        raw, size = t.encode(), [len(v.encode()) for v in w]
+        n = max(1, len(w))
+        assert x[i][0] == pytest.approx(math.log(1 + len(w))) and x[i][1] == pytest.approx(sum(size) / n) and x[i][3] == pytest.approx(len(set(w)) / n)
+        assert x[i][22] == pytest.approx(-sum(k / len(raw) * math.log2(k / len(raw)) for k in Counter(raw).values()))
+    known = [(r.doc_id, r.quality, r.aside) for r in labels.select("doc_id", "quality", (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(5)) == 0).alias("aside")).collect() if r.doc_id in x]
+    every = np.stack([x[i] for i, _, _ in known])
+    random = np.random.default_rng(3)
+    frequency, phase = random.normal(size=(q.N_STATISTICS, 256)) * np.sqrt(0.04), random.uniform(0, 2 * np.pi, 256)
+    features = lambda a: np.hstack([np.cos(np.clip((a - every.mean(0)) / np.maximum(every.std(0), 1e-6), -8, 8) @ frequency + phase) * np.sqrt(2 / 256), np.ones((len(a), 1))])
+    fit = [(x[i], y) for i, y, aside in known if not aside]
+    a, y = features(np.stack([v for v, _ in fit])), np.array([v for _, v in fit], float)
+    weights = np.linalg.lstsq(np.vstack([a, np.sqrt(1e-3 * len(a) / 256) * np.eye(257)]), np.concatenate([y, np.zeros(257)]), rcond=None)[0]
+    bins = {}
+    for i, label, aside in known:
+        if aside:
+            raw = float(features(x[i][None])[0] @ weights)
+            bins.setdefault(math.floor(min(max(raw, -1.0), 2.0) * 4096 / 3), []).append((raw, label))
+    order = [bins[k] for k in sorted(bins)]
+    mean = lambda some: sum(v for b in some for _, v in b) / sum(map(len, some))
+    level = [max(min(mean(order[j : k + 1]) for k in range(i, len(order))) for j in range(i + 1)) for i in range(len(order))]
+    steps = {}
+    for b, v in zip(order, level, strict=True):
+        steps.setdefault(round(v, 9), []).extend(r for r, _ in b)
+    at, to = [sum(r) / len(r) for r in steps.values()], list(steps)
+    want = {i: float(np.clip(np.interp(float(features(v[None])[0] @ weights), at, to), 0, 1)) for i, v in x.items()}
+    assert got == pytest.approx(want, abs=1e-4)
+
+
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body><header class="site">Site name</header>
 <nav><ul><li>Home<li>News</ul></nav><div class="cookie-notice"><p>We use cookies, accept all of them now please.</div>
 %s<aside>Related: other stories you might like to read</aside><section id="comments"><p>First! A reader writes a rather long comment about nothing at all.</section>
