@@ -204,9 +204,20 @@ SELECT l_orderkey, l_linenumber, n + 1 AS n, CAST(list_sum(list_transform(range(
 _KERNELS = ", ".join(f"(CAST({s} AS DOUBLE), {r}, {c}, {w!r})" for s in (1.0, 2.0) for r, c, w in nb.gaussian_kernel(8, 8, s))
 _TRIMMED = f"WITH {v.PX64}, cut AS (SELECT image_id, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM px64 GROUP BY 1), clipped AS (SELECT p.image_id, p.r, p.c, least(greatest(p.v, lo), hi) AS v FROM px64 p JOIN cut USING (image_id)), {_SPAN.format('clipped')}, ready AS (SELECT image_id, r, c, (v - lo) / (hi - lo) AS v FROM clipped JOIN span USING (image_id))"
 
+#: left_: flat tops of the city-block distance inside m, zone by zone; pixels are known by their places in row order.
+_TOPS = """ground AS (SELECT image_id, r, c FROM px64 EXCEPT SELECT image_id, r, c FROM m),
+p AS (SELECT m.image_id, m.r, m.c, m.r * 64 + m.c AS id, min(abs(m.r - g.r) + abs(m.c - g.c)) AS d FROM m JOIN ground g USING (image_id) GROUP BY 1, 2, 3, 4),
+o AS (SELECT a AS dr, b AS dc FROM (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b) WHERE a <> 0 OR b <> 0),
+pair AS (SELECT a.image_id, a.id, a.d, q.id AS other, q.d AS other_d FROM (SELECT image_id, id, d, r + dr AS r, c + dc AS c FROM p, o) a JOIN p q USING (image_id, r, c)),
+lower AS (SELECT image_id, id, id AS zone FROM p UNION SELECT pair.image_id, other, zone FROM lower JOIN pair ON pair.image_id = lower.image_id AND pair.id = lower.id AND d = other_d WHERE zone < other),
+zones AS (SELECT image_id, id, min(zone) AS zone FROM lower GROUP BY 1, 2),
+below AS (SELECT DISTINCT image_id, zone FROM zones JOIN pair USING (image_id, id) WHERE other_d > d),
+left_ AS (SELECT image_id, id FROM zones ANTI JOIN below USING (image_id, zone))"""
+_GROWN = "SELECT DISTINCT image_id, CAST(id // 64 + dr AS INT) AS r, CAST(id % 64 + dc AS INT) AS c FROM left_, (SELECT unnest([0, 1, -1, 0, 0]) AS dr, unnest([0, 0, 0, 1, -1]) AS dc) WHERE id // 64 + dr BETWEEN 0 AND 63 AND id % 64 + dc BETWEEN 0 AND 63"
+
 QUERIES = {
     "city_block_small": (city_block_small, f"WITH {v.PX8}, {v.above_sql('m', 0.2, 'px8')}, ground AS (SELECT image_id, r, c FROM px8 EXCEPT SELECT image_id, r, c FROM m) SELECT m.image_id, m.r, m.c, CAST(min(abs(m.r - g.r) + abs(m.c - g.c)) AS INT) AS d FROM m LEFT JOIN ground g ON g.image_id = m.image_id GROUP BY 1, 2, 3"),
-    "ultimate_erosion": (ultimate_erosion, None),
+    "ultimate_erosion": (ultimate_erosion, f"WITH RECURSIVE {v.PX64}, {v.above_sql('m', 0.3)}, {_TOPS} {_GROWN}"),
     "adaptive_ultimate_erosion": (adaptive_ultimate_erosion, None),
     "convex_hulls": (convex_hulls, None),
     "segment_shapes": (segment_shapes, None),
