@@ -39,7 +39,7 @@ def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Statistics of each text, one row each; ratios of an empty text are 0."""
     n = len(off) - 1
     size = np.diff(off)
-    c = text_counts(data, off)
+    c = text_counts(data, off, 0)
     words = split_words(data, off, SPACED, True)
     text = words.text_of()
     n_words, w = c["n_words"], np.maximum(c["n_words"], 1)
