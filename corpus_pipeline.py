@@ -17,20 +17,20 @@ from rastermill.llm.quality_rules import quality_rules
 from rastermill.functions.store import Scratch, read_table
 from rastermill.llm.token_files import encode_documents
 
-#: The scratch tables of the stage that ran last; its result is written once the next stage starts.
-_open: dict[int, Scratch] = {}
+#: The scratch tables of the stage that ran last on a folder; its result is written once the next stage starts.
+_open: dict[tuple[str, int], Scratch] = {}
 
 
-def _scratch(spark: SparkSession, stage: int) -> Scratch:
-    if stage - 1 in _open:
-        _open.pop(stage - 1).release()
-    _open[stage] = Scratch(spark, f"stage-{stage}")
-    return _open[stage]
+def _scratch(spark: SparkSession, sf_dir: str, stage: int) -> Scratch:
+    if (sf_dir, stage - 1) in _open:
+        _open.pop((sf_dir, stage - 1)).release()
+    _open[sf_dir, stage] = Scratch(spark, f"stage-{stage}")
+    return _open[sf_dir, stage]
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules; null and empty texts don't."""
-    return quality_rules(docs, scratch=_scratch(spark, 0), keep=True).where("kept").select("row.*")
+    return quality_rules(docs, scratch=_scratch(spark, sf_dir, 0), keep=True).where("kept").select("row.*")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Of rows that repeat an id and a text, or an id and nearly a text, one stays;
     rows without an id are in no group and stay.
     """
-    found = near_duplicates(docs, NearDedup(words=5), scratch=_scratch(spark, 1)).where("kept")
+    found = near_duplicates(docs, NearDedup(words=5), scratch=_scratch(spark, sf_dir, 1)).where("kept")
     # one text of each component, then one row of each id and text
     one = found.groupBy("doc_id", "component").agg(F.min("text_hash").alias("text_hash")).select("doc_id", "text_hash")
     rows = docs.where("doc_id is not null").select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), F.struct("*").alias("row"))
@@ -50,17 +50,17 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no 10-word window of `benchmark` occurs."""
-    return remove_contaminated(docs, read_table(spark, sf_dir, "benchmark"), scratch=_scratch(spark, 2))
+    return remove_contaminated(docs, read_table(spark, sf_dir, "benchmark"), scratch=_scratch(spark, sf_dir, 2))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
-    return take_copies(docs, mix_sources(docs, scratch=_scratch(spark, 3)))
+    return take_copies(docs, mix_sources(docs, scratch=_scratch(spark, sf_dir, 3)))
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy of a document in the token files."""
-    return encode_documents(docs, scratch=_scratch(spark, 4))
+    return encode_documents(docs, scratch=_scratch(spark, sf_dir, 4))
 
 
 STAGES = [
