@@ -74,8 +74,8 @@ def test_ids_that_stand_for_several_texts(spark):
     assert groups == [([5, 5, 6], {5}), ([5, 7], {5}), ([8], {8}), ([9], {9}), ([9], {9})]
 
 
-def test_large_buckets_are_cut_by_a_second_band(spark):
-    """Families around one boilerplate: all meet in some buckets, links are within families only."""
+def test_families_around_one_boilerplate(spark):
+    """All meet in some buckets, links are within families only."""
     random.seed(11)
     shared = [f"s{k}" for k in range(220)]
     docs = []
