@@ -256,3 +256,19 @@ def test_random_walks_and_merging(spark):
     assert parts == {(r, c): "0-0" if c < 5 else "0-5" for r in range(6) for c in range(9)}
     assert {r.segment for r in walks.graph_segments(flat, scale=10, sigma=0, min_size=30).collect()} == {"0-0"}
     assert walks.random_walker(px, marks.limit(0)).count() == 0
+
+
+def test_large_images_give_the_same_rows(spark, sf_dir, monkeypatch):
+    """Images above the bounds go through graphs and rounds over many tasks."""
+    from rastermill.plans import views
+
+    px = views.px64(spark, sf_dir)
+    mask = views.above(px, 0.6).withColumn("level", F.floor(F.col("v") * 2))
+    found = {}
+    for large in (False, True):
+        if large:
+            monkeypatch.setattr(segmentation, "MOST_PIXELS", 700)  # some images are larger, some aren't
+            monkeypatch.setattr(boxes, "MOST_BOXES", 0)
+        rows = [segmentation.components(mask, 8), segmentation.components(mask, 4), segmentation.components(mask, 8, level="level"), boxes.non_maximum_suppression(views.boxes(spark, sf_dir), 0.2).select("image_id", "ordinal")]
+        found[large] = [sorted(map(tuple, r.collect())) for r in rows]
+    assert found[False] == found[True]
