@@ -30,3 +30,16 @@ best AS (SELECT * FROM match QUALIFY row_number() OVER (PARTITION BY doc_id ORDE
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(ids, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
 coalesce(best.words, 0) AS longest, best.first AS longest_first, best.id AS longest_item, best.item_first AS longest_item_first
 FROM d LEFT JOIN place ON place.doc_id = d.doc_id LEFT JOIN item ON item.doc_id = d.doc_id LEFT JOIN best ON best.doc_id = d.doc_id"""
+
+_BIT = "((instr('0123456789ABCDEF', substr(h, CAST(2 * (k // 8) + CASE WHEN k % 8 < 4 THEN 2 ELSE 1 END AS BIGINT), 1)) - 1) >> CAST(k % 4 AS BIGINT)) & 1"
+RESAMPLING = rf"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT {_WORDS} AS w FROM benchmark),
+raw AS (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x FROM d) GROUP BY 1, 2), aim AS (SELECT x, count(*) AS n FROM (SELECT unnest(w) AS x FROM b) GROUP BY 1),
+word AS (SELECT x, list_transform(range(0, 4 * len(h)), lambda k: {_BIT}) AS bits FROM (SELECT x, hex(encode(x)) AS h FROM (SELECT x FROM raw UNION SELECT x FROM aim))),
+crc AS (SELECT x, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), CAST(bits AS BIGINT[])), lambda c, k: xor(c >> 1, 3988292384 * (xor(c, k) & 1))), CAST(4294967295 AS BIGINT)) % 10000 AS bucket FROM word),
+s AS (SELECT bucket, sum(n) AS s FROM raw JOIN crc USING (x) GROUP BY 1), t AS (SELECT bucket, sum(n) AS t FROM aim JOIN crc USING (x) GROUP BY 1),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (SELECT coalesce(sum(s), 0) + 10000.0::DOUBLE FROM s) / ((s + 1.0::DOUBLE) * (SELECT coalesce(sum(t), 0) + 10000.0::DOUBLE FROM t)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket)),
+weight AS (SELECT doc_id, sum(n * gain) AS weight FROM raw JOIN crc USING (x) JOIN gain USING (bucket) GROUP BY 1),
+scored AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN weight USING (doc_id)),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS nth FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN nth <= (SELECT 10 * count(*) // 100 FROM ranked) THEN nth END AS rank FROM scored LEFT JOIN ranked USING (doc_id)"""

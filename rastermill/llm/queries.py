@@ -10,11 +10,12 @@ import corpus_pipeline
 
 from .decontamination import op8_suffix_arrays
 from .html_text import op2_text_tag_ratio
+from .importance import op11_crc_resampling
 from .license_scan import op9_license_automaton
 from .lm_scoring import op6_bloom_language_model
 from .mixing import op3_pivotal_mixing
 from .near_dedup import op1_near_duplicates
-from .oracle import CONTAMINATION, NEAR_DUPLICATES
+from .oracle import CONTAMINATION, NEAR_DUPLICATES, RESAMPLING
 from .quality_classifier import op4_fourier_ridge
 from .quality_rules import op7_perplexity_rules
 from .sharding import op10_sampled_splitters
@@ -31,8 +32,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_arrays": op8_suffix_arrays,
     "op9_license_automaton": op9_license_automaton,
     "op10_sampled_splitters": op10_sampled_splitters,
+    "op11_crc_resampling": op11_crc_resampling,
     "pipeline": corpus_pipeline.run,
 }
 
 #: The others draw at random, train, tokenize or parse; tests/llm hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op1_near_duplicates": NEAR_DUPLICATES, "op8_suffix_arrays": CONTAMINATION}
+ORACLE_SQL: dict[str, str] = {"op1_near_duplicates": NEAR_DUPLICATES, "op8_suffix_arrays": CONTAMINATION, "op11_crc_resampling": RESAMPLING}

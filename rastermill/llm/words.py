@@ -112,8 +112,8 @@ def _end_between_words(data: np.ndarray, least: int, kind: np.ndarray) -> int:
     return len(data)
 
 
-def _split(data: np.ndarray, cuts: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First byte, byte after the last, and hash of each word; words don't run over cuts, where texts begin."""
+def word_spans(data: np.ndarray, cuts: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and byte after the last of each word; words don't run over cuts, where texts begin."""
     n = len(data)
     inside = np.zeros(n + 1, dtype=bool)
     inside[:n] = kind[data]
@@ -121,8 +121,26 @@ def _split(data: np.ndarray, cuts: np.ndarray, kind: np.ndarray) -> tuple[np.nda
     cut = np.zeros(n + 1, dtype=bool)
     cut[cuts] = True
     first[1:] &= ~inside[:-1] | cut[1:]
-    start = np.flatnonzero(first[:n])
-    end = np.flatnonzero(inside[:n] & (~inside[1:] | cut[1:])) + 1
+    return np.flatnonzero(first[:n]), np.flatnonzero(inside[:n] & (~inside[1:] | cut[1:])) + 1
+
+
+def pieces(data: np.ndarray, text_offsets: np.ndarray, kind: np.ndarray, lower: bool, size: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of about `size` bytes that end between words, of texts short and long: bytes, each word's first byte and the byte after it, and the text it is in."""
+    any_case = kind[_LOWER] if lower else kind
+    at = 0
+    while at < len(data):
+        end = _end_between_words(data, at + size, any_case)
+        here = _LOWER[data[at:end]] if lower else data[at:end]
+        first, last = np.searchsorted(text_offsets, (at, end))
+        start, after = word_spans(here, text_offsets[first:last] - at, kind)
+        yield here, start, after, np.searchsorted(text_offsets, start + at, side="right") - 1
+        at = end
+
+
+def _split(data: np.ndarray, cuts: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, byte after the last, and hash of each word; words don't run over cuts, where texts begin."""
+    n = len(data)
+    start, end = word_spans(data, cuts, kind)
     power = np.empty(n + 1, dtype=_U)
     power[0] = 1
     power[1:] = _BASE
