@@ -16,6 +16,7 @@ from .lm_scoring import op6_bloom_language_model
 from .mixing import op3_pivotal_mixing
 from .near_dedup import op1_near_duplicates
 from .oracle import CONTAMINATION, NEAR_DUPLICATES, RESAMPLING
+from .periodic import op13_periodic_runs
 from .quality_classifier import op4_fourier_ridge
 from .quality_rules import op7_perplexity_rules
 from .sharding import op10_sampled_splitters
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_automaton": op9_license_automaton,
     "op10_sampled_splitters": op10_sampled_splitters,
     "op11_crc_resampling": op11_crc_resampling,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 
