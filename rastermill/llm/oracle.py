@@ -43,3 +43,17 @@ scored AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(we
 CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN weight USING (doc_id)),
 ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS nth FROM scored WHERE n_features >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN nth <= (SELECT 10 * count(*) // 100 FROM ranked) THEN nth END AS rank FROM scored LEFT JOIN ranked USING (doc_id)"""
+
+JACCARD_JOIN = rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(x, chr(10) ORDER BY x)) AS whole FROM s GROUP BY 1),
+c AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY whole) AS class_id, count(*) OVER (PARTITION BY whole) AS copies FROM n),
+one AS (SELECT s.doc_id, s.x, n, copies FROM s JOIN c USING (doc_id) WHERE doc_id = class_id),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, any_value(a.copies) AS ca, any_value(b.copies) AS cb, count(*) AS k FROM one a JOIN one b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b, ca, cb FROM both_ WHERE 100 * k >= 80 * (na + nb - k)),
+side AS (SELECT a, b, cb AS copies FROM link UNION ALL SELECT b, a, ca FROM link),
+linked AS (SELECT a AS class_id, sum(copies) AS links FROM side GROUP BY 1),
+reach AS (SELECT DISTINCT a AS node, a AS m FROM side UNION SELECT side.b, reach.m FROM reach JOIN side ON side.a = reach.node WHERE reach.m < side.b),
+least_ AS (SELECT node, min(m) AS m FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(least_.m, c.class_id, d.doc_id) AS component_id, coalesce(c.class_id, d.doc_id) AS class_id, CAST(coalesce(c.copies, 1) - 1 + coalesce(linked.links, 0) AS BIGINT) AS n_links
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN least_ ON least_.node = c.class_id LEFT JOIN linked ON linked.class_id = c.class_id"""
