@@ -208,6 +208,49 @@ def _group_pairs(p: JaccardJoin):
     return _by_task(group)
 
 
+_MARKS = "grp long, low long, high long, marks binary"
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (grp, low, high, marks) for each prefix: its shingles' last 16 bits, ordered."""
+    for batch in batches:
+        marks = [np.sort(np.frombuffer(x.as_buffer(), np.uint64).astype(np.uint16)).tobytes() for x in batch.column("prefix")]
+        size = batch.column("n_shingles")
+        yield pa.RecordBatch.from_arrays([batch.column("grp"), size, size, pa.array(marks, pa.binary())], names=["grp", "low", "high", "marks"])
+
+
+def _single_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (grp, low, high, mark) for each different mark of a prefix."""
+    for batch in batches:
+        marks = [np.unique(np.frombuffer(x.as_buffer(), np.uint64).astype(np.uint16)) for x in batch.column("prefix")]
+        of = np.repeat(np.arange(len(marks)), [len(x) for x in marks])
+        size = batch.column("n_shingles").to_numpy()[of]
+        yield pa.RecordBatch.from_arrays([pa.array(batch.column("grp").to_numpy()[of]), pa.array(size), pa.array(size), pa.array(np.concatenate([*marks, np.zeros(0, np.uint16)]).astype(np.int32))], names=["grp", "low", "high", "mark"])
+
+
+def _may_link(p: JaccardJoin):
+    """The pairs of groups whose prefixes share enough for a link.
+
+    Of two sets, the one whose prefix ends first in the order shares with the
+    other at most what the prefixes share and all that follows its own prefix.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low_a, high_a, low_b, high_b = (batch.column(c).to_numpy() for c in ("low_a", "high_a", "low_b", "high_b"))
+            rest = np.maximum(-(-p.percent * high_a // 100), -(-p.percent * high_b // 100)) - 1
+            need = least_common(low_a, low_b, p.percent) - rest
+            keep = []
+            for k, (a, b, one_a, one_b) in enumerate(zip(batch.column("marks_a"), batch.column("marks_b"), batch.column("one_a").to_pylist(), batch.column("one_b").to_pylist(), strict=True)):
+                x, y = np.frombuffer(a.as_buffer(), np.uint16), np.frombuffer(b.as_buffer(), np.uint16)
+                # a group's marks have lost how often they occur, so only a single set's are counted
+                if not (one_a and len(x) - len(_without(x, y)) < need[k] or one_b and len(y) - len(_without(y, x)) < need[k]):
+                    keep.append(k)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    return run
+
+
 def _without(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Members of x that aren't in y; both sorted."""
     if not len(y):
@@ -300,7 +343,23 @@ def _candidates(reps: DataFrame, members: DataFrame, p: JaccardJoin, scratch: Sc
     rows = rows.select("token", "grp", "size", "position", F.explode(pairs).alias("t"))
     rows = rows.select(F.xxhash64("token", "t.lo", "t.hi").alias("task"), "grp", "size", "position", F.col("t.side").alias("side"), F.col("t.same").alias("same"))
     dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "task").sortWithinPartitions("task", "size", "position")
-    return scratch.save(dealt.mapInArrow(_group_pairs(p), "a long, b long").distinct(), "group-pairs")
+    return _pruned(scratch.save(dealt.mapInArrow(_group_pairs(p), "a long, b long").distinct(), "group-pairs"), reps, members, p, scratch)
+
+
+def _pruned(pairs: DataFrame, reps: DataFrame, members: DataFrame, p: JaccardJoin, scratch: Scratch) -> DataFrame:
+    """Pairs without those that the marks of their prefixes rule out; a group has at most 65536 different ones; saved."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("grp")).distinct()
+    every = reps.select("node", "n_shingles", "prefix").join(members, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
+    groups = members.select("grp").distinct()
+    every = scratch.save(every.join(wanted, "grp", "left_semi").select("grp", "n_shingles", "prefix"), "met-prefixes")
+    one = every.join(groups, "grp", "left_anti").mapInArrow(_marks, _MARKS).withColumn("one", F.lit(True))
+    of = every.join(groups, "grp", "left_semi").mapInArrow(_single_marks, "grp long, low long, high long, mark int").groupBy("grp", "mark").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("mark")), lambda m: F.concat(F.lpad(F.hex(m.bitwiseAND(255)), 2, "0"), F.lpad(F.hex(F.shiftright(m, 8)), 2, "0"))), "")
+    many = of.groupBy("grp").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.unhex(text).alias("marks")).withColumn("one", F.lit(False))
+    marked = scratch.save(one.unionByName(many), "marks")
+    a, b = (marked.select(F.col("grp").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("low", "high", "marks", "one")]) for x in "ab")
+    both = pairs.join(a, "a").join(b, "b")
+    return scratch.save(both.select("a", "b", *[f"{c}_{x}" for c in ("low", "high", "marks", "one") for x in "ab"]).mapInArrow(_may_link(p), "a long, b long"), "may-link")
 
 
 def _links(reps: DataFrame, members: DataFrame, pairs: DataFrame, texts: DataFrame, p: JaccardJoin, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
