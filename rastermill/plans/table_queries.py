@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.store import read_table
-from ..operators import affine, contours, learning, sampling, statistics
+from ..functions.store import Scratch, read_table
+from ..operators import affine, contours, kernels, learning, network, sampling, statistics
 from . import views as v
 
 
@@ -143,6 +143,36 @@ def svm_rff_train_score(spark, sf_dir):
     return learning.score(model, rows).select("vec_id", "label", "prediction", F.round("score", 4).alias("score"))
 
 
+def _quadrants(spark, sf_dir):
+    """Quadrant means of each 8 x 8 image, of about unit variance; label: whether its upper and its left half are both brighter or both darker than 0; upper: whether its upper half is brighter."""
+    px = v.px8(spark, sf_dir)
+    mean = [F.avg(F.when(((F.col("r") < 4) if up else (F.col("r") >= 4)) & ((F.col("c") < 4) if left else (F.col("c") >= 4)), F.col("v"))) for up in (True, False) for left in (True, False)]
+    rows = px.groupBy(F.col("image_id").alias("vec_id")).agg(F.transform(F.array(*mean), lambda x: 32 * x).alias("features"))
+    upper, left = (F.col("features")[0] + F.col("features")[k] for k in (1, 2))
+    return rows.withColumns({"label": (upper * left > 0).cast("int"), "upper": (upper > 0).cast("int"), "held_out": F.pmod(F.xxhash64("vec_id"), F.lit(4)) == 0})
+
+
+def kernel_machines(spark, sf_dir):
+    from pyspark.ml.functions import array_to_vector
+
+    rows = Scratch(spark, "quadrants").save(_quadrants(spark, sf_dir), "rows")
+    seen = rows.where("not held_out")
+    gamma = learning.kernel_gamma(seen.withColumn("features", array_to_vector("features")), "scale")
+    out = None
+    for kernel, label in ((kernels.Kernel("rbf", gamma), "label"), (kernels.Kernel("poly", gamma, 2, 1.0), "label"), (kernels.Kernel("sigmoid", 0.1, coef0=-0.5), "upper")):
+        machine = kernels.train_kernel_machine(seen, kernel, 1.0, tolerance=0.01, rounds=5 if kernel.name == "sigmoid" else 20, label=label)
+        one = kernels.with_decisions(rows, machine).select("vec_id", F.lit(kernel.name).alias("kernel"), "held_out", F.col(label).alias("label"), (F.col("decision") > 0).cast("int").alias("prediction"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def network_scores(spark, sf_dir):
+    rows = Scratch(spark, "quadrants").save(_quadrants(spark, sf_dir), "rows")
+    model = network.train_network(rows.where("not held_out"), network.Training((16, 8), alpha=1e-2, learning_rate=0.02, batches=4, epochs=30))
+    scored = network.with_probability(rows, model)
+    return scored.select("vec_id", "held_out", "label", (F.col("score") > 0.5).cast("int").alias("prediction"), F.round("score", 4).alias("score"))
+
+
 def grid_search_cv(spark, sf_dir):
     from pyspark.ml.classification import LogisticRegression
 
@@ -189,5 +219,7 @@ SELECT user_id, i, CAST(trunc(-sin(t) * hy + cos(t) * hx) AS INT) AS x, CAST(tru
     "bilinear_center": (bilinear_center, f"WITH {v.PX8}, {v.bilinear_sql()} SELECT image_id, r, c, round(v, 6) AS v FROM moved"),
     "mlp_train_score": (mlp_train_score, None),
     "svm_rff_train_score": (svm_rff_train_score, None),
+    "kernel_machines": (kernel_machines, None),
+    "network_scores": (network_scores, None),
     "grid_search_cv": (grid_search_cv, None),
 }
