@@ -18,6 +18,8 @@ from .graph import connected_components
 KEY = nb.KEY
 #: Pixels of an image that one task labels at most; larger images are labelled as graphs over many tasks.
 MOST_PIXELS = 1 << 22
+#: Pixels of an image that one task floods at most, and the side of the tiles of larger images.
+MOST_FLOODED, TILE = 1 << 20, 512
 #: Pixels that a task gathers, of several images or of one, before it labels them.
 HELD = 1 << 17
 
@@ -126,43 +128,86 @@ def adaptive_markers(mask: DataFrame, images: DataFrame, factors: tuple[int, int
     return far.join(by, [KEY, "segment"]).where(F.col("d2") > F.col("n") * F.col("n")).select(KEY, "r", "c", "segment")
 
 
+_FLOODED = "m double, d long, label string"
+
+
 def _flood(rows: pd.DataFrame) -> pd.DataFrame:
-    """Marker labels spread over one image's pixels, lowest level first, then first come first served."""
+    """Values (m, d, label) of one image's or tile's pixels; rows of other tiles (not own) keep the values they come with.
+
+    The way from a marker to a pixel costs m, the highest level on it, and d,
+    its steps since that level was reached; a pixel takes the least of its
+    neighbours' ways one step on, of equal ones that of the smaller label.
+    """
     rows = rows.sort_values(["r", "c"], ignore_index=True)
     r, c = rows["r"].to_numpy(np.int64), rows["c"].to_numpy(np.int64)
     width = int(c.max() - c.min()) + 3  # a border of places outside
-    place = (r - r.min() + 1) * width + c - c.min() + 1
-    level, label = [None] * (int(place[-1]) + 2 * width), [-1] * (int(place[-1]) + 2 * width)
-    for p, v in zip(place.tolist(), rows["level"].tolist(), strict=True):
-        level[p] = v
-    marker, names = pd.factorize(rows["marker"])
-    heap = []
-    for p, m in zip(place[marker >= 0].tolist(), marker[marker >= 0].tolist(), strict=True):
-        label[p] = m
-        heap.append((level[p], len(heap), p))
-    age = len(heap)
+    place = ((r - r.min() + 1) * width + c - c.min() + 1).tolist()
+    size = place[-1] + 2 * width
+    level: list = [None] * size
+    best: list = [None] * size
+    heap, own = [], rows["own"].tolist()
+    for p, mine, v, marker, m, d, label in zip(place, own, rows["level"].tolist(), rows["marker"].tolist(), rows["m"].tolist(), rows["d"].tolist(), rows["label"].tolist(), strict=True):
+        if not mine:
+            if label is not None:
+                heap.append((m, int(d), label, p))
+        else:
+            level[p] = v
+            if marker is not None:
+                heap.append((v, 0, marker, p))
+    for m, d, label, p in heap:
+        best[p] = (m, d, label)
     heapq.heapify(heap)
+    fixed = {p for _, _, _, p in heap}
     while heap:
-        _, _, p = heapq.heappop(heap)
+        m, d, label, p = heapq.heappop(heap)
+        if best[p] < (m, d, label):
+            continue
         for q in (p - width, p - 1, p + 1, p + width):
-            if label[q] < 0 and level[q] is not None:
-                label[q] = label[p]
-                heapq.heappush(heap, (level[q], age, q))
-                age += 1
-    found = np.array(label)[place]
-    return pd.DataFrame({KEY: rows[KEY], "r": r.astype("int32"), "c": c.astype("int32"), "segment": np.append(names.to_numpy(object), None)[found]})[found >= 0]
-
-
-def watershed(mask: DataFrame, levels: DataFrame, markers: DataFrame) -> DataFrame:
+            v = level[q]
+            if v is not None and q not in fixed:
+                way = (v, 0, label) if v > m else (m, d + 1, label)
+                if best[q] is None or way < best[q]:
+                    best[q] = way
+                    heapq.heappush(heap, (*way, q))
+    found = [best[p] or (None, None, None) for p, mine in zip(place, own, strict=True) if mine]
+    out = rows[rows["own"]]
+    m, d, label = zip(*found, strict=True) if found else ((), (), ())
+    before = zip(out["m"].tolist(), out["d"].tolist(), out["label"].tolist(), strict=True)
+    changed = [x[2] is not None and x != w or (x[2] is None) != (w[2] is None) for x, w in zip(found, before, strict=True)]
+    return pd.DataFrame({KEY: out[KEY], "r": out["r"].astype("int32"), "c": out["c"].astype("int32"), "level": out["level"], "marker": out["marker"], "m": np.array(m, float), "d": pd.array(d, "Int64"), "label": np.array(label, object), "changed": changed})
+
+
+def watershed(mask: DataFrame, levels: DataFrame, markers: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Rows (image_id, r, c, segment): markers (image_id, r, c, segment) flooded over the mask by rising level (image_id, r, c, v).
 
-    Flooding is in order of level within an image, so an image is a task's work;
-    images are dealt by id.
+    A pixel goes to the marker from which the highest level on the way is
+    least; of equal ones to that of the fewest steps since that level, then to
+    the smaller marker.  Pixels that no marker reaches give no row.  Images of
+    up to MOST_FLOODED pixels are flooded whole.  Larger ones are flooded in
+    tiles, each from the values that border it, in rounds until no value
+    changes; each round is saved, and rows are the same.
     """
-    rows = mask.select(KEY, "r", "c").distinct().join(levels.select(KEY, "r", "c", F.col("v").alias("level")), [KEY, "r", "c"])
-    rows = rows.join(markers.select(KEY, "r", "c", F.col("segment").alias("marker")), [KEY, "r", "c"], "left")
+    scratch = scratch or Scratch(mask.sparkSession, "watershed")
     kind = dict(mask.dtypes)[KEY]
-    return rows.groupBy(KEY).applyInPandas(_flood, f"{KEY} {kind}, r int, c int, segment string")
+    rows = mask.select(KEY, "r", "c").distinct().join(levels.select(KEY, "r", "c", F.col("v").cast("double").alias("level")), [KEY, "r", "c"])
+    rows = rows.join(markers.select(KEY, "r", "c", F.col("segment").cast("string").alias("marker")), [KEY, "r", "c"], "left")
+    rows = scratch.save(rows.withColumns({"m": F.lit(None).cast("double"), "d": F.lit(None).cast("long"), "label": F.lit(None).cast("string")}), "levels")
+    large = scratch.save(rows.groupBy(KEY).agg(F.count("*").alias("n")).where(F.col("n") > MOST_FLOODED).select(KEY), "large")
+    schema = f"{KEY} {kind}, r int, c int, level double, marker string, {_FLOODED}, changed boolean"
+    small = rows.join(large, KEY, "left_anti").withColumn("own", F.lit(True)).groupBy(KEY).applyInPandas(_flood, schema)
+    out = small.where("label is not null").select(KEY, "r", "c", F.col("label").alias("segment"))
+    if large.isEmpty():
+        return out
+    state = rows.join(large, KEY, "left_semi").withColumn("changed", F.lit(True))
+    place = lambda x, k: F.floor((F.col(x) + k) / TILE).cast("int")
+    while True:
+        # a pixel beside another tile lies in both, with the values it has
+        beside = [F.struct(place("r", a).alias("tr"), place("c", b).alias("tc")) for a, b in ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))]
+        seen = state.drop("changed").withColumn("tile", F.explode(F.array_distinct(F.array(*beside))))
+        seen = seen.withColumn("own", (F.col("tile.tr") == place("r", 0)) & (F.col("tile.tc") == place("c", 0)))
+        state = scratch.save(seen.groupBy(KEY, "tile").applyInPandas(lambda x: _flood(x.drop(columns="tile")), schema), "round")
+        if state.where("changed").isEmpty():
+            return out.unionByName(state.where("label is not null").select(KEY, "r", "c", F.col("label").alias("segment")))
 
 
 def segment(mask: DataFrame, images: DataFrame, method: str = "watershed", factors: tuple[int, int, int] = (9, 5, 1), low: int = 0, high: int | None = None, scratch: Scratch | None = None) -> DataFrame:
@@ -178,7 +223,7 @@ def segment(mask: DataFrame, images: DataFrame, method: str = "watershed", facto
         out = components(mask, 8, scratch)
     elif method == "watershed":
         levels = nb.squared_distances(mask, images).select(KEY, "r", "c", (-F.sqrt(F.coalesce("d2", F.lit(0)))).alias("v"))
-        out = watershed(mask, levels, adaptive_markers(mask, images, factors, scratch=scratch))
+        out = watershed(mask, levels, adaptive_markers(mask, images, factors, scratch=scratch), scratch)
     elif method in ("random_walker", "graph"):
         here = mask.select(KEY, "r", "c").distinct()
         grid = images.select(KEY, "width", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("r")).select(KEY, "r", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("c"))

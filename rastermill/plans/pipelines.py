@@ -115,7 +115,7 @@ def segments(mask: DataFrame, images: DataFrame, o: Options = Options(), scratch
             seeds = segmentation.components(mask, 8, scratch)
         levels = nb.squared_distances(mask, images).select(KEY, "r", "c", (-F.sqrt(F.coalesce("d2", F.lit(0)))).alias("v"))
         every = area.join(levels, [KEY, "r", "c"], "left").select(KEY, "r", "c", F.coalesce("v", F.lit(0.0)).alias("v"))
-        out = segmentation.watershed(area, every, seeds)
+        out = segmentation.watershed(area, every, seeds, scratch)
     else:
         raise ValueError(f"unknown segmentation: {o.segmentation}")
     out = scratch.save(out, "segments")
