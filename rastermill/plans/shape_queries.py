@@ -38,6 +38,11 @@ def adaptive_ultimate_erosion(spark, sf_dir):
     return markers.adaptive_ultimate_erosion(v.above(px, 0.3), images, (1, 2, 3), 20, 200)
 
 
+def center_candidates(spark, sf_dir):
+    px, images = _images(spark, sf_dir)
+    return segmentation.center_candidates(v.above(px, 0.3), images, 2, 1, 2)
+
+
 def convex_hulls(spark, sf_dir):
     tiled = v.tiles(v.above(v.px64(spark, sf_dir), 0.9))
     return shapes.hull_rows(tiled, ["image_id", "mask_id"]).groupBy("image_id", "mask_id").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("convex_area"))
@@ -219,6 +224,7 @@ QUERIES = {
     "city_block_small": (city_block_small, f"WITH {v.PX8}, {v.above_sql('m', 0.2, 'px8')}, ground AS (SELECT image_id, r, c FROM px8 EXCEPT SELECT image_id, r, c FROM m) SELECT m.image_id, m.r, m.c, CAST(min(abs(m.r - g.r) + abs(m.c - g.c)) AS INT) AS d FROM m LEFT JOIN ground g ON g.image_id = m.image_id GROUP BY 1, 2, 3"),
     "ultimate_erosion": (ultimate_erosion, f"WITH RECURSIVE {v.PX64}, {v.above_sql('m', 0.3)}, {_TOPS} {_GROWN}"),
     "adaptive_ultimate_erosion": (adaptive_ultimate_erosion, None),
+    "center_candidates": (center_candidates, None),
     "convex_hulls": (convex_hulls, None),
     "segment_shapes": (segment_shapes, None),
     "outline_lengths": (outline_lengths, f"{_TILED} SELECT image_id, mask_id, count(*) + 1 AS points FROM edge GROUP BY 1, 2"),

@@ -183,6 +183,23 @@ def grid_search_cv(spark, sf_dir):
     return spark.createDataFrame([(n, round(float(m), 6)) for n, m in zip(names, tuned.avgMetrics, strict=True)], "params string, log_loss double")
 
 
+def tuned_with_holdout(spark, sf_dir):
+    """Rows that tuning did not see, scored by the best of a grid, with that setting's name."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    x = F.col("features")
+    products = [x[i] * x[j] for i in range(4) for j in range(i, 4)]  # the label is a matter of products
+    rows = _quadrants(spark, sf_dir).withColumn("features", array_to_vector(F.concat(x, F.array(*products)))).withColumn("label", F.col("label").cast("double"))
+    rows = Scratch(spark, "holdout").save(rows.drop("held_out"), "rows")
+    estimator = LogisticRegression(maxIter=30)
+    grid = learning.parameter_grid({estimator.regParam: [1e-3, 1e-1, 10.0]})
+    tuned, scored = learning.tune_with_holdout(estimator, grid, rows, "vec_id", folds=3)
+    names = [",".join(f"{k.name}={value}" for k, value in g.items()) for g in grid]
+    best = learning.best_of(list(zip(names, tuned.avgMetrics, strict=True)))
+    return scored.select("vec_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"), F.round("score", 4).alias("score"), F.lit(best).alias("params"))
+
+
 _DRAW = "md5(doc_id || '-{}')"
 _ANGLES = f"""WITH {v.POINTS}, d AS (SELECT *, lag(y, 2) OVER w - y AS a1, lag(x, 2) OVER w - x AS b1, lead(y, 2) OVER w - y AS a2, lead(x, 2) OVER w - x AS b2 FROM points WINDOW w AS (PARTITION BY user_id ORDER BY i)),
 a AS (SELECT user_id, i, x, y, CASE WHEN a1 IS NULL OR a2 IS NULL THEN 0 ELSE atan2(a1 * a2 + b1 * b2, a1 * b2 - b1 * a2) END AS angle, CASE WHEN a1 IS NULL OR a2 IS NULL THEN 0 ELSE atan2(-b1 - b2, -a1 - a2) END AS pointing FROM d)"""
@@ -221,5 +238,6 @@ SELECT user_id, i, CAST(trunc(-sin(t) * hy + cos(t) * hx) AS INT) AS x, CAST(tru
     "svm_rff_train_score": (svm_rff_train_score, None),
     "kernel_machines": (kernel_machines, None),
     "network_scores": (network_scores, None),
+    "tuned_with_holdout": (tuned_with_holdout, None),
     "grid_search_cv": (grid_search_cv, None),
 }
