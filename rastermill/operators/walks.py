@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -46,9 +48,11 @@ def _harmonic(weights: list[np.ndarray], free: np.ndarray, fixed: np.ndarray, to
     residual = -laplacian(x)
     step = z = residual / degree
     energy, least = (residual * z).sum(), tolerance**2 * max((residual * z).sum(), 1e-300)
-    for _ in range(4 * int(np.sqrt(free.sum()) + 1) * 10):
+    for turn in itertools.count():
         if energy <= least:
             break
+        if turn > 100 + 10 * free.sum():  # exact sums need no more steps than free places
+            raise ValueError("random walks did not converge")
         moved = laplacian(step)
         rate = energy / (step * moved).sum()
         x, residual = x + rate * step, residual - rate * moved
