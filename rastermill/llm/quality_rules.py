@@ -45,8 +45,8 @@ UNSEEN = 1 / 0x110000
 MOST_GRAMS, SEGMENT_BITS = 1 << 24, 12
 #: Languages whose bands are broadcast at most.
 FEW = 100_000
-#: Forms of a text by which it is found nearly equal to others.
-FORMS = 6
+#: Bands of a text by which it is found nearly equal to others, and the least hashes that make up each.
+BANDS, ROWS = 3, 6
 #: N-grams that a task gathers before it passes them on.
 HELD = 400_000
 
@@ -62,11 +62,12 @@ def _per_text(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
-def text_counts(data: np.ndarray, off: np.ndarray, n_forms: int = FORMS) -> dict[str, np.ndarray]:
+def text_counts(data: np.ndarray, off: np.ndarray, n_forms: int = BANDS * ROWS) -> dict[str, np.ndarray]:
     """The simple counts of each text, whether it reads like prose, and its forms, each the least of other hashes of its 3-word windows.
 
     Two texts share a form with the chance of a window of either being one of both.
     """
+    factors = mix64(np.arange(n_forms, dtype=_U)) | _U(1)
     n = len(off) - 1
     words = split_words(data, off, SPACED, False)
     starts_character = (data & 0xC0) != 0x80
@@ -81,7 +82,7 @@ def text_counts(data: np.ndarray, off: np.ndarray, n_forms: int = FORMS) -> dict
     if len(window):
         own, at = np.unique(at_text, return_index=True)
         for k in range(n_forms):
-            forms[own, k] = np.minimum.reduceat(window * _U(2 * k + 1), at).view(np.int64)
+            forms[own, k] = np.minimum.reduceat(window * factors[k], at).view(np.int64)
         where = words.text_of()
         first = np.flatnonzero(where[: len(where) - 2] == where[2:])
         order = np.lexsort((window, at_text))
@@ -428,6 +429,18 @@ def half_of(forms: np.ndarray) -> np.ndarray:
     return (mix64(forms[:, 0].view(_U)) & _U(1)).astype(np.int32)
 
 
+def bands_of(forms: np.ndarray) -> np.ndarray:
+    """The bands of each text: hashes of ROWS forms.
+
+    Two texts of similarity s share one with chance 1 - (1 - s^ROWS)^BANDS:
+    0.0002 at 0.2, 0.05 at 0.5, 0.97 at 0.94.
+    """
+    out = np.zeros((len(forms), BANDS), _U)
+    for k in range(ROWS):
+        out = mix64(out + forms[:, k::ROWS].view(_U))
+    return out.view(np.int64)
+
+
 _BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -440,8 +453,8 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, data, off in chunks(batch.column("text")):
             found = text_counts(data, off)
-            forms = pa.FixedSizeListArray.from_arrays(pa.array(found["forms"].ravel()), FORMS).cast(pa.list_(pa.int64()))
-            out = {c: batch.column(c).slice(i, j - i) for c in ("model", "text_hash")} | {"odd": pa.array(~found["prose"]), "half": pa.array(half_of(found["forms"])), "forms": forms}
+            bands = pa.FixedSizeListArray.from_arrays(pa.array(bands_of(found["forms"]).ravel()), BANDS).cast(pa.list_(pa.int64()))
+            out = {c: batch.column(c).slice(i, j - i) for c in ("model", "text_hash")} | {"odd": pa.array(~found["prose"]), "half": pa.array(half_of(found["forms"])), "bands": bands}
             yield pa.RecordBatch.from_pydict(out).filter(pa.array(~_failed(found)))
 
 
@@ -481,7 +494,8 @@ def quality_rules(docs: DataFrame, order: int = 4, width: float = 6.0, scratch:
     which counts as `LEAST_SPREAD` at least) of the median of its language.
     Deviations of short texts, which are larger by chance, count for less: by
     the root of symbols / (symbols + SHORT).  Of equal texts, and of nearly equal
-    ones that share a form, one counts in the model, the median and the deviation.
+    ones that share a band (`bands_of`), one counts in the model, the median and
+    the deviation; all other texts do, however many words they have in common.
     Null and empty texts have no words and fail; a null language counts as one;
     any number of languages have models and bands of their own; repeated rows
     and ids are judged one by one; other columns are not read, but with keep
@@ -495,11 +509,11 @@ def quality_rules(docs: DataFrame, order: int = 4, width: float = 6.0, scratch:
         *([F.struct("*").alias("row")] if keep else []),
     )
     texts = rows.where("text is not null").select("model", "text_hash", "text")
-    # of texts that share a form one stays, for one form after another
-    single = texts.mapInArrow(_candidates, "model string, text_hash long, odd boolean, half int, forms array<long>")
-    for k in range(FORMS):
-        single = single.groupBy("model", F.col("forms")[k]).agg(F.min(F.struct("odd", "text_hash", "half", "forms")).alias("one")).select("model", "one.*")
-    single = scratch.save(single.drop("forms"), "single")
+    # of texts that share a band one stays, for one band after another
+    single = texts.mapInArrow(_candidates, "model string, text_hash long, odd boolean, half int, bands array<long>")
+    for k in range(BANDS):
+        single = single.groupBy("model", F.col("bands")[k]).agg(F.min(F.struct("odd", "text_hash", "half", "bands")).alias("one")).select("model", "one.*")
+    single = scratch.save(single.drop("bands"), "single")
     both = ["model", "text_hash"]
     # copies meet on their way, and what trains is found by the same partitioning
     packed = texts.mapInArrow(_pack, "model string, text_hash long, packed binary").groupBy(*both).agg(F.min("packed").alias("packed"))

@@ -147,12 +147,21 @@ def _kneser_ney(texts, order):
     return p
 
 
-def judged(docs, half_of, order=4, width=6.0):
-    """{id: (bits, kept)} from [(id, text, lang)] of unlike texts; half_of gives the half that a text is in."""
-    base, train = {}, defaultdict(list)
+def fails(t):
+    """Whether a text fails the base rules."""
+    n, _, _, _, again = counts(t)
+    return n < 50 or 100 * again > 50 * n
+
+
+def judged(docs, half_of, chosen, order=4, width=6.0):
+    """{id: (bits, kept)} from [(id, text, lang)]; half_of gives a text's half, chosen holds the (lang, text) that count, once each."""
+    base, train, left = {}, defaultdict(list), set(chosen)
     for i, t, lang in docs:
-        n, chars, _, _, again = counts(t)
-        base[i] = n < 50 or 100 * again > 50 * n
+        _, chars, _, _, _ = counts(t)
+        base[i] = fails(t)
+        if (lang, t) not in left:
+            continue
+        left.discard((lang, t))
         odd, capitals = sum(c in string.punctuation for c in t or ""), sum("A" <= c <= "Z" for c in t or "")
         if not base[i] and odd <= 0.1 * chars and capitals <= 0.2 * chars:
             train[half_of(t), lang].append(t)
@@ -166,7 +175,7 @@ def judged(docs, half_of, order=4, width=6.0):
             bits[i] = sum(-math.log2((own(s[k : k + order]) + whole(s[k : k + order])) / 2) for k in range(len(t) + 1)) / (len(t) + 1)
     out, size = {}, {i: len(t or "") + 1 for i, t, _ in docs}
     for lang in {x for _, _, x in docs}:
-        each = [(round(bits[i], 4), math.sqrt(size[i] / (size[i] + 1000))) for i, _, x in docs if x == lang and i in bits]
+        each = {t: (round(bits[i], 4), math.sqrt(size[i] / (size[i] + 1000))) for i, t, x in docs if (x, t) in chosen and x == lang}.values()
         middle = median(b for b, _ in each) if each else 0
         spread = median(round(abs(b - middle) * w, 4) for b, w in each) if each else 0
         for i, t, x in docs:
