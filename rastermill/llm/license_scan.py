@@ -46,13 +46,20 @@ TEMPLATES = {
 }
 
 
-def licence_files(folder: str = "/usr/share/common-licenses") -> list[tuple[str, str]]:
-    """(label, text) of the full licence texts that many systems have in this folder; empty where it isn't.
+#: The full public licence texts that come with the package.
+LICENCES = Path(__file__).parent / "licences"
+
+
+def licence_files(folder: str | Path = LICENCES) -> list[tuple[str, str]]:
+    """(label, text) of the full licence texts in a folder; a folder without any is an error.
 
     Read on the driver, a few hundred KB.  Links to other files count once.
     """
     files = {p.resolve() for p in Path(folder).glob("*") if p.is_file()}
-    return [(label, p.read_text(errors="replace")) for p in sorted(files) for start, label in FILES.items() if p.name.startswith(start)]
+    found = [(label, p.read_text(errors="replace")) for p in sorted(files) for start, label in FILES.items() if p.name.startswith(start)]
+    if not found:
+        raise FileNotFoundError(f"no licence texts in {folder}")
+    return found
 
 
 @dataclass
@@ -320,5 +327,5 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
 
 
 def op9_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All of `documents` against licence phrases, notices and the full texts that this system has."""
+    """All of `documents` against licence phrases, notices and the full texts that come with the package."""
     return scan_licenses(read_table(spark, sf_dir, "documents"), templates=[*TEMPLATES.items(), *licence_files()]).drop("spans")
