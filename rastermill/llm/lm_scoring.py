@@ -9,8 +9,8 @@ its segments stay a table, the n-grams of pieces of text are sent to their
 segments, probed there, and their levels sent back.  Both ways give the same
 scores.
 
-Probabilities are Dirichlet-smoothed bigrams over add-one unigrams.  Exact
-unigram scores come beside it: the most frequent words are broadcast, in bounded
+Probabilities are Dirichlet-smoothed bigrams over add-one unigrams; all counts
+in them come from the filter.  Exact unigram scores come beside it: the most frequent words are broadcast, in bounded
 number, and the rest meet their counts in a shuffle.
 
 N-grams travel as 64-bit hashes in packed arrays, one row for each segment of
@@ -39,9 +39,14 @@ HELD = 2_000_000
 
 @dataclass(frozen=True)
 class Filter:
-    """Parameters of the filter and of smoothing; a filter above most_bytes is probed in a shuffle instead of a broadcast."""
+    """Parameters of the filter and of smoothing; a filter above most_bytes is probed in a shuffle instead of a broadcast.
+
+    Words get at least bits_per_word for each entry: they are few, and a false
+    hit on a common one would touch all that follows it.
+    """
 
     bits_per_entry: int = 8
+    bits_per_word: int = 24
     probes: int = 5
     most_bytes: int = 128 << 20
     most_frequent: int = 1 << 20
@@ -139,7 +144,7 @@ def _merge(p: Filter):
     def finish(kind: int, segment: int, parts: list) -> pa.RecordBatch:
         keys, n = _sum_by(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
         level = _levels(n)
-        bits = max(64, p.bits_per_entry * int(level.sum()))
+        bits = max(64, max(p.bits_per_entry, (1 - kind) * p.bits_per_word) * int(level.sum()))
         on = np.zeros(-(-bits // 8) * 8, np.uint8)
         for j in range(1, int(level.max()) + 1):
             for place in _bit_places(keys[level >= j], j, _U(bits), p.probes):
@@ -241,9 +246,9 @@ class Piece:
         b, b_first, b_at = np.unique(bi, return_index=True, return_inverse=True)
         return cls(u, u_at, b, b_first, b_at, text, n)
 
-    def scores(self, often: np.ndarray, exact: np.ndarray, u_level: np.ndarray, b_level: np.ndarray, total: int, distinct: int, prior: float) -> np.ndarray:
-        """log10 probability of each text: frequent words count exactly, others and all bigrams as their levels stand for."""
-        c_u = np.where(often, exact, _STANDS_FOR[u_level])
+    def scores(self, u_level: np.ndarray, b_level: np.ndarray, total: int, distinct: int, prior: float) -> np.ndarray:
+        """log10 probability of each text: words and bigrams count as their levels in the filter stand for."""
+        c_u = _STANDS_FOR[u_level]
         p_u = (c_u + 1) / (total + distinct + 1)
         context = np.concatenate([[int(np.searchsorted(self.u, END))], self.u_at[:-1]])
         c_b = _STANDS_FOR[b_level]
@@ -272,7 +277,7 @@ def _score(filter_, frequent, prior: float):
                     p = Piece.of(uni, bi, text, n)
                     u, u_at = p.u, p.u_at
                     often, exact = f.find(u)
-                    score = p.scores(often, exact, filter_.value.levels(u, 0), filter_.value.levels(p.b, 1), f.total, f.distinct, prior)
+                    score = p.scores(filter_.value.levels(u, 0), filter_.value.levels(p.b, 1), f.total, f.distinct, prior)
                 log_u = np.log10(exact + 1.0)
                 logs, known = np.bincount(text, log_u[u_at], n), np.bincount(text[often[u_at]], minlength=n)
                 seldom = ~often[u_at]
@@ -355,7 +360,7 @@ def _assemble(frequent, prior: float):
         rows, p, levels = None, None, [[], []]
 
         def done() -> pa.RecordBatch:
-            score = p.scores(*f.find(p.u), *(np.concatenate(x) for x in levels), f.total, f.distinct, prior)
+            score = p.scores(*(np.concatenate(x) for x in levels), f.total, f.distinct, prior)
             return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(score)], names=["row_id", "score"])
 
         for batch in batches:
