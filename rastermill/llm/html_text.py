@@ -6,7 +6,8 @@ log scale, is smoothed with a Gaussian along the page, and clusters of lines
 above a threshold mark the content region.  The region is the innermost element
 around all of them, so that short lines of the article stay; where they share
 none, an article element decides, and else the stretch from the first to the
-last.  Lines inside menus, headers, footers, adverts, comments and the like
+last.  Parts of a region that are mostly tagged words, such as lists of links,
+and have low smoothed ratios are dropped.  Lines inside menus, headers, footers, adverts, comments and the like
 count nothing and are left out.
 """
 
@@ -41,6 +42,9 @@ LANDMARKS = HOLDERS | {"h1"}
 #: Elements that are one block of text, or part of a list or table.
 PIECES = frozenset("p li h1 h2 h3 h4 h5 h6 blockquote ul ol dl dt dd pre td th tr table tbody thead tfoot figure figcaption".split())
 
+#: Tags on a line from which on its words are tagged themselves: a block's own begin and end are two.
+LINKED = 3
+
 _NAME = re.compile(r"[A-Za-z0-9]+")
 _WHITE = re.compile(r"\s+")
 _NOT, _BY_TAG, _STRONG, _WEAK = range(4)
@@ -117,6 +121,19 @@ class _Lines(HTMLParser):
                 k -= 1
             self._pop_to(k)
 
+    def parse_starttag(self, i: int) -> int:
+        """A tag that nothing closes takes the rest of the page, which a browser drops."""
+        return len(self.rawdata) if self.rawdata.find(">", i) < 0 else super().parse_starttag(i)
+
+    def parse_html_declaration(self, i: int) -> int:
+        """So does a declaration."""
+        return len(self.rawdata) if self.rawdata.find(">", i) < 0 else super().parse_html_declaration(i)
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        """And so does a comment."""
+        end = super().parse_comment(i, report)
+        return len(self.rawdata) if end < 0 else end
+
     def handle_data(self, data: str) -> None:
         if not self.unseen[self.stack[-1]]:
             self.parts.append(data)
@@ -179,15 +196,10 @@ def _boilerplate(page: _Lines) -> list[bool]:
             return out
         if any(not out[k] for k in those):
             continue
-        for k in those:
-            around = []
-            while (k := page.parent[k]) > 0:
-                if page.mark[k] != _NOT:
-                    around.append(k)
-            if all(page.mark[x] in liftable or page.tag[x] == "form" for x in around):
-                for x in around:
-                    lifted[x] = True
-                break
+        stuck = _under(page.parent, [page.mark[k] not in (_NOT, *liftable) and page.tag[k] != "form" for k in range(n)])
+        k = next((k for k in those if not stuck[page.parent[k]]), 0)
+        while k > 0 and (k := page.parent[k]) > 0:
+            lifted[k] = page.mark[k] != _NOT
     return _under(page.parent, [page.mark[k] != _NOT and not lifted[k] for k in range(n)])
 
 
@@ -217,16 +229,16 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     high = usable & (np.maximum(smooth, ratio) >= threshold)
     # short lines that only stand beside long ones don't tell where the text is
     core = usable & (ratio >= threshold)
-    return "\n\n".join(lines[k][0] for k in np.flatnonzero(usable & _region(page, high, core if core.any() else high)).tolist())
+    return "\n\n".join(lines[k][0] for k in np.flatnonzero(usable & _region(page, high, core if core.any() else high, smooth)).tolist())
 
 
-def _region(page: _Lines, high: np.ndarray, core: np.ndarray) -> np.ndarray:
+def _region(page: _Lines, high: np.ndarray, core: np.ndarray, smooth: np.ndarray) -> np.ndarray:
     """Which lines lie in the content region of the high ones, of which the core ones choose the element."""
     at = [k for _, _, k in page.lines]
     root = _innermost_around(page, [k for k, top in zip(at, core, strict=True) if top])
     if root is not None:
         inside = _under(page.parent, [k == root for k in range(len(page.tag))])
-        return np.array([inside[k] for k in at])
+        return np.array([inside[k] for k in at]) & ~_poor(page, root, core, smooth)
     # the high lines share no element: those in articles decide, with what articles stand beside them
     holder = [-1]  # the outermost article around each element
     for k in range(1, len(page.tag)):
@@ -239,6 +251,24 @@ def _region(page: _Lines, high: np.ndarray, core: np.ndarray) -> np.ndarray:
     return (np.arange(len(at)) >= first) & (np.arange(len(at)) <= last)
 
 
+def _poor(page: _Lines, root: int, core: np.ndarray, smooth: np.ndarray) -> np.ndarray:
+    """Which lines lie in a part of the region that is mostly tagged words, such as links, and has less than half the smoothed ratio of the core lines.
+
+    A part is what stands directly below the region's element; an article
+    element is taken as it is, as its author marked what belongs to it.
+    """
+    if page.tag[root] == "article":
+        return np.zeros(len(page.lines), bool)
+    part = [0] * len(page.tag)
+    for k in range(1, len(part)):
+        part[k] = k if page.parent[k] == root else part[page.parent[k]]
+    of = np.array([part[k] for _, _, k in page.lines])
+    tagged = of[np.array([n for _, n, _ in page.lines]) >= LINKED]
+    n_lines = np.bincount(of, minlength=len(part))
+    poor = (np.bincount(tagged, minlength=len(part)) * 2 > n_lines) & (np.bincount(of, smooth, len(part)) < n_lines * smooth[core].mean() / 2)
+    return (poor & (n_lines > 2))[of] & (of > 0)
+
+
 def _innermost_around(page: _Lines, nodes: list[int]) -> int | None:
     """The innermost element around all nodes that is more than a block of text, widened to the article it is in; None if that is the whole page."""
     below = [0] * len(page.tag)

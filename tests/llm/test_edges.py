@@ -2,6 +2,7 @@
 
 import io
 import math
+import re
 import time
 from collections import Counter
 from dataclasses import replace
@@ -487,3 +488,31 @@ def test_deep_pages_take_linear_time(page):
 def test_html_ignores_clashing_columns(spark):
     pages = spark.createDataFrame([(1, "u", f"<p>{LINE}</p>", "own", 5), (1, None, f"<p>{LINE}</p>", None, 6), (None, "u", None, "x", 7)], "page_id long, url string, html string, text string, n_chars int")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html_text.extract_main_text(pages).collect()) == [(0, "", 0), (1, LINE, len(LINE)), (1, LINE, len(LINE))]
+
+
+_LONG = "".join(f"<p>Paragraph {k} has a good many words, as those of an article that says something mostly have.</p>" for k in range(6))
+_LINKS = "".join(f"<li><a href='/{k}'>Item {k}</a></li>" for k in range(8))
+
+
+@pytest.mark.parametrize("html", [f"<main><ul>{_LINKS}</ul><h1>Head</h1>{_LONG}</main>", f"<main><h1>Head</h1>{_LONG}<section><h2>Top stories</h2><ul>{_LINKS}</ul></section></main>"])
+def test_html_drops_link_lists_by_their_ratios(html, monkeypatch):
+    page = f"<html><body><div><p>x</p></div>{html}</body></html>"
+    want = ["Head", *re.findall("<p>(Par.*?)</p>", _LONG)]
+    assert html_text.main_text(page).split("\n\n") == want
+    # the ratios decide it
+    monkeypatch.setattr(html_text, "smoothed_ratios", lambda size, *_: (np.ones(len(size)), np.ones(len(size))))
+    assert html_text.main_text(page).split("\n\n") != want
+
+
+def test_html_keeps_lists_of_the_article():
+    for inner in ("<ul><li>One</li><li>Two</li><li>Three</li></ul>", "<p>Short.</p>", f"<ul><li>{'long words here ' * 9}<a href='/x'>so</a></li></ul>"):
+        for holder in ("main", "article"):
+            text = html_text.main_text(f"<body><{holder}><h1>Head</h1>{_LONG}{inner}</{holder}></body>").split("\n\n")
+            assert len(text) == 7 + max(1, inner.count("<li>"))
+
+
+@pytest.mark.parametrize("tail", ["<a " * 30000, "<!--" * 20000, "<![CDATA[" * 20000, "</a " * 20000, "<div class=ad><p>" * 20000, "<div class=ad><p>x" * 5000])
+def test_html_broken_pages_take_linear_time(tail):
+    begin = time.monotonic()
+    text = html_text.main_text(f"<body><article><h1>Head</h1>{_LONG}</article>{tail}")
+    assert time.monotonic() - begin < 2 and text.startswith("Head\n\nParagraph 0") and "<a" not in text and "<!--" not in text
