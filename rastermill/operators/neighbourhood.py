@@ -32,32 +32,145 @@ def _inside(images: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.join(images.select(KEY, "height", "width"), KEY).where("r >= 0 and c >= 0 and r < height and c < width")
 
 
+def row_spans(mask: DataFrame) -> DataFrame:
+    """Foreground as rows (image_id, r, c0, c1) of consecutive pixels."""
+    group = F.col("c") - F.dense_rank().over(Window.partitionBy(KEY, "r").orderBy("c"))
+    return mask.select(KEY, "r", "c", group.alias("g")).groupBy(KEY, "r", "g").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).drop("g")
+
+
+def span_pixels(spans: DataFrame) -> DataFrame:
+    return spans.select(KEY, "r", F.explode(F.sequence("c0", "c1")).alias("c"))
+
+
+def _clipped(spans: DataFrame, images: DataFrame) -> DataFrame:
+    rows = spans.join(images.select(KEY, "height", "width"), KEY).where("r >= 0 and r < height and c1 >= 0 and c0 < width")
+    kind = dict(spans.dtypes)["c0"]
+    return rows.select(KEY, "r", F.greatest("c0", F.lit(0)).cast(kind).alias("c0"), F.least("c1", F.col("width") - 1).cast(kind).alias("c1"))
+
+
+def _grown(spans: DataFrame, images: DataFrame, n: int) -> DataFrame:
+    """Spans grown by disk(n): each goes to 2n + 1 rows, longer by that row's half width, and those that meet are joined."""
+    shifts = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(math.isqrt(n * n - a * a)).alias("w")) for a in range(-n, n + 1)])
+    rows = spans.select("*", F.explode(shifts).alias("o")).select(KEY, (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c0") - F.col("o.w")).alias("c0"), (F.col("c1") + F.col("o.w")).alias("c1"))
+    line = Window.partitionBy(KEY, "r").orderBy("c0", "c1")
+    so_far = F.max("c1").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    rows = _clipped(rows, images).withColumn("new", F.coalesce(F.col("c0") > so_far + 1, F.lit(True)).cast("int"))
+    rows = rows.withColumn("g", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(KEY, "r", "g").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1")).drop("g")
+
+
+def _gaps(spans: DataFrame, images: DataFrame) -> DataFrame:
+    """What spans leave of their images; each row ends in a span beyond the image."""
+    kinds = dict(spans.dtypes)
+    ends = images.where("height > 0 and width > 0").select(KEY, F.explode(F.sequence(F.lit(0).cast(kinds["r"]), (F.col("height") - 1).cast(kinds["r"]))).alias("r"), F.col("width").cast(kinds["c0"]).alias("c0"), F.col("width").cast(kinds["c1"]).alias("c1"))
+    before = F.lag("c1").over(Window.partitionBy(KEY, "r").orderBy("c0"))
+    rows = _clipped(spans, images).unionByName(ends).select(KEY, "r", F.coalesce(before + 1, F.lit(0)).cast(kinds["c0"]).alias("c0"), (F.col("c0") - 1).alias("c1"))
+    return rows.where("c0 <= c1")
+
+
+def _shrunk(spans: DataFrame, images: DataFrame, n: int) -> DataFrame:
+    return _gaps(_grown(_gaps(spans, images), images, n), images)
+
+
+#: Kernels of more places than this go by spans of rows (masks) or over tiles (values); smaller ones copy each pixel to each place.
+SCATTER_PLACES = 25
+
+
 def dilate(mask: DataFrame, images: DataFrame, n: int = 1) -> DataFrame:
-    """Foreground (image_id, r, c) grown by disk(n)."""
+    """Foreground (image_id, r, c) grown by disk(n).
+
+    Beyond small disks masks travel as spans of their rows: what is shuffled is
+    spans times 2n + 1 rows, not pixels times the disk's area.
+    """
+    if len(disk(n)) > SCATTER_PLACES:
+        return span_pixels(_grown(row_spans(mask), images, n))
     return _inside(images, _scattered(mask, disk(n))).select(KEY, "r", "c").distinct()
 
 
 def erode(mask: DataFrame, images: DataFrame, n: int = 1) -> DataFrame:
-    """Foreground whose disk(n), as far as it lies in the image, is foreground."""
+    """Foreground whose disk(n), as far as it lies in the image, is foreground; by spans it is what the grown background leaves."""
+    if len(disk(n)) > SCATTER_PLACES:
+        return span_pixels(_shrunk(row_spans(mask), images, n))
     there = F.size(F.filter(_offsets(disk(n)), lambda o: (F.col("r") + o["dr"] >= 0) & (F.col("r") + o["dr"] < F.col("height")) & (F.col("c") + o["dc"] >= 0) & (F.col("c") + o["dc"] < F.col("width"))))
     counted = _inside(images, _scattered(mask, disk(n))).groupBy(KEY, "r", "c", "height", "width").agg(F.count("*").alias("k"))
     return counted.where(F.col("k") == there).select(KEY, "r", "c")
 
 
 def opening(mask: DataFrame, images: DataFrame, n: int = 1) -> DataFrame:
+    if len(disk(n)) > SCATTER_PLACES:
+        return span_pixels(_grown(_shrunk(row_spans(mask), images, n), images, n))
     return dilate(erode(mask, images, n), images, n)
 
 
 def closing(mask: DataFrame, images: DataFrame, n: int = 1) -> DataFrame:
+    if len(disk(n)) > SCATTER_PLACES:
+        return span_pixels(_shrunk(_grown(row_spans(mask), images, n), images, n))
     return erode(dilate(mask, images, n), images, n)
 
 
+def _extreme(pixels: DataFrame, images: DataFrame, half_widths: list[int], least: bool) -> DataFrame:
+    """The least or greatest v around each place of an image, over rows -n..n that reach half_widths[k] to either side."""
+    n = len(half_widths) // 2
+    places = [(k - n, b) for k, w in enumerate(half_widths) for b in range(-w, w + 1)]
+    if len(places) <= SCATTER_PLACES:
+        return _inside(images, _scattered(pixels, places, "v")).groupBy(KEY, "r", "c").agg((F.min if least else F.max)("v").alias("v"))
+    reach = max(n, *half_widths)
+    side = max(128, 4 * reach)
+    tiles = lambda x: F.explode(F.sequence(F.floor((F.col(x) - reach) / side), F.floor((F.col(x) + reach) / side)))
+    rows = pixels.where("v is not null").select(KEY, "r", "c", F.col("v").cast("double").alias("v"), tiles("r").alias("tr")).select("*", tiles("c").alias("tc"))
+    rows = rows.where("tr >= 0 and tc >= 0").groupBy(KEY, "tr", "tc").agg(F.collect_list(F.struct(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), "v")).alias("p"))
+    kinds = dict(pixels.dtypes)
+    found = rows.mapInArrow(_tile_extremes(half_widths, reach, side, least), f"{KEY} {kinds[KEY]}, r int, c int, v double")
+    found = found.select(KEY, *[F.col(x).cast(kinds[x]).alias(x) for x in ("r", "c", "v")])
+    return _inside(images, found).select(KEY, "r", "c", "v")
+
+
+def _tile_extremes(half_widths: list[int], reach: int, side: int, least: bool):
+    """Extremes within a tile from its pixels and those up to `reach` around it; running extremes by doubled lengths."""
+    pick, nothing = (np.minimum, np.inf) if least else (np.maximum, -np.inf)
+
+    def along(a: np.ndarray, w: int) -> np.ndarray:
+        length, out = 1, a
+        while length < 2 * w + 1:  # extremes of `length` places from each on
+            step = min(length, 2 * w + 1 - length)
+            out = pick(out[:, : out.shape[1] - step], out[:, step:])
+            length += step
+        return out[:, reach - w : reach - w + side]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                top, left = batch.column("tr")[k].as_py() * side, batch.column("tc")[k].as_py() * side
+                p = batch.column("p")[k].values
+                r, c, v = (p.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                a = np.full((side + 2 * reach, side + 2 * reach), nothing)
+                pick.at(a, (r - top + reach, c - left + reach), v)
+                out, by_width = np.full((side, side), nothing), {}
+                n = len(half_widths) // 2
+                for i, w in enumerate(half_widths):
+                    if w not in by_width:
+                        by_width[w] = along(a, w)
+                    first = reach + i - n
+                    out = pick(out, by_width[w][first : first + side])
+                rr, cc = np.nonzero(out != nothing)
+                ids = batch.column(0).take(pa.array(np.full(len(rr), k)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array((rr + top).astype(np.int32)), pa.array((cc + left).astype(np.int32)), pa.array(out[rr, cc])], names=[KEY, "r", "c", "v"])
+
+    return run
+
+
+def _disk_widths(n: int) -> list[int]:
+    return [math.isqrt(n * n - a * a) for a in range(-n, n + 1)]
+
+
 def gray_erode(pixels: DataFrame, images: DataFrame, n: int = 1) -> DataFrame:
-    return _inside(images, _scattered(pixels, disk(n), "v")).groupBy(KEY, "r", "c").agg(F.min("v").alias("v"))
+    """The least value of each place's disk(n), as far as it lies in the image."""
+    return _extreme(pixels, images, _disk_widths(n), True)
 
 
 def gray_dilate(pixels: DataFrame, images: DataFrame, n: int = 1) -> DataFrame:
-    return _inside(images, _scattered(pixels, disk(n), "v")).groupBy(KEY, "r", "c").agg(F.max("v").alias("v"))
+    """The greatest value of each place's disk(n), as far as it lies in the image."""
+    return _extreme(pixels, images, _disk_widths(n), False)
 
 
 def white_tophat(pixels: DataFrame, images: DataFrame, n: int = 1) -> DataFrame:
@@ -68,8 +181,7 @@ def white_tophat(pixels: DataFrame, images: DataFrame, n: int = 1) -> DataFrame:
 
 def local_maxima(pixels: DataFrame, images: DataFrame, distance: int, threshold: float | None = None) -> DataFrame:
     """Pixels that no pixel within `distance` on either axis exceeds, above the threshold (default: their image's minimum)."""
-    square = [(a, b) for a in range(-distance, distance + 1) for b in range(-distance, distance + 1)]
-    top = _inside(images, _scattered(pixels, square, "v")).groupBy(KEY, "r", "c").agg(F.max("v").alias("top"))
+    top = _extreme(pixels, images, [distance] * (2 * distance + 1), False).withColumnRenamed("v", "top")
     out = pixels.join(top, [KEY, "r", "c"]).where("v = top")
     if threshold is None:
         return out.join(pixels.groupBy(KEY).agg(F.min("v").alias("least")), KEY).where("v > least").select(KEY, "r", "c", "v")
@@ -178,21 +290,39 @@ def squared_distances(mask: DataFrame, images: DataFrame) -> DataFrame:
 def _along_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The least (c - k)^2 + g[k]^2 over a row's columns k, at the row's foreground; g is -1 in columns without background."""
     for batch in batches:
-        ids, at, where, found = [], [], [], []
+        ids, where, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k, (g, on) in enumerate(zip(batch.column("g"), batch.column("on"), strict=True)):
-            g, on = np.array(g.as_py(), np.int64), np.array(on.as_py())
-            square = np.where(g < 0, np.iinfo(np.int64).max // 2, g * g)
-            best, far = square.copy(), 1
-            # a column so far away is no longer nearer than what every pixel has
-            while far < len(square) and far * far < best[on].max(initial=0):
-                best[far:] = np.minimum(best[far:], square[:-far] + far * far)
-                best[:-far] = np.minimum(best[:-far], square[far:] + far * far)
-                far += 1
+            g, on = g.values.to_numpy(zero_copy_only=False).astype(np.int64), on.values.to_numpy(zero_copy_only=False)
             c = np.flatnonzero(on)
             ids.append(np.full(len(c), k))
             where.append(c)
-            found.append(best[c])
-        at = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-        d2 = np.concatenate(found) if found else np.zeros(0, np.int64)
-        take = pa.array(at)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(where) if where else at, pa.int32()), pa.array(d2, mask=d2 >= np.iinfo(np.int64).max // 2)], names=[KEY, "r", "c", "d2"])
+            found.append(_least_parabola(g)[c])
+        take, d2 = pa.array(np.concatenate(ids)), np.concatenate(found)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(where), pa.int32()), pa.array(d2, mask=d2 < 0)], names=[KEY, "r", "c", "d2"])
+
+
+def _least_parabola(g: np.ndarray) -> np.ndarray:
+    """For each column c the least (c - k)^2 + g[k]^2 over the columns k with g[k] >= 0; -1 if there are none.
+
+    The first best k never falls as c grows.  So columns are settled by halves:
+    one between two settled ones looks only at what lies between their best
+    ones, and each of the log(n) levels looks at about n places in all.
+    """
+    n, ks = len(g), np.flatnonzero(g >= 0)
+    if not len(ks):
+        return np.full(n, -1, np.int64)
+    height, best, out = g[ks] ** 2, np.zeros(n + 2, np.int64), np.zeros(n, np.int64)
+    best[n + 1] = len(ks) - 1  # best[c + 1] is column c's; the ends bound all
+    step = 1 << max(n.bit_length() - 1, 0)
+    while step:
+        c = np.arange(step - 1, n, 2 * step)
+        lo, hi = best[c + 1 - step], best[np.minimum(c + 1 + step, n + 1)]
+        size = hi - lo + 1
+        start = np.cumsum(size) - size
+        k = np.arange(size.sum()) - np.repeat(start - lo, size)
+        value = (np.repeat(c, size) - ks[k]) ** 2 + height[k]
+        least = np.minimum.reduceat(value, start)
+        first = np.where(value == np.repeat(least, size), k, len(ks))
+        best[c + 1], out[c] = np.minimum.reduceat(first, start), least
+        step //= 2
+    return out

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,12 +51,36 @@ def file_frame(spark: SparkSession, files: list[str]) -> DataFrame:
     return spark.createDataFrame([(f,) for f in files], "filename string")
 
 
+#: Rows of one Arrow batch of pixels.
+BATCH_ROWS = 1 << 18
+
+
 def pixels(images: DataFrame, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
-    """Rows (keys, r, c, ch, v), channels in RGB order, from bytes in BGR order."""
-    values = F.transform(F.sequence(F.lit(1), F.length("data")), lambda i: F.conv(F.hex(F.substring(F.col("data"), i, F.lit(1))), 16, 10).cast("int"))
-    rows = images.select(*keys, "width", "n_channels", F.posexplode(values).alias("p", "v"))
-    ch = F.col("p") % F.col("n_channels")
-    return rows.select(*keys, F.expr("p div (width * n_channels)").cast("int").alias("r"), F.expr("(p div n_channels) % width").cast("int").alias("c"), F.when(F.col("n_channels") >= 3, F.when(ch < 3, 2 - ch).otherwise(ch)).otherwise(ch).cast("int").alias("ch"), F.col("v").cast("double").alias("v"))
+    """Rows (keys, r, c, ch, v), channels in RGB order, from bytes in BGR order; an image at a time is unpacked by numpy."""
+    rows = images.select(*keys, "width", "n_channels", "data")
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(_unpacked(keys), ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", r int, c int, ch int, v double")
+
+
+def _unpacked(keys: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(k) for k in keys]
+            for i, (width, n_channels, data) in enumerate(zip(*(batch.column(c) for c in ("width", "n_channels", "data")), strict=True)):
+                if not (width.is_valid and n_channels.is_valid and data.is_valid):
+                    continue
+                width, depth = width.as_py(), n_channels.as_py()
+                values = np.frombuffer(data.as_buffer(), np.uint8)
+                for start in range(0, len(values), BATCH_ROWS):
+                    p = np.arange(start, min(start + BATCH_ROWS, len(values)))
+                    place, ch = np.divmod(p, depth)
+                    ch = np.where((ch < 3) & (depth >= 3), 2 - ch, ch)
+                    r, c = np.divmod(place, width)
+                    of = pa.array(np.full(len(p), i))
+                    arrays = [*(x.take(of) for x in columns), *(pa.array(x.astype(np.int32)) for x in (r, c, ch)), pa.array(values[p].astype(np.float64))]
+                    yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "r", "c", "ch", "v"])
+
+    return run
 
 
 def channels(pixel_rows: DataFrame, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
