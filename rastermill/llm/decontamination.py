@@ -1,9 +1,11 @@
 """Benchmark decontamination with suffix arrays of the training text.
 
 Each task cuts its documents into shards, sorts a shard's word suffixes, and
-binary-searches every suffix of every benchmark text in it, word after word
+binary-searches the suffixes of the benchmark texts in it, word after word
 until no training suffix goes on: that is the suffix's longest verbatim match,
-and the run of sorted suffixes it leaves are its places.  Matches of a window
+and the run of sorted suffixes it leaves are its places.  Suffixes whose first
+window of words doesn't stand in the shard, by its hash, can't match and aren't
+searched, and a shard without any is not sorted; `lookup=False` searches all.  Matches of a window
 or more are kept with item, place and length, and documents with any can then
 be removed.
 """
@@ -67,21 +69,36 @@ class SuffixArray:
         same[1:-1] = level[1:] == level[:-1]
         return same[1:] | same[:-1]
 
-    def longest(self, rank: np.ndarray, at: np.ndarray, left: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For query suffixes that begin at places `at` of rank: words of the longest match, the run of sorted suffixes that have it, and the run of those that match the first `need` words."""
+    def longest(self, rank: np.ndarray, at: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For query suffixes that begin at places `at` of rank: words of the longest match of up to `left` words, and the run of sorted suffixes that have it."""
         lo, hi = np.zeros(len(at), np.int64), np.full(len(at), len(self.order), np.int64)
-        run_lo, run_hi, length = np.zeros_like(lo), np.zeros_like(lo), np.zeros_like(lo)
-        on, d = np.arange(len(at)), 0
+        length = np.zeros_like(lo)
+        on, d = np.flatnonzero(left > 0), 0
         while len(on):
             word = rank[at[on] + d] + 1
             a, b = self._bound(lo[on], hi[on], d, word, False), self._bound(lo[on], hi[on], d, word, True)
             found = (a < b) & (word > 0)
             on, d = on[found], d + 1
             lo[on], hi[on], length[on] = a[found], b[found], d
-            whole = on[need[on] == d]
-            run_lo[whole], run_hi[whole] = lo[whole], hi[whole]
             on = on[left[on] > d]
-        return length, lo, hi, run_lo, run_hi
+        return length, lo, hi
+
+    def without_before(self, lo: np.ndarray, hi: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(k, i) for the sorted suffixes i in lo[k]..hi[k] that don't follow the word before[k].
+
+        Sorted suffixes are taken in stretches that follow one word.  Of two
+        neighbouring stretches one is wanted, so that no more than twice the
+        wanted ones are looked at, however long the runs are.
+        """
+        word = np.where(self.order > 0, self.seq[self.order - 1], -3)
+        first = np.flatnonzero(np.concatenate([np.ones(1, bool), word[1:] != word[:-1]]))
+        b0, b1 = np.searchsorted(first, lo, "right") - 1, np.searchsorted(first, hi - 1, "right")
+        k, stretch = _ranges(b0, b1 - b0)
+        wanted = word[first[stretch]] != before[k]
+        k, stretch = k[wanted], stretch[wanted]
+        start, end = np.maximum(first[stretch], lo[k]), np.minimum(np.append(first, len(word))[stretch + 1], hi[k])
+        of, i = _ranges(start, end - start)
+        return k[of], i
 
     def _bound(self, lo: np.ndarray, hi: np.ndarray, d: int, word: np.ndarray, after: bool) -> np.ndarray:
         lo, hi = lo.copy(), hi.copy()
@@ -95,6 +112,11 @@ class SuffixArray:
         return lo
 
 
+def _ranges(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(k, i) for the n[k] numbers i from first[k] on."""
+    return np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first, n)
+
+
 def _run_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     """A hash of the n words from each place on, where n are left."""
     out = np.zeros(max(len(hashes) - n + 1, 0), _U)
@@ -155,23 +177,23 @@ def _among(some: np.ndarray, others: np.ndarray) -> np.ndarray:
 _FIELDS = ("text", "item", "item_first", "first", "words")
 
 
-def shard_matches(words: Words, q: Queries) -> np.ndarray:
+def shard_matches(words: Words, q: Queries, lookup: bool = True) -> np.ndarray:
     """Rows of _FIELDS for every verbatim match of a window or more that can't go on to either side in its item and text."""
-    at = q.present(words)
-    if not len(at):
+    at = q.present(words) if lookup else np.flatnonzero(q.need > 0)
+    if not len(at) or not len(words.hash):
         return np.zeros((0, len(_FIELDS)), np.int64)
     array = SuffixArray(words.hash, words.offsets, int(q.left[at].max()))
     place = np.minimum(np.searchsorted(array.words, q.hashes), len(array.words) - 1)
     rank = np.where(array.words[place] == q.hashes, place, -2)
-    longest, lo, hi, run_lo, run_hi = array.longest(rank, at, q.left[at], q.need[at])
-    n = run_hi - run_lo
-    of = np.repeat(np.arange(len(at)), n)
-    nth = np.repeat(run_lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    suffix, here, item = at[of], array.order[nth], q.item[at[of]]
-    # a match begins where the words before differ, or where the item does
-    begins = (suffix == q.first[item]) | (array.seq[here - 1] != rank[suffix - 1] + 1) | (here == 0)
-    of, nth, suffix, here, item = (x[begins] for x in (of, nth, suffix, here, item))
-    top = (nth >= lo[of]) & (nth < hi[of])
+    window, run_lo, run_hi = array.longest(rank, at, q.need[at])
+    whole = window == q.need[at]
+    at, run_lo, run_hi = at[whole], run_lo[whole], run_hi[whole]
+    # a match begins where the words before differ, or where the item or the text does
+    of, nth = array.without_before(run_lo, run_hi, np.where(at == q.first[q.item[at]], -2, rank[at - 1] + 1))
+    starts, of = np.unique(of, return_inverse=True)
+    longest, lo, hi = array.longest(rank, at[starts], q.left[at[starts]])
+    suffix, here = at[starts][of], array.order[nth]
+    item, top = q.item[suffix], (nth >= lo[of]) & (nth < hi[of])
     length = np.where(top, longest[of], q.need[suffix])
     on = np.flatnonzero(~top)
     while len(on):  # places of the window that don't have the suffix's longest match
