@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.store import Scratch, read_table
-from .words import SPACED, chunks, mix64, ngram_hashes, split_words, text_bytes
+from .words import SPACED, chunks, marked, mix64, ngram_hashes, split_words
 
 _U = np.uint64
 #: Bits a symbol: no language's robust deviation counts as less, so that a group of near copies can't close its band.
@@ -53,13 +54,52 @@ HELD = 400_000
 _SYMBOL_BYTES = np.isin(np.arange(256), [ord(c) for c in "#*$%&|<>"])
 _PUNCTUATION = np.array([33 <= b < 127 and not chr(b).isalnum() for b in range(256)])
 _CAPITALS = np.array([65 <= b <= 90 for b in range(256)])
-_LINE = np.arange(256) != 10
 
 
-def _per_text(values: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Sums of values by text; off as in `chunks`."""
-    total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
-    return total[off[1:]] - total[off[:-1]]
+def _per_text(which: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """How many bytes of each text are marked; off as in `chunks`."""
+    out, full = np.zeros(len(off) - 1, np.int64), np.flatnonzero(off[1:] > off[:-1])
+    if len(full):
+        out[full] = np.add.reduceat(which.view(np.uint8), off[full], dtype=np.int64)
+    return out
+
+
+def _dup_lines(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Lines of each text that have a word and equal an earlier one."""
+    out, raw, edge = np.zeros(len(off) - 1, np.int64), data.tobytes(), off.tolist()
+    for t in np.flatnonzero(_per_text(data == 10, off)).tolist():
+        lines = [x for x in raw[edge[t] : edge[t + 1]].split(b"\n") if x and not x.isspace()]
+        out[t] = len(lines) - len(set(lines))
+    return out
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where one of each group of equal keys is, and the number of each key's group.
+
+    Each key writes its place into a slot, and those that find an equal key there
+    are done; keys that lost their slot take others, so that nothing is sorted.
+    """
+    at, left = np.arange(len(keys)), None
+    bits = max(10, len(keys).bit_length())
+    for turn in range(4):
+        some = keys if left is None else keys[left]
+        slot = ((some * (mix64(np.array([turn + 1], _U)) | _U(1))) >> _U(64 - bits)).astype(np.int64)
+        own = np.empty(1 << bits, np.int64)
+        own[slot] = at if left is None else left
+        found = own[slot]
+        lost = keys[found] != some
+        if left is None:
+            at, left = found, np.flatnonzero(lost)
+        else:
+            at[left] = found
+            left = left[lost]
+        if not len(left):
+            break
+    if len(left):
+        _, first, which = np.unique(keys[left], return_index=True, return_inverse=True)
+        at[left] = left[first][which]
+    one = at == np.arange(len(keys))
+    return np.flatnonzero(one), (np.cumsum(one) - 1)[at]
 
 
 def text_counts(data: np.ndarray, off: np.ndarray, n_forms: int = BANDS * ROWS) -> dict[str, np.ndarray]:
@@ -71,39 +111,30 @@ def text_counts(data: np.ndarray, off: np.ndarray, n_forms: int = BANDS * ROWS)
     n = len(off) - 1
     words = split_words(data, off, SPACED, False)
     starts_character = (data & 0xC0) != 0x80
-    lines = split_words(data, off, _LINE, False)
-    has_word = np.searchsorted(words.start, lines.end) > np.searchsorted(words.start, lines.start)
-    text, line = lines.text_of()[has_word], lines.hash[has_word]
-    order = np.lexsort((line, text))
-    same = (text[order][1:] == text[order][:-1]) & (line[order][1:] == line[order][:-1])
-    dup_lines = np.bincount(text[order][1:][same], minlength=n)
     window, at_text = ngram_hashes(words, 3)
     repeat, forms = np.zeros(n, np.int64), np.zeros((n, n_forms), np.int64)
     if len(window):
-        own, at = np.unique(at_text, return_index=True)
+        at = np.flatnonzero(np.concatenate([[True], at_text[1:] != at_text[:-1]]))
+        own = at_text[at]
         for k in range(n_forms):
             forms[own, k] = np.minimum.reduceat(window * factors[k], at).view(np.int64)
         where = words.text_of()
         first = np.flatnonzero(where[: len(where) - 2] == where[2:])
-        order = np.lexsort((window, at_text))
-        same = (at_text[order][1:] == at_text[order][:-1]) & (window[order][1:] == window[order][:-1])
-        again = np.zeros(len(window), bool)
-        again[1:] |= same
-        again[:-1] |= same
-        hit = first[order[again]]
+        _, which = distinct(window ^ mix64(at_text.astype(_U)))
+        hit = first[np.bincount(which)[which] > 1]
         covered = np.zeros(len(where), bool)
         for k in range(3):
             covered[hit + k] = True
         repeat = np.bincount(where[covered], minlength=n)
-    word_chars = _per_text(SPACED[data] & starts_character, off)
+    word_chars = _per_text(marked(data, SPACED) & starts_character, off)
     return {
         "n_words": words.counts,
         "word_chars": word_chars,
-        "n_symbols": _per_text(_SYMBOL_BYTES[data], off),
-        "n_dup_lines": dup_lines,
+        "n_symbols": _per_text(marked(data, _SYMBOL_BYTES), off),
+        "n_dup_lines": _dup_lines(data, off),
         "n_repeat_words": repeat,
         "forms": forms,
-        "prose": (_per_text(_PUNCTUATION[data], off) <= MOST_PUNCTUATION * word_chars) & (_per_text(_CAPITALS[data], off) <= MOST_CAPITALS * word_chars),
+        "prose": (_per_text(marked(data, _PUNCTUATION), off) <= MOST_PUNCTUATION * word_chars) & (_per_text(marked(data, _CAPITALS), off) <= MOST_CAPITALS * word_chars),
     }
 
 
@@ -120,7 +151,8 @@ def _hash(columns) -> np.ndarray:
     """Hashes of n-grams of one order, given by the code points at each of their places."""
     h = np.full(len(columns[0]) if len(columns) else 0, len(columns) + 1, _U)
     for points in columns:
-        h = h * _U(0xD6E8FEB86659FD93) + points
+        h *= _U(0xD6E8FEB86659FD93)
+        h += points
     return h
 
 
@@ -165,11 +197,11 @@ def _counts(order: int):
 
     def passed_on(held: list) -> pa.RecordBatch:
         keys, grams, which, n = (np.concatenate(x) for x in zip(*held[1], strict=True))
-        keys, first, at = np.unique(keys, return_index=True, return_inverse=True)
-        names = list(held[0])
+        first, at = distinct(keys)
+        halves, names = (pa.array(x, t) for x, t in zip(zip(*held[0], strict=True), (pa.int32(), pa.string()), strict=True))
         grams = np.ascontiguousarray(grams[first]).astype(np.uint32).view(f"<U{grams.shape[1]}").ravel()
-        which = which[first]
-        return pa.RecordBatch.from_arrays([pa.array([names[k][0] for k in which], pa.int32()), pa.array([names[k][1] for k in which], pa.string()), pa.array(grams, pa.string()), pa.array(np.bincount(at, n).astype(np.int64))], names=["half", "model", "gram", "n"])
+        which = pa.array(which[first])
+        return pa.RecordBatch.from_arrays([halves.take(which), names.take(which), pa.array(grams, pa.string()), pa.array(np.bincount(at, n).astype(np.int64))], names=["half", "model", "gram", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = [{}, []]
@@ -180,9 +212,10 @@ def _counts(order: int):
             for i, j in _pieces(texts):
                 seq, at, hashed, text = _symbols(texts[i:j], order)
                 which = np.array([held[0].setdefault(m, len(held[0])) for m in models[i:j]])[text]
-                keys, first, n = np.unique(hashed ^ mix64(which.astype(_U)), return_index=True, return_counts=True)
-                held[1].append((keys, seq[at[first][:, None] + np.arange(order)].astype(np.uint32), which[first], n))
-                size += len(keys)
+                keys = hashed ^ mix64(np.arange(len(held[0]), dtype=_U))[which]
+                first, group = distinct(keys)
+                held[1].append((keys[first], seq[at[first][:, None] + np.arange(order)].astype(np.uint32), which[first], np.bincount(group)))
+                size += len(first)
                 if size > HELD:
                     yield passed_on(held)
                     held, size = [{}, []], 0
@@ -264,11 +297,27 @@ class KneserNey:
         by = np.argsort(keys)
         return cls(order, keys[by], table.column("p").to_numpy()[by], table.column("rest").to_numpy()[by])
 
+    @cached_property
+    def _begin(self) -> tuple[np.uint64, np.ndarray]:
+        """Where keys of each beginning start, so that a search has few steps; and the bits that follow a beginning."""
+        bits = max(1, len(self.keys).bit_length())
+        after = _U(64 - bits)
+        return after, np.searchsorted(self.keys, np.arange(1 << bits, dtype=_U) << after).astype(np.int32)
+
     def _find(self, wanted: np.ndarray, values: np.ndarray, missing: float) -> np.ndarray:
+        out = np.full(len(wanted), missing)
         if not len(self.keys):
-            return np.full(len(wanted), missing)
-        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        return np.where(self.keys[at] == wanted, values[at], missing).astype(np.float64)
+            return out
+        after, begin = self._begin
+        at, left, last = begin[wanted >> after], np.arange(len(wanted)), len(self.keys) - 1
+        while len(left):
+            np.minimum(at, last, out=at)
+            here = self.keys[at]
+            same = here == wanted
+            out[left[same]] = values[at[same]]
+            more = (here < wanted) & (at < last)
+            left, wanted, at = left[more], wanted[more], at[more] + 1
+        return out
 
     def probability(self, grams: np.ndarray, salt: np.ndarray) -> np.ndarray:
         """P(last symbol | the others): of the longest n-gram that was seen, times what longer contexts leave."""
@@ -294,7 +343,7 @@ def text_bits(m: KneserNey, texts: list[str], halves: list[int], names: list[str
         models = [(1 - h, x) for h, x in zip(halves[i:j], names[i:j], strict=True)]
         own = np.array([salts.setdefault(x, _salt(*x)) for x in models], _U)[text]
         every = np.array([_salt(0, ALL), _salt(1, ALL)], _U)[1 - np.array(halves[i:j])][text]
-        _, first, at = np.unique(hashed ^ own, return_index=True, return_inverse=True)
+        first, at = distinct(hashed ^ own)
         grams, own, every = seq[begin[first][:, None] + np.arange(m.order)], own[first], every[first]
         bits = -np.log2((m.probability(grams, own) + m.probability(grams, every)) / 2)[at]
         out[i:j] = np.bincount(text, bits, j - i) / np.bincount(text, minlength=j - i)
@@ -308,7 +357,7 @@ def _wanted(order: int, texts: list[str], halves: list[int], names: list[str]) -
         seq, begin, hashed, text = _symbols(texts[i:j], order)
         own = np.array([salts.setdefault((1 - h, x), _salt(1 - h, x)) for h, x in zip(halves[i:j], names[i:j], strict=True)], _U)[text]
         every = np.array([_salt(0, ALL), _salt(1, ALL)], _U)[1 - np.array(halves[i:j])][text]
-        _, first = np.unique(hashed ^ own, return_index=True)
+        first, _ = distinct(hashed ^ own)
         grams = seq[begin[first][:, None] + np.arange(order)]
         for salt in (own[first], every[first]):
             out += [np.unique(_key(grams[:, order - k : order - end], salt)) for k in range(1, order + 1) for end in (0, 1)]

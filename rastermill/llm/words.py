@@ -70,6 +70,11 @@ class Words:
         return np.repeat(np.arange(len(self)), self.counts)
 
 
+def marked(data: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Whether each byte is of the byte class; kind[data], without making each byte an index."""
+    return np.frombuffer(data.tobytes().translate(kind.tobytes()), bool)
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string array and the n + 1 offsets; a null has no bytes."""
     if isinstance(texts, pa.ChunkedArray):
@@ -116,7 +121,7 @@ def word_spans(data: np.ndarray, cuts: np.ndarray, kind: np.ndarray) -> tuple[np
     """First byte and byte after the last of each word; words don't run over cuts, where texts begin."""
     n = len(data)
     inside = np.zeros(n + 1, dtype=bool)
-    inside[:n] = kind[data]
+    inside[:n] = marked(data, kind)
     first = inside.copy()
     cut = np.zeros(n + 1, dtype=bool)
     cut[cuts] = True

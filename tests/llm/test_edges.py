@@ -9,7 +9,9 @@ from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from rastermill.llm import decontamination, html_text, license_scan, lm_scoring, mixing, quality_classifier, quality_rules, sharding, token_files
@@ -204,6 +206,34 @@ def test_rules(spark, docs):
     assert sorted((str(r.doc_id), r.n_words) for r in rows) == sorted((str(d.doc_id), brute.counts(d.text)[0]) for d in docs.collect())
 
 
+def test_groups_of_equal_keys():
+    rng = np.random.default_rng(5)
+    for keys in (np.zeros(0, np.uint64), np.zeros(9, np.uint64), np.arange(5000, dtype=np.uint64), rng.integers(0, 700, 60_000).astype(np.uint64) << np.uint64(50)):
+        first, which = quality_rules.distinct(keys)
+        assert len({*keys.tolist()}) == len(first) == len({*keys[first].tolist()}) and (keys[first][which] == keys).all()
+
+
+def test_judging_texts_costs_few_sorts_of_their_ngrams(sf_dir):
+    texts = [r for r in pq.read_table(f"{sf_dir}/documents.parquet", columns=["text"])["text"].to_pylist() if r]
+    data, off = text_bytes(pa.array(texts))
+    rng = np.random.default_rng(6)
+    keys, names = rng.integers(0, 1 << 63, 1_000_000).astype(np.uint64), ["of en"] * len(texts)
+    model = quality_rules.KneserNey.of(4, pa.table({"key": keys.view(np.int64), "p": np.ones(len(keys), np.float32), "rest": np.ones(len(keys), np.float32)}))
+    hashed = quality_rules._symbols(texts, 4)[2]
+
+    def seconds(work) -> float:
+        took = []
+        for _ in range(4):
+            began = time.process_time()
+            work()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    batch = pa.RecordBatch.from_pydict({"half": pa.array([0] * len(texts), pa.int32()), "model": names, "packed": [zstandard.ZstdCompressor(level=1).compress(t.encode()) for t in texts]})
+    own = seconds(lambda: (quality_rules.text_counts(data, off), [*quality_rules._counts(4)([batch])], quality_rules.text_bits(model, texts, [0] * len(texts), names)))
+    assert own < 5 * seconds(lambda: np.unique(hashed, return_index=True, return_inverse=True))
+
+
 def test_copies_of_one_text_do_not_close_a_band(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'").dropDuplicates(["text"]).select("doc_id", "text", "lang").collect()
     schema = "doc_id long, text string, lang string"
