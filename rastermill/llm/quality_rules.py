@@ -515,21 +515,25 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"model": batch.column("model"), "text_hash": batch.column("text_hash"), "packed": pa.array(packed, pa.binary())})
 
 
-def _score(model):
+def _score(model, place: int | None):
+    """Counts and bits of texts, which are a column or, so that they come once only, in this place of the struct `row`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             carried = [c for c in batch.schema.names if c != "text"]
-            for i, j, data, off in chunks(batch.column("text")):
+            column = batch.column("text") if place is None else batch.column("row").field(place)
+            for i, j, data, off in chunks(column):
                 some, found = batch.slice(i, j - i), text_counts(data, off, 1)
                 failed = _failed(found)
                 at = np.flatnonzero(~failed)
-                texts = some.column("text").take(pa.array(at)).to_pylist()
+                texts = column.slice(i, j - i).take(pa.array(at)).to_pylist()
                 bits, symbols = np.full(j - i, np.nan), np.zeros(j - i, np.int64)
                 if model is not None:
                     bits[at] = text_bits(model.value, texts, half_of(found["forms"])[at].tolist(), some.column("model").take(pa.array(at)).to_pylist())
                 symbols[at] = [len(t) + 1 for t in texts]
                 out = {c: some.column(c) for c in carried} | {c: pa.array(found[c].astype(np.int64)) for c in _BASE}
                 yield pa.RecordBatch.from_pydict(out | {"base_failed": pa.array(failed), "bits": pa.array(bits, from_pandas=True), "symbols": pa.array(symbols)})
+        pa.default_memory_pool().release_unused()  # the worker lives on, beside the stages to come
 
     return run
 
@@ -553,11 +557,10 @@ def quality_rules(docs: DataFrame, order: int = 4, width: float = 6.0, scratch:
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "quality")
     text, lang = F.col(text_col), F.col(lang_col)
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("of "), lang), F.lit("none")).alias("model"), F.xxhash64(text).alias("text_hash"), text.alias("text"),
-        *([F.struct("*").alias("row")] if keep else []),
-    )
-    texts = rows.where("text is not null").select("model", "text_hash", "text")
+    place = docs.columns.index(text_col) if keep and text_col in docs.columns else None
+    keys = [F.coalesce(F.concat(F.lit("of "), lang), F.lit("none")).alias("model"), F.xxhash64(text).alias("text_hash")]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keys, *([F.struct("*").alias("row")] if keep else []), *([text.alias("text")] if place is None else []))
+    texts = docs.select(*keys, text.alias("text")).where("text is not null")
     # of texts that share a band one stays, for one band after another
     single = texts.mapInArrow(_candidates, "model string, text_hash long, odd boolean, half int, bands array<long>")
     for k in range(BANDS):
@@ -577,9 +580,12 @@ def quality_rules(docs: DataFrame, order: int = 4, width: float = 6.0, scratch:
         rows = scratch.save(rows.withColumn("row_id", F.monotonically_increasing_id()), "numbered")
     model = spark.sparkContext.broadcast(KneserNey.of(order, fitted.toArrow())) if small else None
     carried = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
-    scored = scratch.save(rows.mapInArrow(_score(model), f"{carried}, {', '.join(f'{c} long' for c in _BASE)}, base_failed boolean, bits double, symbols long"), "scored")
-    if not small:
-        bits = _bits_by_shuffle(rows.select("row_id", "model", "text"), fitted, order, scratch)
+    scored = scratch.save(rows.mapInArrow(_score(model, place), f"{carried}, {', '.join(f'{c} long' for c in _BASE)}, base_failed boolean, bits double, symbols long"), "scored")
+    if small:
+        model.unpersist()
+    else:
+        whole = F.col("text") if place is None else F.col("row").getField(text_col)
+        bits = _bits_by_shuffle(rows.select("row_id", "model", whole.alias("text")), fitted, order, scratch)
         scored = scratch.save(scored.drop("bits").join(bits, "row_id", "left"), "rescored")
     # rounded, a language has a bounded number of different values, so that exact percentiles are cheap
     weight = F.sqrt(F.greatest("symbols", F.lit(1)) / (F.col("symbols") + SHORT))

@@ -80,10 +80,11 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string())
-    if texts.null_count:
-        texts = texts.fill_null("")
     _, offsets, data = texts.buffers()
     off = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    # a null's place may hold bytes, though Spark's doesn't; only then are the others copied
+    if texts.null_count and np.diff(off)[texts.is_null().to_numpy(zero_copy_only=False)].any():
+        return text_bytes(texts.fill_null(""))
     raw = np.frombuffer(data, dtype=np.uint8)[off[0] : off[-1]] if data is not None and len(texts) else np.zeros(0, np.uint8)
     return raw, (off - off[0]) if len(off) else np.zeros(1, np.int64)
 

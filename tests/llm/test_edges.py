@@ -287,6 +287,26 @@ def test_any_number_of_languages_have_models(spark, sf_dir):
     assert len(rows) == docs.count() and len(bands) == len({x for x, _ in bands}) > 40
 
 
+def test_texts_are_carried_and_held_once(spark, sf_dir):
+    class Watched(Scratch):
+        def save(self, df, name):
+            if name == "scored":
+                self.sent = df._jdf.queryExecution().analyzed().children().head().output().mkString(" ")
+            return super().save(df, name)
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scratch = Watched(spark, "watched")
+    rows = {r.doc_id: (r.n_words, r.row.text) for r in quality_rules.quality_rules(docs, scratch=scratch, keep=True).collect()}
+    assert "row#" in scratch.sent and "text#" not in scratch.sent
+    assert rows == {r.doc_id: (brute.counts(r.text)[0], r.text) for r in docs.collect()}
+    texts = pa.array(["a", None, "bc"], pa.large_string())
+    raw, off = text_bytes(texts)
+    assert off.tolist() == [0, 1, 1, 3] and raw.ctypes.data == texts.buffers()[2].address
+    hidden = pa.Array.from_buffers(pa.large_string(), 3, [pa.py_buffer(b"\x05"), pa.py_buffer(np.arange(4).tobytes()), pa.py_buffer(b"axb")])
+    raw, off = text_bytes(hidden)
+    assert raw.tobytes() == b"ab" and off.tolist() == [0, 1, 1, 2]
+
+
 def test_verdicts_by_shuffle_are_the_same(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     both = [sorted((r.doc_id, r.kept, r.bits and round(r.bits, 9)) for r in quality_rules.quality_rules(docs, most_grams=n).collect()) for n in (quality_rules.MOST_GRAMS, 0)]
