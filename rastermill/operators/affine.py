@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import shuffled
 from .contrast import in_order
 from .statistics import standardize
 
@@ -87,6 +88,6 @@ def transform_images(pixels: DataFrame, images: DataFrame, out: tuple[int, int]
     near = F.array(*[F.struct(F.lit(2 * a + b).alias("corner"), (F.col("y0") + a).alias("y"), (F.col("x0") + b).alias("x"), ((fy if a else 1 - fy) * (fx if b else 1 - fx)).alias("w")) for a in (0, 1) for b in (0, 1)])
     parts = grid.where(inside).select("image_id", "r", "c", F.explode(near).alias("n")).where("n.w > 0")
     source = pixels.select("image_id", F.col("r").alias("y"), F.col("c").alias("x"), "v")
-    sums = parts.select("image_id", "r", "c", F.col("n.y").alias("y"), F.col("n.x").alias("x"), F.col("n.w").alias("w"), F.col("n.corner").alias("corner")).join(source, ["image_id", "y", "x"]).groupBy("image_id", "r", "c").agg(in_order("corner", F.col("v") * F.col("w")).alias("v"))
+    sums = parts.select("image_id", "r", "c", F.col("n.y").alias("y"), F.col("n.x").alias("x"), F.col("n.w").alias("w"), F.col("n.corner").alias("corner")).join(shuffled(source), ["image_id", "y", "x"]).groupBy("image_id", "r", "c").agg(in_order("corner", F.col("v") * F.col("w")).alias("v"))
     mean = pixels.groupBy("image_id").agg(F.avg("v").alias("mean"))
-    return grid.select("image_id", "r", "c").join(sums, ["image_id", "r", "c"], "left").join(mean, "image_id").select("image_id", "r", "c", F.coalesce("v", "mean").alias("v"))
+    return grid.select("image_id", "r", "c").join(shuffled(sums), ["image_id", "r", "c"], "left").join(mean, "image_id").select("image_id", "r", "c", F.coalesce("v", "mean").alias("v"))
