@@ -35,6 +35,8 @@ _U = np.uint64
 END = mix64(np.array([0x656E64], np.uint64))[0]
 #: Pairs of n-gram and count that a task gathers before it passes them on.
 HELD = 2_000_000
+#: Bytes of text whose n-grams are asked for together, and n-grams that a task gathers before it looks them up.
+PIECE_BYTES, ASKED = 1 << 22, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -300,7 +302,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tokens of runs of texts, packed: distinct words, where each token's is, and each text's number of tokens."""
     number = TaskContext.get().partitionId() << 32
     for batch in batches:
-        for i, j, data, off in chunks(batch.column("text")):
+        for i, j, data, off in chunks(batch.column("text"), PIECE_BYTES):
             uni, _, text = _tokens(data, off)
             u, at = np.unique(uni, return_inverse=True)
             row_ids, tokens = batch.column("row_id").slice(i, j - i).to_numpy(), np.bincount(text, minlength=j - i).astype(np.uint32)
@@ -334,20 +336,35 @@ def _ask(shift: int):
 
 
 def _answer(probes: int):
-    """Levels of the asked n-grams; a segment's filter comes before what is asked of it."""
+    """Levels of the asked n-grams; a segment's filter comes before what is asked of it.
+
+    Questions of many pieces are looked up together: there are as many as pieces
+    times segments, so the fewer steps each takes the better.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, bits, data = None, 0, np.zeros(1, np.uint8)
+        now, bits, data, held, size = None, 0, np.zeros(1, np.uint8), [], 0
+
+        def answers() -> pa.RecordBatch:
+            key, n = np.concatenate([k for _, k in held]), len(held)
+            level = _probe(key, np.full(len(key), bits, np.uint64), np.zeros(len(key), np.int64), data, probes)
+            edge = np.cumsum([0, *(len(k) for _, k in held)])
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in held], pa.int64()), pa.array(np.full(n, now[0], np.int32)), pa.array(np.full(n, now[1], np.int32)), _binary(level, edge)], names=["piece", "kind", "segment", "levels"])
+
         for batch in batches:
-            for kind, segment, side, keys, size, piece in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3), *(batch.column(c).to_pylist() for c in (4, 5)), strict=True):
+            for kind, segment, side, keys, n_bits, piece in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3), *(batch.column(c).to_pylist() for c in (4, 5)), strict=True):
+                if held and (size > ASKED or (kind, segment) != now):
+                    yield answers()
+                    held, size = [], 0
                 if (kind, segment) != now:
                     now, bits, data = (kind, segment), 0, np.zeros(1, np.uint8)
                 if side == 0:
-                    bits, data = size, np.frombuffer(keys.as_buffer(), np.uint8)
+                    bits, data = n_bits, np.frombuffer(keys.as_buffer(), np.uint8)
                     continue
-                key = np.frombuffer(keys.as_buffer(), np.uint64)
-                level = _probe(key, np.full(len(key), bits, np.uint64), np.zeros(len(key), np.int64), data, probes)
-                yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int64()), "kind": pa.array([kind], pa.int32()), "segment": pa.array([segment], pa.int32()), "levels": pa.array([level.tobytes()], pa.binary())})
+                held.append((piece, np.frombuffer(keys.as_buffer(), np.uint64)))
+                size += len(held[-1][1])
+        if held:
+            yield answers()
 
     return run
 
@@ -395,8 +412,8 @@ def _deal_rare(shift: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 2000):
-                some = batch.slice(at, 2000)
+            for at in range(0, len(batch), 10_000):
+                some = batch.slice(at, 10_000)
                 keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in some.column(1)]
                 row = np.repeat(some.column(0).to_numpy(), [len(k) for k in keys])
                 key, times = np.concatenate(keys), np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in some.column(2)])
@@ -412,21 +429,31 @@ def _deal_rare(shift: int):
 
 def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums for each row of the rare words it has in a segment; the segment's counts come first."""
-    now, words, counts = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    now, words, counts, held, size = None, np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+
+    def sums() -> pa.RecordBatch:
+        key, times, rows = (np.concatenate(x) for x in zip(*held, strict=True))
+        c = np.zeros(len(key), np.int64)
+        if len(words):
+            at = np.minimum(np.searchsorted(words, key), len(words) - 1)
+            c = np.where(words[at] == key, counts[at], 0)
+        row, where = np.unique(rows, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.bincount(where, times * np.log10(c + 1.0))), pa.array(np.bincount(where, times * (c > 0)).astype(np.int64))], names=["row_id", "more_logs", "more_known"])
+
     for batch in batches:
         for segment, side, keys, second, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), batch.column(4), strict=True):
+            if held and (size > ASKED or segment != now):
+                yield sums()
+                held, size = [], 0
             if segment != now:
                 now, words, counts = segment, np.zeros(0, np.uint64), np.zeros(0, np.int64)
             if side == 0:
                 words, counts = np.frombuffer(keys.as_buffer(), np.uint64), np.frombuffer(second.as_buffer(), np.int64)
                 continue
-            key, times = np.frombuffer(keys.as_buffer(), np.uint64), np.frombuffer(second.as_buffer(), np.uint32)
-            c = np.zeros(len(key), np.int64)
-            if len(words):
-                at = np.minimum(np.searchsorted(words, key), len(words) - 1)
-                c = np.where(words[at] == key, counts[at], 0)
-            row, where = np.unique(np.frombuffer(rows.as_buffer(), np.int64), return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.bincount(where, times * np.log10(c + 1.0))), pa.array(np.bincount(where, times * (c > 0)).astype(np.int64))], names=["row_id", "more_logs", "more_known"])
+            held.append((np.frombuffer(keys.as_buffer(), np.uint64), np.frombuffer(second.as_buffer(), np.uint32), np.frombuffer(rows.as_buffer(), np.int64)))
+            size += len(held[-1][0])
+    if held:
+        yield sums()
 
 
 def _whole_filter(merged: DataFrame, probes: int, shift: int, segments: int) -> CountFilter:
